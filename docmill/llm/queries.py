@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import langid, media, packing
+from docmill.llm import langid, licenses, linededup, media, mixing, neardup, packing, toxicity
 from docmill.llm.common import Work, crc_mod, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,13 +39,49 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+def toxic_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicModel:
+    return toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold=(3, 1))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents"), toxic_model(spark, sf_dir))
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: No source's documents are passed over more than so many times.
+MAX_REPEATS = 1.5
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), max_repeats=MAX_REPEATS)
+    return out.select("doc_id", "source", "pass", "block", "order_key", "n_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_media_columns": op3_media_columns,
+    "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
+    "op8_license_scan": op8_license_scan,
+    "op9_embedding_neardup": op9_embedding_neardup,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": linededup.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
