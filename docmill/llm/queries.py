@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm import langid, licenses, linededup, media, mixing, neardup, packing, toxicity
+from docmill.llm import jaccard, langid, licenses, linededup, lm, media, mixing, neardup, packing, toxicity
 from docmill.llm.common import Work, crc_mod, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,14 @@ def tokenizer_path(name: str = TOKENIZER) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs, fold=(5, 1))
+    out = lm.score(docs, model)
+    held = F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_path()
     work = Work(spark, "op2")
@@ -53,6 +61,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, pct=90)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -71,11 +83,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_packing": op2_packing,
     "op3_media_columns": op3_media_columns,
     "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_license_scan": op8_license_scan,
     "op9_embedding_neardup": op9_embedding_neardup,
     "op10_mixing": op10_mixing,
