@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def canonical(actor: str, action: str, target_type: str | None, target_id: str | None, meta: dict, prev: str) -> str:
@@ -23,7 +24,7 @@ def entry_hash(body: str) -> str:
 _COLS = ["actor", "action", "target_type", "target_id", "meta"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _hashes(actor: pd.Series, action: pd.Series, ttype: pd.Series, tid: pd.Series, meta: pd.Series, prev: pd.Series) -> pd.Series:
     none = lambda x: None if x is None or x != x else x
     return pd.Series([entry_hash(canonical(a, b, none(c), none(d), json.loads(m) if none(m) else {}, none(p) or "")) for a, b, c, d, m, p in zip(actor, action, ttype, tid, meta, prev, strict=True)])

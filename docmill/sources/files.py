@@ -18,7 +18,8 @@ PAGES = f"document_id string, page_no int, width double, height double, unit str
 
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) files below a path: document_id, filename, ext, kind, sha256, storage_key, content, length; empty and overlong ones are rejected with a reason.
+    """(accepted, rejected) files below a path: document_id, filename, ext, kind, sha256, storage_key, content, length; overlong ones are rejected with a reason
+    (Spark's scan itself leaves out files without a byte).
 
     Lengths come from the listing, so rejected contents are not read for the check.
     """
