@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -73,24 +74,31 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str, vec_col:
     return vectors.withColumn("score", F.round(cosine(F.col(vec_col), q), 4)).orderBy(F.desc_nulls_last("score"), id_col).limit(k)
 
 
-def nearest_for_all(queries: DataFrame, vectors: DataFrame, k: int, qid: str, id_col: str, vec_col: str = "embedding", q_vec: str = "embedding", most_queries: int = 4096) -> DataFrame:
-    """The k nearest rows for each of a stated, counted set of queries: blocks of the vectors meet the set, and only k rows a query and block go on."""
-    rows = queries.select(F.col(qid).alias("q"), F.col(q_vec).alias("v")).limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries at once; split them")
-    ids, mat = [r["q"] for r in rows], np.array([r["v"] for r in rows], float)
-    mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300) if len(mat) else mat
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b) or not len(mat):
-                continue
-            x = np.stack([np.asarray(v, float) for v in b["v"]])
-            cos = mat @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-            n = min(k, len(b))
-            best = np.argsort(-cos, axis=1, kind="stable")[:, :n]
-            yield pd.DataFrame({"q": np.repeat(ids, n), "i": b["i"].to_numpy()[best].ravel(), "score": np.take_along_axis(cos, best, 1).ravel()})
-
-    got = vectors.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v")).where("v is not null").mapInPandas(run, "q long, i long, score double")
+def nearest_for_all(queries: DataFrame, vectors: DataFrame, k: int, qid: str, id_col: str, vec_col: str = "embedding", q_vec: str = "embedding", block: int = 4096) -> DataFrame:
+    """The k nearest rows for each query vector: blocks of at most about `block` queries, a broadcast each, meet all vectors; only the best k rows
+    of a query and Arrow batch go on."""
+    spark = queries.sparkSession
+    q = queries.select(F.col(qid).cast("long").alias("q"), F.col(q_vec).cast("array<double>").alias("v")).where("q is not null and v is not null")
+    blocks = max(1, -(-q.count() // block))
+    base = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
+    parts = []
+    for b in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
+        mat = np.array([r["v"] for r in rows], float).reshape(len(rows), -1)
+        held = spark.sparkContext.broadcast((np.array([r["q"] for r in rows], np.int64), mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, mat = held.value
+            for c in batches:
+                if not len(c) or not len(ids):
+                    continue
+                x = np.stack([np.asarray(v, float) for v in c["v"]])
+                cos = mat @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                n = min(k, len(c))
+                best = np.argsort(-cos, axis=1, kind="stable")[:, :n]
+                yield pd.DataFrame({"q": np.repeat(ids, n), "i": c["i"].to_numpy()[best].ravel(), "score": np.take_along_axis(cos, best, 1).ravel()})
+
+        parts.append(base.mapInPandas(run, "q long, i long, score double"))
+    got = reduce(DataFrame.union, parts)
     w = Window.partitionBy("q").orderBy(F.desc("score"), "i")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(qid), F.col("i").alias(id_col), F.round("score", 4).alias("score"), "rank")

@@ -191,7 +191,7 @@ def vector_topk(spark, d):
 def vector_cache_hit(spark, d):
     e = _t(spark, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    near = chunk.nearest_for_all(q, e, 2, "query_id", "vec_id", most_queries=100_000).where("query_id <> vec_id")
+    near = chunk.nearest_for_all(q, e, 2, "query_id", "vec_id").where("query_id <> vec_id")
     return relational.newest(near, ["query_id"], [F.desc("score"), F.col("vec_id")]).select("query_id", "vec_id", "score", (F.col("score") >= retrieval.CACHE_HIT).alias("hit"))
 
 
