@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from docmill.llm.common import Work, components
 
 TABLES, HASHES = 8, 3
+#: Rows of bucket tasks that one call verifies.
+GROUP_ROWS = 8192
 #: Vectors of a bucket that one task compares with so many others; larger buckets are split into pairs of blocks.
 BLOCK = 1024
 
@@ -76,22 +78,49 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _first_meeting(main: np.ndarray, probe: np.ndarray, i: np.ndarray, j: np.ndarray, t: int, code: int) -> np.ndarray:
+def _first_meeting(main: np.ndarray, probe: np.ndarray, i: np.ndarray, j: np.ndarray, t: np.ndarray, code: np.ndarray) -> np.ndarray:
     """Whether (table t, bucket code) is the first bucket in which i and j meet, one of them by its main code."""
     ok = np.ones(len(i), bool)
-    for s in range(t + 1):
+    for s in range(main.shape[1]):
         mi, mj = main[i, s], main[j, s]
         # they meet in bucket mi if j probes or has it, and in bucket mj likewise
         at_i = (mi == mj) | (probe[j, s] == mi[:, None]).any(axis=1)
         at_j = (mi == mj) | (probe[i, s] == mj[:, None]).any(axis=1)
-        if s < t:
-            ok &= ~(at_i | at_j)
-        else:
-            first = np.where(at_i & at_j, np.minimum(mi, mj), np.where(at_i, mi, mj))
-            ok &= (at_i | at_j) & (first == code)
+        first = np.where(at_i & at_j, np.minimum(mi, mj), np.where(at_i, mi, mj))
+        ok &= np.where(s < t, ~(at_i | at_j), (s > t) | ((at_i | at_j) & (first == code)))
     return ok
 
 
+#: Members of a bucket up to which its pairs are listed together with those of other buckets of its size.
+LISTED = 48
+
+
+def _close_pairs(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray, side: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (p, q) of rows of one bucket task whose vectors x[at] are within the threshold; side: 0 and 1 pair across, 2 with all."""
+    for m in np.unique(sizes):
+        first = starts[sizes == m]
+        if m <= LISTED:
+            u, v = np.triu_indices(m, 1)
+            step = max(1, 200_000 // max(1, len(u)))
+            for k in range(0, len(first), step):
+                f = first[k : k + step, None]
+                p, q = (f + u).ravel(), (f + v).ravel()
+                ok = (side[p] != side[q]) | (side[p] == 2)
+                p, q = p[ok], q[ok]
+                ok = np.einsum("ij,ij->i", x[at[p]], x[at[q]]) >= threshold
+                yield p[ok], q[ok]
+        else:
+            for f in first:
+                rows = np.arange(f, f + m)
+                left = rows[side[rows] != 1]
+                right = rows[side[rows] != 0]
+                hit = x[at[left]] @ x[at[right]].T >= threshold
+                if side[f] == 2:
+                    hit = np.triu(hit, 1)
+                p, q = np.nonzero(hit)
+                yield left[p], right[q]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, work: Work | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
@@ -132,35 +161,46 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     live = meets.groupBy("dim", "t", "code").agg(F.count("*").alias("n"), F.sum("own").alias("own")).where("n > 1 and own > 0").select("dim", "t", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = meets.join(live, ["dim", "t", "code"]).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("lo"), F.greatest(o, F.col("blk")).alias("hi"))))
-    tasks = placed.select("t", "code", "rep", "own", "blk", "dim", pairs.alias("pr")).select("t", "code", "dim", "rep", "own", "blk", "pr.lo", "pr.hi")
-    full = tasks.join(coded.drop("dim"), "rep")
-
-    def verify(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        t, code, lo, hi = int(key[0]), int(key[1]), int(key[3]), int(key[4])
-        g = g.sort_values("rep", kind="stable")
-        rep, size, blk, own = (g[c].to_numpy() for c in ("rep", "size", "blk", "own"))
-        x = np.frombuffer(b"".join(g["x"]), float).reshape(len(g), -1)
-        main, probe = np.stack(g["main"]), np.stack(g["probe"]).reshape(len(g), tables, hashes)
-        left = np.flatnonzero(blk == lo)
-        right = left if lo == hi else np.flatnonzero(blk == hi)
-        cos = x[left] @ x[right].T
-        hit = cos >= threshold
-        if lo == hi:
-            hit = np.triu(hit, 1)
-        i, j = np.nonzero(hit)
-        i, j = left[i], right[j]
-        ok = ((own[i] == 1) | (own[j] == 1)) & (rep[i] != rep[j])
-        i, j = i[ok], j[ok]
-        ok = _first_meeting(main, probe, i, j, t, code)
-        i, j = i[ok], j[ok]
-        count = np.zeros(len(g), np.int64)
-        np.add.at(count, i, size[j])
-        np.add.at(count, j, size[i])
-        root = _roots(len(g), i, j)
+    tasks = placed.select("t", "code", "rep", "own", "blk", "dim", pairs.alias("pr"))
+    tasks = work.keep(tasks.select("t", "code", "dim", "rep", "own", "blk", "pr.lo", "pr.hi"))
+    full = tasks.join(coded.select("rep", "size", "x", "main", "probe"), "rep")
+
+    def verify(g: pd.DataFrame) -> pd.DataFrame:
+        """Many bucket tasks at once, each by itself."""
+        g = g.sort_values(["t", "code", "dim", "lo", "hi", "rep", "own"], kind="stable")
+        rep, at = np.unique(g["rep"].to_numpy(), return_inverse=True)
+        one = g.drop_duplicates("rep").sort_values("rep")
+        size, main = one["size"].to_numpy(), np.stack(one["main"])
+        probe = np.stack(one["probe"]).reshape(len(one), tables, hashes)
+        task = g[["t", "code", "dim", "lo", "hi"]].to_numpy()
+        t, code, lo, hi = task[:, 0], task[:, 1], task[:, 3], task[:, 4]
+        starts = np.flatnonzero(np.concatenate((np.ones(1, bool), (task[1:] != task[:-1]).any(axis=1))))
+        sizes = np.diff(np.append(starts, len(g)))
+        side = np.where(lo == hi, 2, (g["blk"].to_numpy() == hi).astype(int))
+        own = g["own"].to_numpy() == 1
+        count, ends = np.zeros(len(rep), np.int64), []
+        for dim in np.unique(task[:, 2]):
+            here = one["dim"].to_numpy() == dim
+            x = np.zeros((len(one), dim))
+            x[here] = np.frombuffer(b"".join(one["x"][here]), float).reshape(-1, dim)
+            mine = task[starts, 2] == dim
+            for p, q in _close_pairs(x, starts[mine], sizes[mine], at, side, threshold):
+                ok = (own[p] | own[q]) & (at[p] != at[q])
+                p, q = p[ok], q[ok]
+                ok = _first_meeting(main, probe, at[p], at[q], t[p], code[p])
+                i, j = at[p[ok]], at[q[ok]]
+                np.add.at(count, i, size[j])
+                np.add.at(count, j, size[i])
+                ends.append((i, j))
+        i, j = (np.concatenate(c) for c in zip(*ends, strict=True)) if ends else (np.empty(0, int),) * 2
+        root = _roots(len(rep), i, j)
         some = count > 0
         return pd.DataFrame({"rep": rep[some], "links": count[some], "root": rep[root[some]]})
 
-    links = work.keep(full.groupBy("t", "code", "dim", "lo", "hi").applyInPandas(verify, "rep long, links long, root long"))
+    # bucket tasks are dealt to groups of about GROUP_ROWS rows; a task has two blocks at most
+    groups = max(1, tasks.count() // GROUP_ROWS)
+    full = full.withColumn("part", F.pmod(F.xxhash64("t", "code", "dim", "lo", "hi"), F.lit(groups)))
+    links = work.keep(full.groupBy("part").applyInPandas(verify, "rep long, links long, root long"))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(work, links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = classes.select("k1", "k2", "rep", "size").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
