@@ -73,15 +73,16 @@ def normalize_question(q: Column) -> Column:
 def canon(token: Column) -> Column:
     """A token's concept: romanised Hindi first, then variants."""
     low = F.lower(token)
-    step = F.coalesce(_lookup(ROMAN_HINDI)[low], low)
-    return F.coalesce(_lookup(SYNONYMS)[step], step)
+    # the set tests are hashed, so the linear map lookups only run for the few variants
+    known = {k: SYNONYMS.get(v, v) for k, v in ROMAN_HINDI.items()}
+    both = {k: v for k, v in SYNONYMS.items() if k not in known} | known
+    return F.when(low.isin(list(both)), _lookup(both)[low]).otherwise(low)
 
 
 def topic_tokens(text: Column) -> Column:
     """Runs of at least three Latin or Devanagari letters, as concepts, without stop words."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
     found = F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), canon)
-    return F.filter(found, lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS))
 
 
 def normalized_text(text: Column) -> Column:
