@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.llm.common import Work, by_bytes, components, mix, shingles, word_hashes
+from docmill.llm.neardup import roots
 
 #: Counts of a signature.
 SIG = 128
@@ -116,8 +117,8 @@ def windows(docs: DataFrame, k: int, pct: int, late: np.ndarray, level: np.ndarr
     return docs.mapInPandas(run, "key long, id long, n int, pos int")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, set): the sorted shingle hashes of the documents in `ids`."""
+def full_sets(docs: DataFrame, ids: DataFrame, k: int, once: bool = False) -> DataFrame:
+    """(id, set): the sorted shingle hashes of the documents in `ids`. once: no id is repeated among `docs`."""
     few = ids.count() <= BROADCAST_IDS
     src = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
@@ -127,8 +128,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             for a, sh, bounds in _sets(list(b["t"]), k):
                 yield pd.DataFrame({"id": ids[a : a + len(bounds) - 1], "set": [sh[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]})
 
+    sets = src.mapInPandas(run, "id long, set binary")
     # a repeated id is one node with one of its texts
-    return src.mapInPandas(run, "id long, set binary").dropDuplicates(["id"])
+    return sets if once else sets.dropDuplicates(["id"])
 
 
 def _fits(nx: str, ny: str, pct: int) -> Column:
@@ -241,13 +243,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str =
     # groups of one are gone here; what stays is as large as the copies and chance neighbours in the corpus
     met = rows.withColumn("p", first).withColumn("last", F.max("id").over(region)).where("p.id <> last")
     met = work.keep(met.select("key", "id", "n", "pos", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")))
+    ids = base.where("id is not null").agg(F.count("id").alias("n"), F.count_distinct("id").alias("d")).first()
+    once = ids["n"] == ids["d"]
     sigs = base.where("id is not null").groupBy("id").agg(F.first("sig").alias("sig"))
     # first round: each document against the pivot that it meets most often within the windows
     star = met.where("id <> pid").where(_fits("n", "pn", pct) & _reaches("n", "pn", "pos", "pp", pct))
     star = star.groupBy("id", "pid").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", -F.col("pid"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.col2")).alias("b"))
     star = work.keep(_near_signatures(star, sigs, pct))
     ids = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
-    sets = work.keep(full_sets(whole, ids, k))
+    sets = work.keep(full_sets(whole, ids, k, once))
     one = work.keep(_verified(star, sets, pct).union(member))
     comp = work.keep(components(work, one))
     # open regions: those with more than one component left
@@ -255,26 +259,30 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str =
     state = met.select("key", "id", "n", "pos").join(c, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
     state = state.withColumn("lo", F.min("comp").over(region)).withColumn("hi", F.max("comp").over(region)).withColumn("g", F.count("*").over(region)).where("lo <> hi")
     state = work.keep(state.select("key", "id", "n", "pos", "comp", "g"))
+    work.drop(met, star, sets, comp)
     small = state.where(F.col("g") <= SMALL)
     x = small.select("key", *[F.col(v).alias(f"{v}x") for v in ("id", "n", "pos", "comp")])
     y = small.select("key", *[F.col(v).alias(f"{v}y") for v in ("id", "n", "pos", "comp")])
     cond = (x["key"] == y["key"]) & (F.col("idx") < F.col("idy")) & (F.col("compx") != F.col("compy")) & _fits("nx", "ny", pct) & _reaches("nx", "ny", "posx", "posy", pct)
     pairs = x.join(y, cond).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
     pairs = work.keep(_near_signatures(pairs, sigs, pct))
-    more = [_verified(pairs, work.keep(full_sets(whole, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), k)), pct)]
+    more = [_verified(pairs, work.keep(full_sets(whole, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), k, once)), pct)]
     large = work.keep(state.where(F.col("g") > SMALL).select("key", "id", "comp").distinct())
     if large.limit(1).count():
-        more.append(_large(large, whole, k, pct, work))
+        more.append(_large(large, whole, sigs, k, pct, once, work))
     links = one
     for m in more:
         links = links.union(m)
-    done = components(work, work.keep(links)).select(F.col("node").alias("id"), "root")
-    out = base.select("id", F.col("n").alias("n_shingles")).join(done, "id", "left")
+    links = work.keep(links)
+    sizes = work.keep(base.select("id", F.col("n").alias("n_shingles")))
+    work.drop(seen, state, pairs, one)
+    done = components(work, links).select(F.col("node").alias("id"), "root")
+    out = sizes.join(done, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
 
 
-def _large(members: DataFrame, docs: DataFrame, k: int, pct: int, work: Work) -> DataFrame:
-    """Links inside large open regions (key, id, comp): tasks of two blocks each, with the members' sets.
+def _block_tasks(members: DataFrame, work: Work) -> DataFrame:
+    """(key, id, comp, blk, lo, hi): members of large regions dealt to tasks of two blocks; tasks of one component have nothing to join.
 
     Regions with the same members are joined once.
     """
@@ -283,16 +291,62 @@ def _large(members: DataFrame, docs: DataFrame, k: int, pct: int, work: Work) ->
     placed = members.join(region, "key").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("lo"), F.greatest(o, F.col("blk")).alias("hi"))))
     tasks = placed.select("key", "id", "comp", "blk", spread.alias("t")).select("key", "id", "comp", "blk", "t.lo", "t.hi")
-    # a task whose members are of one component has nothing to join
     w = Window.partitionBy("key", "lo", "hi")
-    tasks = work.keep(tasks.withColumn("c0", F.min("comp").over(w)).withColumn("c1", F.max("comp").over(w)).where("c0 <> c1").drop("c0", "c1"))
-    sets = work.keep(full_sets(docs, tasks.select("id").distinct(), k))
+    return work.keep(tasks.withColumn("c0", F.min("comp").over(w)).withColumn("c1", F.max("comp").over(w)).where("c0 <> c1").drop("c0", "c1"))
+
+
+def near_members(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, pct: int) -> np.ndarray:
+    """The first member that each member reaches by steps between members of different components whose signatures are within the
+    radius; a member near none reaches itself. Sizes bound the search: in order of size, only a window of sizes can be near."""
+    m = len(sig)
+    n = sig.sum(axis=1)
+    if (n == 0).any():  # such a signature says nothing
+        return np.zeros(m, np.int64)
+    order = np.argsort(n, kind="stable")
+    s, c, d, n = sig[order], comp[order], side[order], n[order]
+    end = np.searchsorted(n * pct, n * 100, "right")
+    left, right = [], []
+    for i in range(m):
+        j = np.arange(i + 1, end[i])
+        j = j[(c[j] != c[i]) & ((d[j] != d[i]) | (d[i] == 2))]
+        if len(j):
+            low = np.minimum(s[j], s[i]).sum(axis=1)
+            j = j[100 * low >= pct * (n[j] + n[i] - low)]
+            left.append(np.full(len(j), i))
+            right.append(j)
+    if not left:
+        return np.arange(m)
+    return roots(m, order[np.concatenate(left)], order[np.concatenate(right)])
+
+
+def _large(members: DataFrame, docs: DataFrame, sigs: DataFrame, k: int, pct: int, once: bool, work: Work) -> DataFrame:
+    """Links inside large open regions (key, id, comp): tasks of two blocks each, first by signatures.
+
+    Near copies share most of their regions; so what the signatures leave is gathered into clusters of members that reach each other
+    by near signatures, whichever the region, and each cluster's sets are compared once.
+    """
+
+    def sides(key: tuple, g: pd.DataFrame) -> np.ndarray:
+        return np.full(len(g), 2) if key[1] == key[2] else (g["blk"].to_numpy() == key[2]).astype(int)
+
+    def sift(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, SIG).astype(np.int32)
+        to = near_members(sig, g["comp"].to_numpy(), sides(key, g), pct)
+        ids = g["id"].to_numpy()
+        some = to != np.arange(len(g))
+        return pd.DataFrame({"a": ids[some], "b": ids[to[some]]})
+
+    near = _block_tasks(members, work).join(sigs.select("id", "sig"), "id").groupBy("key", "lo", "hi").applyInPandas(sift, "a long, b long")
+    near = work.keep(near.distinct())
+    clusters = components(work, near).select(F.col("node").alias("id"), F.col("root").alias("key"))
+    comps = members.select("id", "comp").distinct()
+    tasks = _block_tasks(work.keep(clusters.join(comps, "id").select("key", "id", "comp")), work)
+    sets = work.keep(full_sets(docs, tasks.select("id").distinct(), k, once))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id", kind="stable")
         ids = g["id"].to_numpy()
-        side = np.full(len(g), 2) if key[1] == key[2] else (g["blk"].to_numpy() == key[2]).astype(int)
-        got = region_links([np.frombuffer(s, np.uint64) for s in g["set"]], g["comp"].to_numpy(), side, pct)
+        got = region_links([np.frombuffer(s, np.uint64) for s in g["set"]], g["comp"].to_numpy(), sides(key, g), pct)
         return pd.DataFrame({"a": [ids[i] for i, _ in got], "b": [ids[j] for _, j in got]}, dtype="int64")
 
     return work.keep(tasks.join(sets, "id").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long"))

@@ -59,7 +59,7 @@ def codes(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, seed: int =
     return main, probe
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable by the edges a-b, for each of n."""
     root = np.arange(n)
     while len(a):
@@ -193,7 +193,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 np.add.at(count, j, size[i])
                 ends.append((i, j))
         i, j = (np.concatenate(c) for c in zip(*ends, strict=True)) if ends else (np.empty(0, int),) * 2
-        root = _roots(len(rep), i, j)
+        root = roots(len(rep), i, j)
         some = count > 0
         return pd.DataFrame({"rep": rep[some], "links": count[some], "root": rep[root[some]]})
 
