@@ -201,7 +201,7 @@ def shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, out_at
 
 
-def by_bytes(texts: list[str | None], most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def by_bytes(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Slices of `texts` of about `most` characters each, so that memory follows neither row counts nor text lengths."""
     i = size = 0
     for j, t in enumerate(texts):

@@ -24,8 +24,8 @@ from docmill.llm.neardup import roots
 
 #: Counts of a signature.
 SIG = 128
-#: A shingle this often in a chunk is reported, and from so many reports on placed late in the order. Only the order depends on it.
-OFTEN_CHUNK, OFTEN = 4, 16
+#: A shingle this often in a chunk of so many is reported, and from so many reports on placed late in the order. Only the order depends on it.
+CHUNK, OFTEN_CHUNK, OFTEN = 1_500_000, 4, 16
 #: Shingles placed late at most (9 bytes each in every worker); any order is exact.
 MOST_LATE = 1_000_000
 #: Members up to which an open region is joined by pairs in the JVM; larger ones go to tasks of two blocks of so many.
@@ -59,20 +59,28 @@ def _per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def profile(docs: DataFrame, k: int) -> DataFrame:
     """Rows of kind 0: a document's set size, set hashes and signature; of kind 1: a shingle seen often in a chunk, and how often."""
 
+    def often(parts: list[np.ndarray]) -> pd.DataFrame:
+        u, c = np.unique(np.concatenate(parts), return_counts=True)
+        u, c = u[c >= OFTEN_CHUNK], c[c >= OFTEN_CHUNK]
+        return pd.DataFrame({"kind": 1, "id": pd.array(u.view(np.int64), "Int64"), "n": c, "k1": 0, "k2": 0, "sig": None})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
         for b in batches:
             ids = b["id"].astype("Int64").array
             for a, sh, bounds in _sets(list(b["t"]), k):
                 n = np.diff(bounds)
                 m = len(n)
+                held.append(sh)
+                if sum(map(len, held)) > CHUNK:
+                    yield often(held)
+                    held = []
                 sig = np.zeros((m, SIG), np.int64)
                 np.add.at(sig, (np.repeat(np.arange(m), n), (sh >> np.uint64(20)).astype(np.int64) % SIG), 1)
                 sig[sig.max(axis=1) > 65535] = 0  # says nothing
                 yield pd.DataFrame({"kind": 0, "id": ids[a : a + m], "n": n, "k1": _per_doc(mix(sh), bounds).view(np.int64), "k2": _per_doc(mix(sh ^ np.uint64(0xABCDEF)), bounds).view(np.int64), "sig": [s.tobytes() for s in sig.astype("<u2")]})
-                u, c = np.unique(sh, return_counts=True)
-                u, c = u[c >= OFTEN_CHUNK], c[c >= OFTEN_CHUNK]
-                if len(u):
-                    yield pd.DataFrame({"kind": 1, "id": pd.array(u.view(np.int64), "Int64"), "n": c, "k1": 0, "k2": 0, "sig": None})
+        if held:
+            yield often(held)
 
     return docs.mapInPandas(run, "kind int, id long, n long, k1 long, k2 long, sig binary")
 
