@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from docmill.llm.common import Work, by_bytes, components, mix, shingles, word_hashes
 from docmill.llm.neardup import roots
 
-#: Counts of a signature.
-SIG = 128
+#: Counts of a signature: sets of up to about 7000 shingles then differ enough in their counts at a radius of 0.2.
+SIG = 256
 #: A shingle this often in a chunk of so many is reported, and from so many reports on placed late in the order. Only the order depends on it.
 CHUNK, OFTEN_CHUNK, OFTEN = 1_500_000, 4, 16
 #: Shingles placed late at most (9 bytes each in every worker); any order is exact.
