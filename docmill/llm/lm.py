@@ -18,7 +18,8 @@ from docmill.llm.common import Work, by_bytes, combine, crc_mod, map_file, put_f
 
 #: Marks of a text's begin (a context only) and end (a token): hashes no word is likely to have.
 BEGIN, END = np.uint64(0x1B5AD4C1E9F7A3D5), np.uint64(0x7C3E9D2F5A6B8E01)
-#: Words counted at once in a worker before the counts are sent on, 16 bytes each and as much again for sorting.
+#: Characters counted at once in a worker before the counts are sent on: 16 bytes a word, and as much again for sorting. They are
+#: hashed in by_bytes' smaller slices.
 CHUNK_CHARS = 12_000_000
 #: Bytes of counts that one shard should receive; shards follow the input's size.
 SHARD_BYTES = 6_000_000
@@ -105,7 +106,7 @@ def train(docs: DataFrame, fold: tuple[int, int] | None = (5, 1), id_col: str =
             held, size = [], 0
             for b in batches:
                 texts = list(b["t"])
-                for x, y in by_bytes(texts, CHUNK_CHARS):
+                for x, y in by_bytes(texts):
                     ctx, tok, _ = _tokens(texts[x:y])
                     held.append((ctx, tok))
                     size += sum(len(t) if t else 1 for t in texts[x:y])
