@@ -67,8 +67,12 @@ RULES: list[tuple[str, list[str]]] = [
     ("Unlicense", ["unlicense"]),
 ]
 
-#: A sentence ends at a line's end, or after . ! ? : with white space behind; a one-letter "v." does not end it.
-SPLIT = r"\n+|(?<=[.!?:])(?<!\bv\.)\s+"
+#: A sentence ends after . ! ? : with white space behind, or at a line without a letter or digit; a one-letter "v." does not end it.
+SPLIT = r"(?<=[.!?:])(?<!\bv\.)\s+|(?>\r\n|\v)[^\p{L}\p{N}\v]*(?>\r\n|\v)\s*"
+#: In lower-case texts, which have no capitals, E stands for a sentence's end and N for a line's, each with all that is no letter or digit behind.
+_MARKS = [(r"(?<!\bv)[.!?:]\s[^a-z0-9]*", "E"), (r"\v[^a-z0-9E]*", "N"), (r"[^a-z0-9EN]+", " ")]
+#: Between the words of one sentence.
+_GAP = "(?: N?|N)"
 
 
 def norm(sentence: str) -> str:
@@ -78,25 +82,35 @@ def norm(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower-case ASCII letters and digits with single blanks."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """Lower-case ASCII letters and digits with single blanks, and the marks above; comment marks and frames fall away."""
+    text = F.lower(text)
+    for pattern, mark in _MARKS:
+        text = F.regexp_replace(text, pattern, mark)
+    return text
+
+
+def pattern_of(sentences: dict[str, str]) -> str:
+    """What finds the sentences, the longest first, in marked texts: each from a line's or sentence's start to such an end, over any line breaks."""
+    known = sorted({norm(s) for s in sentences.values()} - {""}, key=lambda s: (-len(s), s))
+    return f"(?:^ ?|[NE])({'|'.join(s.replace(' ', _GAP) for s in known)})(?= ?(?:[NE]|$))"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """(id, sentence_ids, licenses, n_sentences): known sentences in order, and the licences whose rules match, by rule order.
 
-    Longer rules go first and use up their sentences, so that a full text is not also its parts. Null and empty texts have none.
+    Sentences may be wrapped over lines and stand in comments. Longer rules go first and use up their sentences, so that a full
+    text is not also its parts. Null and empty texts have none.
     Rows are neither merged nor dropped. The rules travel as literals: their size is fixed, whatever the input.
     """
-    known = {norm(s): k for k, s in (sentences or SENTENCES).items()}
+    sentences = sentences or SENTENCES
+    known = {norm(s): k for k, s in sentences.items()}
     ordered = sorted(rules or RULES, key=lambda r: -len(r[1]))
     lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    longest = max(map(len, known))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     parts = F.filter(F.split(text, SPLIT), lambda x: F.trim(x) != "")
-    # only parts of a fitting length are normalised
-    ids = F.filter(F.transform(parts, lambda x: F.when(F.length(x) <= 2 * longest, lookup[normalised(x)])), lambda x: x.isNotNull())
+    found_in = F.regexp_extract_all(marked(text), F.lit(pattern_of(sentences)), F.lit(1))
+    ids = F.transform(found_in, lambda x: lookup[F.regexp_replace(x, "[ NE]+", " ")])
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("|" + "||".join(seq) + "|").alias("seq")) for name, seq in ordered])
     start = F.struct(F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|")).alias("left"), F.lit("").alias("found"))
     step = lambda acc, r: F.struct(

@@ -1,6 +1,7 @@
 """Operators on small cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, large groups."""
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -192,6 +193,26 @@ def test_licence_texts(spark):
     assert got == {1: ["MIT"], 2: ["BSD-2-Clause"], 3: [], 4: ["Apache-2.0", "GPL-3.0"]}
 
 
+def test_wrapped_licences(spark):
+    s = licenses.SENTENCES
+    apache = [f"Copyright 2020 A. Body\n{s['apache-notice-long']} You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0", f"{s['apache-asis']} {s['apache-see']}"]
+    bsd = [f"Copyright (c) 2020, A. Body\n{s['reserved']}", s["bsd-grant"], f"1. {s['bsd-source']}", f"2. {s['bsd-binary']}", f"3. {s['bsd-endorse']}"]
+    texts = {"Apache-2.0": apache, "MIT": ["MIT License", s["mit-grant"], s["mit-keep"], s["mit-asis"] + " IN NO EVENT"], "BSD-3-Clause": bsd, "ISC": [f"Copyright 2020 A. Body\n{s['isc-grant']}"], "GPL-2.0-or-later": [s["gpl2-redistribute"], s["gpl-hope"] + " See the licence."]}
+    rows, want = [], {}
+    for name, paragraphs in texts.items():
+        for width in (40, 72, 80, 10_000):
+            for mark, end in (("", "\n"), (" * ", "\n"), ("# ", "\r\n"), ("// ", "\n")):
+                lines = [x for p in paragraphs for part in p.split("\n") for x in [*textwrap.wrap(part, width, break_long_words=False), *[""] * (part == p.split("\n")[-1])]]
+                want[len(rows)] = [name]
+                rows.append((len(rows), end.join(mark + x for x in lines), "en", "a"))
+    # a line of its own between lines that end nowhere, and words of a sentence that begin within a line
+    want |= {900: ["MIT"], 901: [], 902: []}
+    rows += [(900, f"first words\n{s['mit-notice']}\nlast words", "en", "a"), (901, "it is not released under\nthe MIT License.", "en", "a"), (902, "Released under the. MIT License.", "en", "a")]
+    got = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, rows)).collect()}
+    assert {i: r["licenses"] for i, r in got.items()} == want
+    assert got[900]["n_sentences"] == 2 and {got[i]["n_sentences"] for i in range(16, 32)} == {5}
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "LISTED", 8)
