@@ -71,8 +71,8 @@ RULES: list[tuple[str, list[str]]] = [
 SPLIT = r"(?<=[.!?:])(?<!\bv\.)\s+|(?>\r\n|\v)[^\p{L}\p{N}\v]*(?>\r\n|\v)\s*"
 #: In lower-case texts, which have no capitals, E stands for a sentence's end and N for a line's, each with all that is no letter or digit behind.
 _MARKS = [(r"(?<!\bv)[.!?:]\s[^a-z0-9]*", "E"), (r"\v[^a-z0-9E]*", "N"), (r"[^a-z0-9EN]+", " ")]
-#: Between the words of one sentence.
-_GAP = "(?: N?|N)"
+#: Between the words of one sentence, and where the known sentence itself has a sentence's end inside (as behind "software:").
+_GAP, _OWN_END = "(?: N?|N)", "(?: ?N?E| N?|N)"
 
 
 def norm(sentence: str) -> str:
@@ -91,9 +91,12 @@ def marked(text: Column) -> Column:
 
 
 def pattern_of(sentences: dict[str, str]) -> str:
-    """What finds the sentences, the longest first, in marked texts: each from a line's or sentence's start to such an end, over any line breaks."""
-    known = sorted({norm(s) for s in sentences.values()} - {""}, key=lambda s: (-len(s), s))
-    return f"(?:^ ?|[NE])({'|'.join(s.replace(' ', _GAP) for s in known)})(?= ?(?:[NE]|$))"
+    """What finds the sentences, the longest first, in marked texts: each from a line's or sentence's start to such an end, over any line breaks and its own ends inside."""
+    import re
+
+    parts = {tuple(x for p in re.split(r"(?<=[.!?:])\s+", s) if (x := norm(p))) for s in sentences.values()} - {()}
+    known = [_OWN_END.join(x.replace(" ", _GAP) for x in p) for p in sorted(parts, key=lambda p: (-len(" ".join(p)), p))]
+    return f"(?:^ ?|[NE])({'|'.join(known)})(?= ?(?:[NE]|$))"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:

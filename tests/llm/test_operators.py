@@ -213,6 +213,18 @@ def test_wrapped_licences(spark):
     assert got[900]["n_sentences"] == 2 and {got[i]["n_sentences"] for i in range(16, 32)} == {5}
 
 
+def test_every_licence_sentence_and_rule(spark):
+    s = licenses.SENTENCES
+    rows = [(i, x, "en", "a") for i, x in enumerate(s.values())]
+    rows += [(100 + i, "\n".join(textwrap.wrap(x, 50)), "en", "a") for i, x in enumerate(s.values())]
+    rows += [(200 + i, "\n".join(s[k] for k in seq), "en", "a") for i, (_, seq) in enumerate(licenses.RULES)]
+    got = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, rows)).collect()}
+    for i, k in enumerate(s):
+        assert got[i]["sentence_ids"] == got[100 + i]["sentence_ids"] == [k]
+    for i, (name, seq) in enumerate(licenses.RULES):
+        assert got[200 + i]["sentence_ids"] == seq and got[200 + i]["licenses"] == [name]
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "LISTED", 8)
