@@ -18,6 +18,8 @@ from docmill.llm.common import crc_mod
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Appended to what is compressed: without a compressible end, zstandard stores tiny texts raw, whatever the dictionary.
 _TAIL = b" " * 256
+#: Characters that are compressed at once: a longer frame would forget the dictionary, so that only a text's beginning counted.
+SLICE = 16_384
 
 
 def plain(text: str) -> str:
@@ -28,6 +30,17 @@ def plain(text: str) -> str:
     return f" {' '.join(words)} "
 
 
+def slices(text: str, most: int | None = None) -> Iterator[str]:
+    """The whole text in pieces of at most so many characters, cut before blanks where there are any."""
+    most, start = most or SLICE, 0
+    while len(text) - start > most:
+        cut = text.rfind(" ", start + 1, start + most)
+        cut = cut if cut > 0 else start + most
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
+
+
 @dataclass(frozen=True)
 class LangModel:
     """Raw-content dictionaries by language, and how they are used."""
@@ -79,7 +92,7 @@ def learn(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), dict_bytes: in
 
 
 def classify(texts: list[str | None], model: LangModel, coders: dict | None = None) -> list[tuple[str, float, bool]]:
-    """(language, score from 0 to 1, rejected) of whole texts.
+    """(language, score from 0 to 1, rejected) of whole texts: sizes are summed over all slices.
 
     `und`, score 0, rejected for null texts and texts without a letter, or if nothing was learned. The
     score is the best language's share under weights 2 ** (-excess bytes / 2); a relative margin
@@ -89,11 +102,12 @@ def classify(texts: list[str | None], model: LangModel, coders: dict | None = No
     names = sorted(coders)
     out = []
     for t in texts:
-        raw = plain(t).encode("utf-8", "replace") if t and names else b"  "
-        if len(raw) == 2:
+        text = plain(t) if t and names else "  "
+        if len(text) == 2:
             out.append(("und", 0.0, True))
             continue
-        size = np.array([len(coders[n].compress(raw + _TAIL)) for n in names], float)
+        raws = [x.encode("utf-8", "replace") + _TAIL for x in slices(text)]
+        size = np.array([sum(len(coders[n].compress(r)) for r in raws) for n in names], float)
         order = np.argsort(size, kind="stable")
         best, least = order[0], size[order[0]]
         second = size[order[1]] if len(names) > 1 else np.inf

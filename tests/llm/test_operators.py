@@ -225,6 +225,22 @@ def test_every_licence_sentence_and_rule(spark):
         assert got[200 + i]["sentence_ids"] == seq and got[200 + i]["licenses"] == [name]
 
 
+def invented(rng, letters, n):
+    """Text of n words of a made-up language."""
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(700)]
+    return lambda: " ".join(rng.choice(words) for _ in range(n))
+
+
+def test_long_texts_count_whole():
+    rng = random.Random(3)
+    speak = {"a": invented(rng, "abcdefghij", 2_000), "b": invented(rng, "efghijklmn", 2_000)}
+    model = langid.LangModel({k: f().encode() for k, f in speak.items()})
+    long = {k: " ".join(f() for _ in range(140)) for k, f in speak.items()}
+    texts = [long["a"][:300_000] + " " + long["b"], long["b"][:300_000] + " " + long["a"], long["a"], long["b"]]
+    assert [(lang, rejected) for lang, _, rejected in langid.classify(texts, model)] == [("b", False), ("a", False), ("a", False), ("b", False)]
+    assert all("".join(langid.slices(t, 50)) == t and max(map(len, langid.slices(t, 50))) <= 50 for t in ["", " ", "x" * 120, " a bc" * 90])
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "LISTED", 8)
