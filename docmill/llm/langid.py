@@ -62,33 +62,46 @@ def learn(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), dict_bytes: in
 
     Bound: for each language about dict_bytes / doc_chars * 4 documents drawn by a hash of their id from
     all of its documents outside the fold (crc32(id) mod fold[0] == fold[1] is left out), of each
-    at most doc_chars characters, up to dict_bytes bytes. Rows with a null id, text or
-    language teach nothing. A language's dictionary holds distinct lines' text only once.
+    at most doc_chars characters, up to dict_bytes bytes. A language that stays short and has more text is drawn
+    once more, about 8 * dict_bytes characters of it. Rows with a null id, text or
+    language teach nothing. A language's dictionary holds distinct lines' text only once, unless
+    that is all its text: then it is repeated to the length of the others, which are not cut.
     """
     src = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("i is not null and t is not null and l is not null and length(t) > 0")
     if fold:
         src = src.where(crc_mod("i", fold[0]) != fold[1])
-    counts = {r["l"]: r["n"] for r in src.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    held = lambda chars: F.sum(F.least(F.length("t"), F.lit(chars)))
+    counts = {r["l"]: r for r in src.groupBy("l").agg(F.count("*").alias("n"), held(doc_chars).alias("heads"), held(dict_bytes).alias("chars")).collect()}
     if not counts:
         return LangModel({})
-    want = 4 * max(1, dict_bytes // doc_chars)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, want / n)))])
     unit = F.pmod(F.xxhash64("i"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = src.where(unit < share[F.col("l")]).select("l", unit.alias("u"), "i", F.substring("t", 1, doc_chars).alias("t")).collect()
-    parts: dict[str, list[bytes]] = {k: [] for k in counts}
-    sizes, seen = dict.fromkeys(counts, 0), {k: set() for k in counts}
-    for r in sorted(rows, key=lambda r: (r["l"], r["u"], r["i"])):
-        lang = r["l"]
-        if sizes[lang] >= dict_bytes:
-            continue
-        lines = [x for x in r["t"].split("\n") if x not in seen[lang]]
-        seen[lang].update(lines)
-        piece = plain("\n".join(lines)).encode()
-        parts[lang].append(piece)
-        sizes[lang] += len(piece)
-    # dictionaries of one length, so that none helps by its size; a language of very little text keeps what it has
-    size = min([dict_bytes, *(n for n in sizes.values() if n >= 4096)])
-    return LangModel({k: b"".join(v)[:size].ljust(8) for k, v in parts.items() if sizes[k]})
+
+    def draw(share: dict[str, float], chars: int) -> dict[str, bytes]:
+        """Up to dict_bytes bytes a language, from so large a share of its documents and so many characters of each."""
+        parts: dict[str, list[bytes]] = {k: [] for k in share}
+        sizes, seen = dict.fromkeys(share, 0), {k: set() for k in share}
+        of = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])
+        rows = src.where(unit < of[F.col("l")]).select("l", unit.alias("u"), "i", F.substring("t", 1, chars).alias("t")).collect()
+        for r in sorted(rows, key=lambda r: (r["l"], r["u"], r["i"])):
+            lang = r["l"]
+            if sizes[lang] >= dict_bytes:
+                continue
+            lines = [x for x in r["t"].split("\n") if x not in seen[lang]]
+            seen[lang].update(lines)
+            piece = plain("\n".join(lines)).encode()
+            parts[lang].append(piece)
+            sizes[lang] += len(piece)
+        return {k: b"".join(v)[:dict_bytes] for k, v in parts.items()}
+
+    want = 4 * max(1, dict_bytes // doc_chars)
+    share = {k: min(1.0, want / r["n"]) for k, r in counts.items()}
+    got = draw(share, doc_chars)
+    short = {k: min(1.0, 8 * dict_bytes / r["chars"]) for k, r in counts.items() if len(got[k]) < dict_bytes and (share[k] < 1 or r["chars"] > r["heads"])}
+    for k, v in (draw(short, dict_bytes) if short else {}).items():
+        got[k] = max(got[k], v, key=len)
+    # dictionaries of one length, so that none helps by its size
+    size = max(map(len, got.values()))
+    return LangModel({k: (v * -(-size // len(v)))[:size].ljust(8) for k, v in got.items() if v})
 
 
 def classify(texts: list[str | None], model: LangModel, coders: dict | None = None) -> list[tuple[str, float, bool]]:

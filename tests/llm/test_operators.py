@@ -241,6 +241,18 @@ def test_long_texts_count_whole():
     assert all("".join(langid.slices(t, 50)) == t and max(map(len, langid.slices(t, 50))) <= 50 for t in ["", " ", "x" * 120, " a bc" * 90])
 
 
+def test_rare_language_leaves_the_others_whole(spark):
+    rng = random.Random(4)
+    speak = {k: invented(rng, letters, 150) for k, letters in (("a", "abcdefghij"), ("b", "efghijklmn"), ("c", "ijklmnopqr"), ("d", "mnopqrstuv"))}
+    # c has few documents, of which only beginnings were read; d has less text than a dictionary holds
+    rows = [(i, speak["ab"[i % 2]](), "ab"[i % 2], "s") for i in range(600)]
+    rows += [(700 + i, " ".join(speak["c"]() for _ in range(30)), "c", "s") for i in range(5)] + [(800, " ".join(speak["d"]() for _ in range(4)), "d", "s")] + [(900 + i, "abc def", "e", "s") for i in range(300)]
+    model = langid.learn(docs_of(spark, rows), fold=None)
+    assert {len(x) for x in model.contents.values()} == {65_536}
+    assert all(len(set(model.contents[k].split())) > 600 for k in "abc") and model.contents["d"].count(rows[605][1].encode()) > 12
+    assert [lang for lang, _, _ in langid.classify([f() for f in speak.values()] * 20, model)] == list("abcd") * 20
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "LISTED", 8)
