@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from docmill.llm.common import Work, components
 
-TABLES, HASHES = 8, 3
+#: Hashes a bucket joins, and the share of the pairs just at the threshold that tables are to find.
+HASHES, RECALL = 3, 0.99
 #: Rows of bucket tasks that one call verifies.
 GROUP_ROWS = 8192
 #: Vectors of a bucket that one task compares with so many others; larger buckets are split into pairs of blocks.
@@ -29,7 +31,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
-def codes(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, seed: int = 99) -> tuple[np.ndarray, np.ndarray]:
+def codes(x: np.ndarray, tables: int, hashes: int = HASHES, seed: int = 99) -> tuple[np.ndarray, np.ndarray]:
     """(n, tables) bucket codes and (n, tables, hashes) probe codes of unit vectors.
 
     A hash is the nearest of the 2 * d signed axes after three rounds of random signs and Hadamard
@@ -59,6 +61,31 @@ def codes(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, seed: int =
     return main, probe
 
 
+def at_cosine(n: int, d: int, cosine: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors of this cosine."""
+    rng = np.random.Generator(np.random.PCG64([seed, d]))
+    x, y = rng.normal(size=(2, n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, cosine * x + np.sqrt(1 - cosine**2) * y
+
+
+def meetings(x: np.ndarray, y: np.ndarray, tables: int, hashes: int = HASHES) -> np.ndarray:
+    """(n, tables): whether x and y of a row meet in a bucket of the table."""
+    (mx, px), (my, py) = codes(x, tables, hashes), codes(y, tables, hashes)
+    return (mx == my) | (px == my[:, :, None]).any(axis=2) | (py == mx[:, :, None]).any(axis=2)
+
+
+@lru_cache(maxsize=256)
+def tables_for(dim: int, threshold: float, hashes: int = HASHES, recall: float = RECALL) -> int:
+    """Tables by which that share of the pairs just at the threshold meets, from random pairs; closer pairs meet more often."""
+    d = 1 << max(1, (dim - 1).bit_length())
+    hit = meetings(*at_cosine(2000 if d < 256 else 500, d, min(threshold, 1.0)), 4, hashes)
+    share = min(max(hit.mean() - 2 * np.sqrt(hit.mean() * (1 - hit.mean()) / hit.size), 0.01), 0.99)
+    return max(8, int(np.ceil(np.log(1 - recall) / np.log(1 - share))))
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable by the edges a-b, for each of n."""
     root = np.arange(n)
@@ -121,13 +148,13 @@ def _close_pairs(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.nd
                 yield left[p], right[q]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, work: Work | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tables: int | None = None, hashes: int = HASHES, work: Work | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing (component the
     own id, kept unless the id is null). Equal vectors are one class: compared once, counted each. Vectors of different
     length do not link. Candidates meet in a bucket; every link is verified in double precision and counted in the first bucket
-    in which the two meet. Large buckets are split into pairs of blocks, so no task holds more than two blocks. Rows of equal
+    in which the two meet. Tables are as many as RECALL at the threshold needs in the vectors' dimension. Large buckets are split into pairs of blocks, so no task holds more than two blocks. Rows of equal
     id are one node.
     """
     work = work or Work(vectors.sparkSession, "near")
@@ -150,7 +177,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 x = np.stack([np.asarray(y, float) for y in part["v"]])
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                main, probe = codes(x, tables, hashes)
+                main, probe = codes(x, tables or tables_for(int(dim), threshold, hashes), hashes)
                 yield pd.DataFrame({"rep": part["rep"].to_numpy(), "size": part["size"].to_numpy(), "dim": int(dim), "x": [y.tobytes() for y in x], "main": list(main), "probe": list(probe.reshape(len(x), -1))})
 
     coded = work.keep(classes.select("rep", "size", "v").mapInPandas(encode, "rep long, size long, dim int, x binary, main array<long>, probe array<long>"))
@@ -170,8 +197,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         g = g.sort_values(["t", "code", "dim", "lo", "hi", "rep", "own"], kind="stable")
         rep, at = np.unique(g["rep"].to_numpy(), return_inverse=True)
         one = g.drop_duplicates("rep").sort_values("rep")
-        size, main = one["size"].to_numpy(), np.stack(one["main"])
-        probe = np.stack(one["probe"]).reshape(len(one), tables, hashes)
+        size = one["size"].to_numpy()
         task = g[["t", "code", "dim", "lo", "hi"]].to_numpy()
         t, code, lo, hi = task[:, 0], task[:, 1], task[:, 3], task[:, 4]
         starts = np.flatnonzero(np.concatenate((np.ones(1, bool), (task[1:] != task[:-1]).any(axis=1))))
@@ -183,11 +209,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
             here = one["dim"].to_numpy() == dim
             x = np.zeros((len(one), dim))
             x[here] = np.frombuffer(b"".join(one["x"][here]), float).reshape(-1, dim)
+            main = np.stack(one["main"][here])
+            probe, row = np.stack(one["probe"][here]).reshape(*main.shape, hashes), np.cumsum(here) - 1
             mine = task[starts, 2] == dim
             for p, q in _close_pairs(x, starts[mine], sizes[mine], at, side, threshold):
                 ok = (own[p] | own[q]) & (at[p] != at[q])
                 p, q = p[ok], q[ok]
-                ok = _first_meeting(main, probe, at[p], at[q], t[p], code[p])
+                ok = _first_meeting(main, probe, row[at[p]], row[at[q]], t[p], code[p])
                 i, j = at[p[ok]], at[q[ok]]
                 np.add.at(count, i, size[j])
                 np.add.at(count, j, size[i])
@@ -202,8 +230,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     full = full.withColumn("part", F.pmod(F.xxhash64("t", "code", "dim", "lo", "hi"), F.lit(groups)))
     links = work.keep(full.groupBy("part").applyInPandas(verify, "rep long, links long, root long"))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(work, links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = classes.select("k1", "k2", "rep", "size").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    tops = components(work, links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    known = classes.select("k1", "k2", "rep", "size").join(counts, "rep", "left").join(tops.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("k1", "k2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     out = keyed.select("id", "k1", "k2").join(known, ["k1", "k2"]).select("id", "n_links", "component_id")
     alone = rows.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -272,6 +272,15 @@ def test_vectors(spark, monkeypatch):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_pairs_at_the_threshold_meet(spark):
+    x, y = neardup.at_cosine(400, 64, 0.9005, seed=11)
+    rows = [(2 * i + j, v.tolist()) for i, pair in enumerate(zip(x, y, strict=True)) for j, v in enumerate(pair)]
+    rows += [(5000 + j, v[0].tolist()) for j, v in enumerate(neardup.at_cosine(1, 20, 0.97))]
+    got = {r["vec_id"]: r["n_links"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[2 * i] for i in range(400)) >= 392 and got[5000] == got[5001] == 1
+    assert neardup.tables_for(64, 0.9) < neardup.tables_for(256, 0.9)
+
+
 def test_label_model_and_classifier():
     rng = np.random.default_rng(2)
     y = (rng.random(4000) < 0.1).astype(int)
