@@ -213,6 +213,26 @@ def by_bytes(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[i
         yield i, len(texts)
 
 
+# ---------------------------------------------------------------- classes of equal rows
+
+
+#: Classes that are broadcast at most, those of the most rows (about 40 bytes each).
+HOT_CLASSES = 20_000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], total: int, size: str = "size") -> DataFrame:
+    """`rows` with the columns of their class, by `keys`; `total`: the sum of the classes' sizes.
+
+    Classes of more than total / HOT_CLASSES rows, of which there can be no more than HOT_CLASSES, are broadcast, so that the rows of one class
+    never meet in one task; the others are shuffled.
+    """
+    most = max(1000, total // HOT_CLASSES)
+    hot = F.broadcast(classes.where(F.col(size) > most))
+    many = rows.join(hot, keys)
+    few = rows.join(F.broadcast(classes.where(F.col(size) > most).select(*keys)), keys, "left_anti").join(classes.where(F.col(size) <= most), keys)
+    return many.unionByName(few)
+
+
 # ---------------------------------------------------------------- components
 
 

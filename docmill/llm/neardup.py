@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.common import Work, components
+from docmill.llm.common import Work, components, join_classes
 
 #: Hashes a bucket joins, and the share of the pairs just at the threshold that tables are to find.
 HASHES, RECALL = 3, 0.99
@@ -154,8 +154,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing (component the
     own id, kept unless the id is null). Equal vectors are one class: compared once, counted each. Vectors of different
     length do not link. Candidates meet in a bucket; every link is verified in double precision and counted in the first bucket
-    in which the two meet. Tables are as many as RECALL at the threshold needs in the vectors' dimension. Large buckets are split into pairs of blocks, so no task holds more than two blocks. Rows of equal
-    id are one node.
+    in which the two meet. Tables are as many as RECALL at the threshold needs in the vectors' dimension. Large buckets are split into
+    pairs of blocks, so no task holds more than two blocks. Rows of one id, whatever their vectors, share a component; n_links counts
+    the other rows that a row's own vector links with.
     """
     work = work or Work(vectors.sparkSession, "near")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -165,7 +166,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     # adding zero makes a negative zero a zero, as they compare equal
     v = F.transform("v", lambda x: x + F.lit(0.0))
     keyed = rows.where("ok").select("id", v.alias("v")).select("id", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(5), "v").alias("k2"))
-    classes = work.keep(keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("v").alias("v")))
+    # a class is known by a number of its own, as an id may stand in several
+    classes = work.keep(keyed.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("size"), F.first("v").alias("v")).withColumn("rep", F.monotonically_increasing_id()))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -230,9 +232,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     full = full.withColumn("part", F.pmod(F.xxhash64("t", "code", "dim", "lo", "hi"), F.lit(groups)))
     links = work.keep(full.groupBy("part").applyInPandas(verify, "rep long, links long, root long"))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    tops = components(work, links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = classes.select("k1", "k2", "rep", "size").join(counts, "rep", "left").join(tops.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("k1", "k2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    out = keyed.select("id", "k1", "k2").join(known, ["k1", "k2"]).select("id", "n_links", "component_id")
+    members = keyed.select("id", "k1", "k2")
+    total = rows.count()
+    # classes that share an id are tied to the first of them
+    key = F.struct("k1", "k2")
+    torn = members.groupBy("id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("id", F.col("lo.k1").alias("f1"), F.col("lo.k2").alias("f2"))
+    torn = members.join(torn, "id").where("k1 <> f1 or k2 <> f2").select("k1", "k2", "f1", "f2").distinct()
+    name = classes.select("k1", "k2", "rep")
+    ties = torn.join(name.withColumnRenamed("rep", "a"), ["k1", "k2"]).join(name.toDF("f1", "f2", "b"), ["f1", "f2"]).select("a", "b")
+    tops = components(work, links.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(ties))
+    known = classes.select("k1", "k2", "rep", "size", "least").join(counts, "rep", "left").join(tops.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    known = work.keep(known)
+    # the smallest id of a component, of which most have one class only
+    joined = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("parts"))
+    known = join_classes(known, joined, ["root"], total, "parts")
+    known = known.select("k1", "k2", "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    out = join_classes(members, work.keep(known), ["k1", "k2"], total).select("id", "n_links", "component_id")
     alone = rows.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))).withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docmill.llm import jaccard, langid, licenses, linededup, lm, media, mixing, neardup, packing, queries, toxicity
-from docmill.llm.common import Work, components, word_hashes
+from docmill.llm.common import Work, components, join_classes, word_hashes
 from tests.llm.test_queries import brute_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, n long"
@@ -272,6 +272,31 @@ def test_vectors(spark, monkeypatch):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_vectors_of_repeated_ids_and_clashing_columns(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(4, 16))
+    near = lambda i: (base[i] + 0.02 * rng.normal(size=16)).tolist()
+    # id 7 has two vectors, one near 2's and one near 3's; 9 has one vector twice; 4 is alone
+    rows = [(7, near(0)), (7, near(1)), (2, near(0)), (3, near(1)), (9, base[2].tolist()), (9, base[2].tolist()), (4, base[3].tolist())]
+    df = spark.createDataFrame([(i, v, 1, 2, 3, "x", True) for i, v in rows], "vec_id long, embedding array<double>, rep long, size int, k1 int, id string, kept boolean")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+    assert got == [(2, 1, 2, True), (3, 1, 2, False), (4, 0, 4, True), (7, 1, 2, False), (7, 1, 2, False), (9, 1, 9, True), (9, 1, 9, True)]
+
+
+def test_hot_classes(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 2500, 0).otherwise(F.col("id")).alias("k"), "id")
+    classes = rows.groupBy("k").agg(F.count("*").alias("size"), F.min("id").alias("least"))
+    got = join_classes(rows, classes, ["k"], 4000)
+    assert got.count() == 4000 and got.where("k = 0 and least = 0 and size = 2500").count() == 2500
+
+
+@pytest.mark.parametrize(("dim", "pairs"), [(64, 1500), (384, 300), (768, 150)])
+def test_recall_at_the_threshold(dim, pairs):
+    x, y = neardup.at_cosine(pairs, dim, 0.9, seed=3)
+    met = neardup.meetings(x, y, neardup.tables_for(dim, 0.9)).any(axis=1)
+    assert met.mean() >= 0.97
+
+
 def test_pairs_at_the_threshold_meet(spark):
     x, y = neardup.at_cosine(400, 64, 0.9005, seed=11)
     rows = [(2 * i + j, v.tolist()) for i, pair in enumerate(zip(x, y, strict=True)) for j, v in enumerate(pair)]
