@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.llm.common import Work, by_bytes, components, mix, shingles, word_hashes
+from docmill.llm.common import Work, by_bytes, components, join_classes, mix, shingles, word_hashes
 from docmill.llm.neardup import roots
 
 #: Counts of a signature: sets of up to about 7000 shingles then differ enough in their counts at a radius of 0.2.
@@ -28,8 +28,10 @@ SIG = 256
 CHUNK, OFTEN_CHUNK, OFTEN = 1_500_000, 4, 16
 #: Shingles placed late at most (9 bytes each in every worker); any order is exact.
 MOST_LATE = 1_000_000
-#: Members up to which an open region is joined by pairs in the JVM; larger ones go to tasks of two blocks of so many.
-SMALL, BLOCK = 32, 256
+#: Members up to which an open region is joined by pairs in the JVM; larger ones go to tasks of two blocks of so many, and of so many shingles.
+SMALL, BLOCK, BLOCK_SHINGLES = 32, 256, 1_000_000
+#: Regions of shingles that were reported 2 ** (HOT - 1) times or more are summed up by partial aggregates, others in windows.
+HOT = 9
 #: Document ids up to which a semi-join is broadcast (16 MB).
 BROADCAST_IDS = 2_000_000
 
@@ -125,8 +127,8 @@ def windows(docs: DataFrame, k: int, pct: int, late: np.ndarray, level: np.ndarr
     return docs.mapInPandas(run, "key long, id long, n int, pos int")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int, once: bool = False) -> DataFrame:
-    """(id, set): the sorted shingle hashes of the documents in `ids`. once: no id is repeated among `docs`."""
+def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, set): the sorted shingle hashes of the documents in `ids`."""
     few = ids.count() <= BROADCAST_IDS
     src = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
@@ -136,9 +138,20 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, once: bool = False) -> Da
             for a, sh, bounds in _sets(list(b["t"]), k):
                 yield pd.DataFrame({"id": ids[a : a + len(bounds) - 1], "set": [sh[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]})
 
-    sets = src.mapInPandas(run, "id long, set binary")
-    # a repeated id is one node with one of its texts
-    return sets if once else sets.dropDuplicates(["id"])
+    return src.mapInPandas(run, "id long, set binary")
+
+
+def with_region(rows: DataFrame, **sums: Column) -> DataFrame:
+    """`rows` (stored, with a key) and aggregates of their region.
+
+    The level of a shingle's frequency is in its key. The rows of a frequent one, of which there are MOST_LATE at most, are aggregated in parts
+    and get the sums by a broadcast; so no task receives a large region.
+    """
+    hot = F.shiftrightunsigned("key", 58) >= HOT
+    w = Window.partitionBy("key")
+    few = rows.where(~hot).select("*", *[c.over(w).alias(k) for k, c in sums.items()])
+    many = rows.where(hot)
+    return few.unionByName(many.join(F.broadcast(many.groupBy("key").agg(*[c.alias(k) for k, c in sums.items()])), "key").select(*few.columns))
 
 
 def _fits(nx: str, ny: str, pct: int) -> Column:
@@ -229,89 +242,103 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str =
 
     Words are runs of other than blanks and control white space, A-Z lower-cased. A text of fewer than k words is one shingle;
     one without words, or null, has none and links with nothing (component: its own id). Rows without an id keep a null component and
-    link with nothing. Rows of one id are one node. component_id is the smallest id reachable. Equal sets are joined by their
-    hashes, so copies cost nothing beyond one row each.
+    link with nothing. Rows of one id, whatever their texts, share a component and are linked with whatever one of them is linked with.
+    component_id is the smallest id reachable. Equal sets are joined by their hashes, so copies cost nothing beyond one row each.
     """
     work = work or Work(docs.sparkSession, "jaccard")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    seen = work.keep(profile(src, k))
+    if src.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        # ids are repeated: rows get numbers of their own, and those of one id are tied afterwards
+        rows = work.keep(src.withColumn("row", F.monotonically_increasing_id()))
+        found = work.keep(_components(rows.where("id is not null").select(F.col("row").alias("id"), "t"), k, pct, work).withColumnRenamed("id", "row"))
+        tied = rows.where("id is not null").select("row", "id").join(found, "row")
+        ids = work.keep(tied.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("size")))
+        named = work.keep(join_classes(tied, ids, ["root"], rows.count()).select("row", "id", "n_shingles", "least"))
+        one = components(work, named.select(F.col("id").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("id"), F.col("root").alias("component_id"))
+        out = named.join(one, "id", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    else:
+        out = _components(src.where("id is not null"), k, pct, work).withColumnRenamed("root", "component_id")
+    lost = profile(src.where("id is null"), k).where("kind = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return out.unionByName(lost).withColumnRenamed("id", id_col)
+
+
+def _components(whole: DataFrame, k: int, pct: int, work: Work) -> DataFrame:
+    """(id, n_shingles, root) of rows (id, t), no id of which is null or repeated."""
+    seen = work.keep(profile(whole, k))
     base = seen.where("kind = 0")
-    whole = src.where("id is not null")
+    total = base.count()
     # copies: equal sets are one class, its smallest id the first link of the others
-    nodes = base.where("n > 0 and id is not null")
-    classes = nodes.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
-    member = nodes.join(classes.where("size > 1"), ["k1", "k2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    nodes = base.where("n > 0").select("id", "k1", "k2", "n")
+    classes = work.keep(nodes.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1"))
+    member = join_classes(nodes, classes, ["k1", "k2", "n"], total).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     late = seen.where("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "id").limit(MOST_LATE).collect()
     late_id = np.array([r["id"] for r in late], np.int64).view(np.uint64)
     level = np.array([min(63, int(r["c"]).bit_length()) for r in late], np.int64)
     order = np.argsort(late_id)
-    region = Window.partitionBy("key")
-    rows = windows(whole, k, pct, late_id[order], level[order])
-    first = F.min(F.struct("id", "n", "pos")).over(region)
+    rows = work.keep(windows(whole, k, pct, late_id[order], level[order]))
     # groups of one are gone here; what stays is as large as the copies and chance neighbours in the corpus
-    met = rows.withColumn("p", first).withColumn("last", F.max("id").over(region)).where("p.id <> last")
+    met = with_region(rows, p=F.min(F.struct("id", "n", "pos")), last=F.max("id")).where("p.id <> last")
     met = work.keep(met.select("key", "id", "n", "pos", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")))
-    ids = base.where("id is not null").agg(F.count("id").alias("n"), F.count_distinct("id").alias("d")).first()
-    once = ids["n"] == ids["d"]
-    sigs = base.where("id is not null").groupBy("id").agg(F.first("sig").alias("sig"))
+    work.drop(rows)
+    sigs = base.select("id", "sig")
     # first round: each document against the pivot that it meets most often within the windows
     star = met.where("id <> pid").where(_fits("n", "pn", pct) & _reaches("n", "pn", "pos", "pp", pct))
     star = star.groupBy("id", "pid").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", -F.col("pid"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.col2")).alias("b"))
     star = work.keep(_near_signatures(star, sigs, pct))
     ids = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
-    sets = work.keep(full_sets(whole, ids, k, once))
+    sets = work.keep(full_sets(whole, ids, k))
     one = work.keep(_verified(star, sets, pct).union(member))
     comp = work.keep(components(work, one))
     # open regions: those with more than one component left
     c = comp.select(F.col("node").alias("id"), "root")
-    state = met.select("key", "id", "n", "pos").join(c, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-    state = state.withColumn("lo", F.min("comp").over(region)).withColumn("hi", F.max("comp").over(region)).withColumn("g", F.count("*").over(region)).where("lo <> hi")
-    state = work.keep(state.select("key", "id", "n", "pos", "comp", "g"))
-    work.drop(met, star, sets, comp)
-    small = state.where(F.col("g") <= SMALL)
+    state = work.keep(met.select("key", "id", "n", "pos").join(c, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"))
+    still = work.keep(with_region(state, lo=F.min("comp"), hi=F.max("comp"), g=F.count("*")).where("lo <> hi").select("key", "id", "n", "pos", "comp", "g"))
+    work.drop(met, star, sets, comp, state)
+    small = still.where(F.col("g") <= SMALL)
     x = small.select("key", *[F.col(v).alias(f"{v}x") for v in ("id", "n", "pos", "comp")])
     y = small.select("key", *[F.col(v).alias(f"{v}y") for v in ("id", "n", "pos", "comp")])
     cond = (x["key"] == y["key"]) & (F.col("idx") < F.col("idy")) & (F.col("compx") != F.col("compy")) & _fits("nx", "ny", pct) & _reaches("nx", "ny", "posx", "posy", pct)
     pairs = x.join(y, cond).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
     pairs = work.keep(_near_signatures(pairs, sigs, pct))
-    more = [_verified(pairs, work.keep(full_sets(whole, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), k, once)), pct)]
-    large = work.keep(state.where(F.col("g") > SMALL).select("key", "id", "comp").distinct())
+    more = [_verified(pairs, work.keep(full_sets(whole, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), k)), pct)]
+    large = work.keep(still.where(F.col("g") > SMALL).select("key", "id", "n", "comp").distinct())
     if large.limit(1).count():
-        more.append(_large(large, whole, sigs, k, pct, once, work))
+        more.append(_large(large, whole, sigs, k, pct, work))
     links = one
     for m in more:
         links = links.union(m)
     links = work.keep(links)
-    sizes = work.keep(base.select("id", F.col("n").alias("n_shingles")))
-    work.drop(seen, state, pairs, one)
+    sizes = work.keep(base.select("id", F.col("n").cast("long").alias("n_shingles")))
+    work.drop(seen, still, pairs, one, classes)
     done = components(work, links).select(F.col("node").alias("id"), "root")
-    out = sizes.join(done, "id", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("root", "id").alias("component_id"))
+    return sizes.join(done, "id", "left").select("id", "n_shingles", F.coalesce("root", "id").alias("root"))
 
 
 def _block_tasks(members: DataFrame, work: Work) -> DataFrame:
-    """(key, id, comp, blk, lo, hi): members of large regions dealt to tasks of two blocks; tasks of one component have nothing to join.
+    """(key, id, n, comp, blk, lo, hi): members of large regions dealt to tasks of two blocks; tasks of one component have nothing to join.
 
+    Blocks follow the number of members and their sizes, so that no task holds more than two blocks' sets (or two very large sets).
     Regions with the same members are joined once.
     """
-    region = members.groupBy("key").agg(F.count("*").alias("g"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h"))
-    region = region.groupBy("g", "h").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(region, "key").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    region = members.groupBy("key").agg(F.count("*").alias("g"), F.sum("n").alias("w"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h"))
+    blocks = F.greatest(F.ceil(F.col("g") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
+    region = region.groupBy("g", "h").agg(F.min(F.struct("key", blocks.alias("blocks"))).alias("r")).select("r.key", "r.blocks", "g")
+    total = members.count()
+    placed = join_classes(members, region, ["key"], total, "g").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("lo"), F.greatest(o, F.col("blk")).alias("hi"))))
-    tasks = placed.select("key", "id", "comp", "blk", spread.alias("t")).select("key", "id", "comp", "blk", "t.lo", "t.hi")
+    tasks = placed.select("key", "id", "n", "comp", "blk", spread.alias("t")).select("key", "id", "n", "comp", "blk", "t.lo", "t.hi")
     w = Window.partitionBy("key", "lo", "hi")
     return work.keep(tasks.withColumn("c0", F.min("comp").over(w)).withColumn("c1", F.max("comp").over(w)).where("c0 <> c1").drop("c0", "c1"))
 
 
-def near_members(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, pct: int) -> np.ndarray:
+def near_members(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, pct: int) -> np.ndarray:
     """The first member that each member reaches by steps between members of different components whose signatures are within the
-    radius; a member near none reaches itself. Sizes bound the search: in order of size, only a window of sizes can be near."""
+    radius; a member near none reaches itself. Sizes n bound the search: in order of size, only a window of sizes can be near. A
+    signature of zeros says nothing: it is near all of its window."""
     m = len(sig)
-    n = sig.sum(axis=1)
-    if (n == 0).any():  # such a signature says nothing
-        return np.zeros(m, np.int64)
     order = np.argsort(n, kind="stable")
-    s, c, d, n = sig[order], comp[order], side[order], n[order]
+    s, c, d, n = sig[order], comp[order], side[order], n[order].astype(np.int64)
+    blank = s.sum(axis=1) == 0
     end = np.searchsorted(n * pct, n * 100, "right")
     left, right = [], []
     for i in range(m):
@@ -319,7 +346,7 @@ def near_members(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, pct: int)
         j = j[(c[j] != c[i]) & ((d[j] != d[i]) | (d[i] == 2))]
         if len(j):
             low = np.minimum(s[j], s[i]).sum(axis=1)
-            j = j[100 * low >= pct * (n[j] + n[i] - low)]
+            j = j[(100 * low >= pct * (n[j] + n[i] - low)) | blank[j] | blank[i]]
             left.append(np.full(len(j), i))
             right.append(j)
     if not left:
@@ -327,8 +354,8 @@ def near_members(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, pct: int)
     return roots(m, order[np.concatenate(left)], order[np.concatenate(right)])
 
 
-def _large(members: DataFrame, docs: DataFrame, sigs: DataFrame, k: int, pct: int, once: bool, work: Work) -> DataFrame:
-    """Links inside large open regions (key, id, comp): tasks of two blocks each, first by signatures.
+def _large(members: DataFrame, docs: DataFrame, sigs: DataFrame, k: int, pct: int, work: Work) -> DataFrame:
+    """Links inside large open regions (key, id, n, comp): tasks of two blocks each, first by signatures.
 
     Near copies share most of their regions; so what the signatures leave is gathered into clusters of members that reach each other
     by near signatures, whichever the region, and each cluster's sets are compared once.
@@ -339,7 +366,7 @@ def _large(members: DataFrame, docs: DataFrame, sigs: DataFrame, k: int, pct: in
 
     def sift(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, SIG).astype(np.int32)
-        to = near_members(sig, g["comp"].to_numpy(), sides(key, g), pct)
+        to = near_members(sig, g["n"].to_numpy(), g["comp"].to_numpy(), sides(key, g), pct)
         ids = g["id"].to_numpy()
         some = to != np.arange(len(g))
         return pd.DataFrame({"a": ids[some], "b": ids[to[some]]})
@@ -347,9 +374,9 @@ def _large(members: DataFrame, docs: DataFrame, sigs: DataFrame, k: int, pct: in
     near = _block_tasks(members, work).join(sigs.select("id", "sig"), "id").groupBy("key", "lo", "hi").applyInPandas(sift, "a long, b long")
     near = work.keep(near.distinct())
     clusters = components(work, near).select(F.col("node").alias("id"), F.col("root").alias("key"))
-    comps = members.select("id", "comp").distinct()
-    tasks = _block_tasks(work.keep(clusters.join(comps, "id").select("key", "id", "comp")), work)
-    sets = work.keep(full_sets(docs, tasks.select("id").distinct(), k, once))
+    comps = members.select("id", "n", "comp").distinct()
+    tasks = _block_tasks(work.keep(clusters.join(comps, "id").select("key", "id", "n", "comp")), work)
+    sets = work.keep(full_sets(docs, tasks.select("id").distinct(), k))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("id", kind="stable")
@@ -357,4 +384,4 @@ def _large(members: DataFrame, docs: DataFrame, sigs: DataFrame, k: int, pct: in
         got = region_links([np.frombuffer(s, np.uint64) for s in g["set"]], g["comp"].to_numpy(), sides(key, g), pct)
         return pd.DataFrame({"a": [ids[i] for i, _ in got], "b": [ids[j] for _, j in got]}, dtype="int64")
 
-    return work.keep(tasks.join(sets, "id").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long"))
+    return work.keep(tasks.select("key", "id", "comp", "blk", "lo", "hi").join(sets, "id").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long"))

@@ -124,6 +124,8 @@ def test_jaccard_chains_and_large_groups(spark, k, pct, monkeypatch):
     """Large groups of near copies, of which many reach each other only by others, and chance neighbours of one hot passage."""
     monkeypatch.setattr(jaccard, "SMALL", 6)
     monkeypatch.setattr(jaccard, "BLOCK", 20)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 1500)
+    monkeypatch.setattr(jaccard, "HOT", 5)
     texts = near_copies(70, 120, 8, 1) + near_copies(30, 60, 5, 2) + near_copies(20, 300, 12, 3)
     rng = random.Random(4)
     hot = " ".join(f"h{i}" for i in range(25))
@@ -135,6 +137,23 @@ def test_jaccard_chains_and_large_groups(spark, k, pct, monkeypatch):
     assert got == brute_components(rows, k, pct)
 
 
+def test_jaccard_of_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+    near = lambda w: " ".join(w[:59] + ["other"])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (2, near(a)), (3, near(b)), (9, "x y z"), (9, "x y z"), (9, None), (5, None), (5, None), (None, " ".join(a)), (4, "x  y\tz")]
+    df = spark.createDataFrame([(i, t, 1, 2, "k") for i, t in rows], "doc_id long, text string, n long, row long, key string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(df, 3, 90).collect()), key=str)
+    assert got == sorted([(7, 2), (7, 2), (2, 2), (3, 2), (9, 4), (9, 4), (9, 4), (5, 5), (5, 5), (None, None), (4, 4)], key=str)
+
+
+def test_signatures_that_say_nothing():
+    sig = np.zeros((4, jaccard.SIG), np.int32)
+    sig[2:, 0] = 100, 10
+    to = jaccard.near_members(sig, np.array([100, 95, 100, 10]), np.arange(4), np.full(4, 2), 90)
+    assert to[0] == to[1] == to[2] != to[3]
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100) for i in range(1, 50)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
