@@ -130,9 +130,12 @@ def shrink(samples: np.ndarray) -> np.ndarray:
 
 
 def cosine_hash(pictures: np.ndarray) -> np.ndarray:
-    """64-bit hashes of (n, SIDE, SIDE) pictures: a bit says whether a low frequency exceeds the median of all but the mean."""
+    """64-bit hashes of (n, SIDE, SIDE) pictures: a bit says whether a low frequency exceeds the median of all but the mean.
+
+    Frequencies are rounded, so that those that are equal but for the arithmetic's noise (as in flat pictures) stay equal.
+    """
     f = _DCT @ pictures @ _DCT.T
-    f = f.reshape(len(f), LOW * LOW)
+    f = f.reshape(len(f), LOW * LOW).round(6)
     bits = f > np.median(f[:, 1:], axis=1)[:, None]
     bits[:, 0] = f[:, 0] > 127.5 * SIDE
     return np.packbits(bits, axis=1)

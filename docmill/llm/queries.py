@@ -36,8 +36,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return media.media_features(media.as_media(docs)).drop("feature_bits")
+    work = Work(spark, "op3")
+    stored = work.keep(media.as_media(table(spark, sf_dir, "documents")), "media")
+    return media.media_features(stored).drop("feature_bits")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
