@@ -57,51 +57,52 @@ class LangModel:
         return out
 
 
-def learn(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), dict_bytes: int = 65_536, doc_chars: int = 1_500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
+def learn(docs: DataFrame, fold: tuple[int, int] | None = (4, 2), dict_bytes: int = 65_536, sample_bytes: int = 524_288, most_langs: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """Fit the dictionaries on a bounded sample of labelled rows.
 
-    Bound: for each language about dict_bytes / doc_chars * 4 documents drawn by a hash of their id from
-    all of its documents outside the fold (crc32(id) mod fold[0] == fold[1] is left out), of each
-    at most doc_chars characters, up to dict_bytes bytes. A language that stays short and has more text is drawn
-    once more, about 8 * dict_bytes characters of it. Rows with a null id, text or
-    language teach nothing. A language's dictionary holds distinct lines' text only once, unless
-    that is all its text: then it is repeated to the length of the others, which are not cut.
+    Bound: of each language about sample_bytes characters of whole documents, drawn by a hash of their id from all of its
+    documents outside the fold (crc32(id) mod fold[0] == fold[1] is left out); documents are cut to dict_bytes characters only
+    where one alone would fill a dictionary, at a place that the hash of its id sets. Documents of up to dict_bytes / 32 characters are
+    drawn where there are enough of them, so that a dictionary has many authors. Whole documents go to the dictionary, up to dict_bytes bytes. Rows with a null id, text or language teach nothing; the most_langs languages of the most
+    rows are learned. A language's dictionary holds equal lines once, unless that is all its text: then it is repeated to the
+    length of the others, which are not cut.
     """
     src = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("i is not null and t is not null and l is not null and length(t) > 0")
     if fold:
         src = src.where(crc_mod("i", fold[0]) != fold[1])
-    held = lambda chars: F.sum(F.least(F.length("t"), F.lit(chars)))
-    counts = {r["l"]: r for r in src.groupBy("l").agg(F.count("*").alias("n"), held(doc_chars).alias("heads"), held(dict_bytes).alias("chars")).collect()}
+    size = F.length("t")
+    usual = size <= dict_bytes // 32
+    counts = src.groupBy("l").agg(F.count("*").alias("n"), F.sum(F.when(usual, size).otherwise(0)).alias("usual"), F.sum(F.least(size, F.lit(dict_bytes))).alias("chars"))
+    counts = counts.orderBy(F.desc("n"), "l").limit(most_langs).collect()
     if not counts:
         return LangModel({})
+    many = {r["l"]: r["usual"] >= sample_bytes for r in counts}
+    share = {r["l"]: min(1.0, sample_bytes / (r["usual"] if many[r["l"]] else max(1, r["chars"]))) for r in counts}
     unit = F.pmod(F.xxhash64("i"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-
-    def draw(share: dict[str, float], chars: int) -> dict[str, bytes]:
-        """Up to dict_bytes bytes a language, from so large a share of its documents and so many characters of each."""
-        parts: dict[str, list[bytes]] = {k: [] for k in share}
-        sizes, seen = dict.fromkeys(share, 0), {k: set() for k in share}
-        of = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])
-        rows = src.where(unit < of[F.col("l")]).select("l", unit.alias("u"), "i", F.substring("t", 1, chars).alias("t")).collect()
-        for r in sorted(rows, key=lambda r: (r["l"], r["u"], r["i"])):
-            lang = r["l"]
-            if sizes[lang] >= dict_bytes:
-                continue
-            lines = [x for x in r["t"].split("\n") if x not in seen[lang]]
-            seen[lang].update(lines)
-            piece = plain("\n".join(lines)).encode()
-            parts[lang].append(piece)
-            sizes[lang] += len(piece)
-        return {k: b"".join(v)[:dict_bytes] for k, v in parts.items()}
-
-    want = 4 * max(1, dict_bytes // doc_chars)
-    share = {k: min(1.0, want / r["n"]) for k, r in counts.items()}
-    got = draw(share, doc_chars)
-    short = {k: min(1.0, 8 * dict_bytes / r["chars"]) for k, r in counts.items() if len(got[k]) < dict_bytes and (share[k] < 1 or r["chars"] > r["heads"])}
-    for k, v in (draw(short, dict_bytes) if short else {}).items():
-        got[k] = max(got[k], v, key=len)
+    of = F.create_map(*[x for k in share for x in (F.lit(k), F.struct(F.lit(share[k]).alias("share"), F.lit(many[k]).alias("usual")))])[F.col("l")]
+    begin = F.when(size > dict_bytes, F.floor(F.pmod(F.xxhash64("i", F.lit(1)), size - dict_bytes)).cast("int")).otherwise(0) + 1
+    drawn = src.where((unit < of["share"]) & (usual | ~of["usual"])).select("l", unit.alias("u"), "i", F.substring("t", begin, F.lit(dict_bytes)).alias("t")).collect()
+    parts: dict[str, list[list[str]]] = {k: [] for k in share}
+    for r in sorted(drawn, key=lambda r: (r["l"], r["u"], r["i"])):
+        parts[r["l"]].append(r["t"].split("\n"))
+    got = {k: dictionary(v, dict_bytes) for k, v in parts.items()}
     # dictionaries of one length, so that none helps by its size
-    size = max(map(len, got.values()))
-    return LangModel({k: (v * -(-size // len(v)))[:size].ljust(8) for k, v in got.items() if v})
+    longest = max(map(len, got.values()))
+    return LangModel({k: (v * -(-longest // len(v)))[:longest].ljust(8) for k, v in got.items() if v})
+
+
+def dictionary(docs: list[list[str]], most: int) -> bytes:
+    """Up to so many bytes of the documents' lines, equal lines once."""
+    seen: set[str] = set()
+    out, size = [], 0
+    for lines in docs:
+        fresh = [x for x in lines if x not in seen]
+        seen.update(fresh)
+        out.append(plain("\n".join(fresh)).encode("utf-8", "replace"))
+        size += len(out[-1])
+        if size >= most:
+            break
+    return b"".join(out)[:most]
 
 
 def classify(texts: list[str | None], model: LangModel, coders: dict | None = None) -> list[tuple[str, float, bool]]:
