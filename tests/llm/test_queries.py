@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from docmill.llm import queries
+from docmill.llm import licenses, queries
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,6 +93,29 @@ def test_media(spark, docs):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
 
 
+def test_media_features_by_plain_sums(spark, docs):
+    """The hash of the stored picture, from the cosine transform written out as sums."""
+    got = queries.op3_media_columns(spark, SF).toPandas().set_index("doc_id").feature
+    for i, t in list(zip(docs.doc_id, docs.text, strict=True))[:25]:
+        raw = t.encode()
+        pad = np.frombuffer(raw + bytes(-len(raw) % 64 or (0 if raw else 64)), np.uint8).reshape(-1, 64)
+        h = len(pad)
+        cell = np.zeros((32, 32))
+        for y in range(32):
+            a, b = y * h // 32, (y + 1) * h // 32
+            rows = pad[a : max(b, a + 1)]
+            for x in range(32):
+                cell[y, x] = rows[:, 2 * x : 2 * x + 2].astype(float).mean()
+        f = np.zeros((8, 8))
+        for u in range(8):
+            for v in range(8):
+                cu, cv = (math.sqrt((1 if w == 0 else 2) / 32) for w in (u, v))
+                f[u, v] = cu * cv * sum(cell[y, x] * math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32))
+        flat = f.ravel().round(6)
+        bits = [flat[0] > 127.5 * 32, *(flat[1:] > np.median(flat[1:]))]
+        assert got[i] == f"{int(''.join('1' if b else '0' for b in bits), 2):016x}"
+
+
 def test_line_dedup(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
@@ -108,6 +131,39 @@ def test_language(spark):
     assert len(held) > 100 and (held.lang == held.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_language_by_plain_compression(spark, docs):
+    """Every document against every dictionary, written out."""
+    import zstandard
+
+    from docmill.llm import langid
+    from docmill.llm.common import table
+
+    model = langid.learn(table(spark, SF, "documents"), fold=(4, 2))
+    got = queries.op5_language_id(spark, SF).toPandas().set_index("doc_id")
+
+    def size(raw, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        p = zstandard.ZstdCompressionParameters.from_level(1, min_match=4, strategy=zstandard.STRATEGY_DFAST, window_log=18, hash_log=15, chain_log=15, write_content_size=False)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(raw))
+
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        w = "".join(c if c.isalpha() else " " for c in t.lower()).split()
+        if len(set(w)) * 2 < len(w):
+            w = [x for j, x in enumerate(w) if j == 0 or x != w[j - 1]]
+        if not w:
+            assert got.lang_pred[i] == "und"
+            continue
+        rest, parts = f" {' '.join(w)} ", []
+        while len(rest) > 16_384:
+            cut = rest.rindex(" ", 1, 16_384)
+            parts.append(rest[:cut])
+            rest = rest[cut:]
+        parts.append(rest)
+        sizes = {k: sum(size(x.encode() + b" " * 256, c) for x in parts) for k, c in model.contents.items()}
+        best = min(sorted(sizes), key=sizes.get)
+        assert got.lang_pred[i] == best and got.score[i] == pytest.approx(1 / sum(2.0 ** (-min(60, (n - sizes[best]) / 2)) for n in sizes.values()))
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op6_toxicity(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), how="left")
@@ -155,6 +211,59 @@ def test_licenses(spark, docs):
         assert set(got.loc[i].licenses) == {k for k, s in notes.items() if s in t.split("\n")}
 
 
+def brute_licences(text):
+    """The sentence rules, word by word: a known sentence starts and ends at a line's or sentence's ends and has no sentence's end inside but its own."""
+    def words_of(t):
+        t = t.lower()
+        found = list(re.finditer("[a-z0-9]+", t))
+        gaps = [t[: found[0].start()] if found else t, *(t[a.end() : b.start()] for a, b in zip(found, found[1:], strict=False)), t[found[-1].end() :] if found else ""]
+        kinds = []
+        for k, g in enumerate(gaps):
+            prev = found[k - 1][0] if k else ""
+            g = g[1:] if prev == "v" and re.match("[.!?:]", g) else g
+            kinds.append("E" if re.search(r"[.!?:]\s", g) else "N" if re.search(r"[\n\r\v\f]", g) else " ")
+        kinds[0], kinds[-1] = "N", "N"
+        return [m[0] for m in found], kinds
+
+    words_in, kinds = words_of(text)
+    known = sorted(((*words_of(s), k) for k, s in licenses.SENTENCES.items()), key=lambda x: -len(" ".join(x[0])))
+    ids, at = [], 0
+    while at < len(words_in):
+        for w, own, name in known:
+            end = at + len(w)
+            if words_in[at:end] == w and kinds[at] != " " and kinds[end] != " " and all(kinds[at + j] != "E" or own[j] == "E" for j in range(1, len(w))):
+                ids.append(name)
+                at = end
+                break
+        else:
+            at += 1
+    left, found = list(ids), []
+    for name, seq in sorted(licenses.RULES, key=lambda r: -len(r[1])):
+        k = 0
+        while k + len(seq) <= len(left):
+            if left[k : k + len(seq)] == seq:
+                left[k : k + len(seq)] = ["#"]
+                found.append(name)
+            k += 1
+    return ids, list(dict.fromkeys(found))
+
+
+def test_licenses_word_by_word(spark, docs):
+    s = licenses.SENTENCES
+    rng = np.random.default_rng(4)
+    texts = {int(i): t for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    for k in range(150):  # known sentences, wrapped or not, in odd surroundings
+        parts = [str(rng.choice(["", "see v. 2", "x:", "Note. ", "* ", "# a line"]))]
+        for name in rng.choice(list(s), rng.integers(1, 5)):
+            w = s[name].split(" ")
+            cut = int(rng.integers(1, len(w) + 1))
+            parts += [" ".join(w[:cut]) + str(rng.choice(["\n", " ", "\n * "])) + " ".join(w[cut:]), str(rng.choice(["\n", " ", ". ", " and "]))]
+        texts[100_000 + k] = "".join(parts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in licenses.scan(df).collect():
+        assert (r["sentence_ids"], r["licenses"]) == brute_licences(texts[r["doc_id"]]), texts[r["doc_id"]]
+
+
 def test_embeddings(spark):
     got = queries.op9_embedding_neardup(spark, SF).toPandas().set_index("vec_id").sort_index()
     e = pd.read_parquet(f"{SF}/embeddings.parquet").sort_values("vec_id")
@@ -172,3 +281,40 @@ def test_mixing(spark, docs):
     spent = got.groupby("source").n_tokens.sum()
     ratio = spent / have
     assert ratio.min() >= 1 and ratio.max() <= queries.MAX_REPEATS + 1e-9
+
+
+def test_mixing_by_sorting(spark, docs):
+    """Which rows go once and which twice, from the sorted permutation of every source."""
+    from pyspark.sql import functions as F
+
+    src = spark.read.parquet(f"{SF}/documents.parquet")
+    d = src.select("doc_id", "source", F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 52)).alias("u")).toPandas().merge(docs[["doc_id", "text"]])
+    d["n"] = [len(WORD.findall(t)) for t in d.text]
+    tokens = d.groupby("source").n.sum()
+
+    def repeats(a):
+        w = (tokens / tokens.max()) ** a
+        w /= w.sum()
+        return w * (tokens / w).max() / tokens, np.rint(w * (tokens / w).max()).astype(int)
+
+    lo, hi = 0.0, 1.0
+    if repeats(0.0)[0].max() > queries.MAX_REPEATS:
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if repeats(mid)[0].max() <= queries.MAX_REPEATS else (mid, hi)
+    else:
+        hi = 0.0
+    want = Counter()
+    for s, b in repeats(hi)[1].items():
+        left = b
+        g = d[d.source == s].sort_values("u")
+        while left > 0:
+            for r in g.itertuples():
+                if r.n > left:
+                    left = 0
+                    break
+                want[r.doc_id] += 1
+                left -= r.n
+    got = queries.op10_mixing(spark, SF).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].to_dict()
+    off = {k for k in set(want) | set(got) if want[k] != got.get(k, 0)}
+    assert not off
