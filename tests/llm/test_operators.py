@@ -331,7 +331,36 @@ def test_label_model_and_classifier():
     rate = np.array([[0.5, 0.01], [0.4, 0.02], [0.3, 0.005], [0.1, 0.1]])
     v = (rng.random((4000, 4)) < np.where(y[:, None] == 1, rate[:, 0], rate[:, 1])).astype(np.uint8)
     v = np.hstack([v, v[:, :1]])  # a copy of the first voter
-    q, p1, p0, share, _ = toxicity.label_model(v, 0.1, np.where(rng.random(4000) < 0.5, y, -1))
-    assert share[0] == share[4] == 0.5 and share[1] == 1 and p1[0] > 10 * p0[0] and p1[3] < 3 * p0[3]
+    q, p1, p0, share = toxicity.label_model(v, 0.1)
+    assert share[0] == share[4] == 0.5 and share[1] == 1 and p1[0] > 10 * p0[0] and p1[3] < 5 * p0[3]
+    assert abs(p1[0] - 0.5) < 0.15 and abs(p1[1] - 0.4) < 0.15 and q[y == 1].mean() > 0.6 > 0.08 > q[y == 0].mean()
     w, b = toxicity.fit_linear(v, q)
-    assert w[0] > 0.5 and abs(w[3]) < w[1] and b < 0
+    assert w[0] > 0.5 and abs(w[3]) < w[1]
+    z = v @ w + b
+    cut = toxicity.calibrate(z, y)
+    got = np.array([cut.score(t) for t in z])
+    assert ((got >= 0.7) == (y == 1)).mean() > 0.95 and ((got - y) ** 2).mean() < 0.05 and cut.score(cut.at) == pytest.approx(0.7)
+
+
+def test_toxicity_of_several_languages(spark):
+    """Fixed lexicons and patterns speak for languages of which no label is known; long texts count to their end."""
+    rng = random.Random(9)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    calm = {"en": "the a house road of in river".split(), "de": "der die haus straße von fluss".split(), "es": "la el casa camino de río".split()}
+    bad = {"en": ["idiot", "scum", "moron"], "de": ["vollidiot", "abschaum"], "es": ["basura", "gilipollas"]}
+    rows, labels = [], []
+    for i in range(900):
+        la = ("en", "de", "es")[i % 3]
+        toxic = i % 9 < 3 and i % 2 == 0
+        words = say(calm[la], 30).split() + (rng.sample(bad[la], 2) if toxic else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words) + f" n{i}", la, "s"))
+        labels += [(i, int(toxic))] if la == "en" else []
+    rows += [(1000, say(calm["en"], 200_000) + " you are an idiot and scum", "en", "s"), (1001, say(calm["en"], 200_000), "en", "s"), (1002, None, None, None), (1003, "", "en", "s")] + [rows[0]] * 2
+    df = docs_of(spark, rows)
+    model = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"), fold=(3, 1))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, model).collect()}
+    want = {i: int(i % 9 < 3 and i % 2 == 0) for i in range(900)} | {1000: 1, 1001: 0, 1002: 0, 1003: 0}
+    hit = [i for i in want if got[i] == 1]
+    assert sum(want[i] for i in hit) / len(hit) > 0.97 and sum(got[i] for i in want if want[i]) / sum(want.values()) > 0.9
+    assert got[1000] == 1 and got[1001] == got[1002] == got[1003] == 0
