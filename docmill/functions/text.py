@@ -39,6 +39,7 @@ ORG_WORDS = ["limited", "ltd", "coalfields", "colliery", "collieries", "ministry
 #: Word characters as the domain's patterns mean them, in Java's classes.
 WORD = r"[\p{L}\p{N}_]"
 TERM = r"[A-Za-zऀ-ॿ]{3,}"
+# Labels and spellings of a dated line.
 DATE_HINT = (
     r"(?i)(?:as on|dated?|dt\.?|answered on|date completed)\s*[:\-]?\s*"
     r"([0-3]?\d[./-][0-1]?\d[./-](?:19|20)\d\d|(?:19|20)\d\d[./-][0-1]?\d[./-][0-3]?\d|[0-3]?\d\s+[A-Za-z]{3,9}\.?\s*,?\s*(?:19|20)\d\d)"

@@ -3,37 +3,51 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.functions.values import cosine
+from docmill.functions import values as V
 
 TARGET, OVERLAP = 600, 90
 
 
-def chunk_array(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
-    """Sentences packed into chunks of about `target` characters; each but the first begins with the last `overlap` of the one before."""
-    units = F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+|\n{2,}"), lambda u: F.regexp_replace(u, r"^\s+|\s+$", "")), lambda u: u != "")
-    start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
+_ENDS = re.compile(r"(?<=[.!?])\s+|\n{2,}")
 
-    def step(acc: Column, u: Column) -> Column:
-        buf = acc["buf"]
-        full = (buf != "") & (F.length(buf) + 1 + F.length(u) > target)
-        carried = F.regexp_replace(F.concat(F.substring(buf, F.greatest(F.lit(1), F.length(buf) - overlap + 1), F.lit(overlap)), F.lit(" "), u), r"^\s+|\s+$", "") if overlap else u
-        grown = F.regexp_replace(F.concat(buf, F.when(buf != "", " ").otherwise(""), u), r"^\s+|\s+$", "")
-        return F.struct(F.when(full, carried).otherwise(grown).alias("buf"), F.when(full, F.concat(acc["out"], F.array(buf))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(units, start, step, lambda acc: F.when(acc["buf"] != "", F.concat(acc["out"], F.array(acc["buf"]))).otherwise(acc["out"]))
+def chunk_text(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[str]:
+    """Sentences packed into chunks of about `target` characters; each but the first begins with the last `overlap` of the one before.
+
+    Every sentence is looked at once, so the work grows with the text.
+    """
+    out: list[str] = []
+    held: list[str] = []
+    size = 0
+    for unit in _ENDS.split(text.strip()):
+        unit = unit.strip()
+        if not unit:
+            continue
+        if held and size + 1 + len(unit) > target:
+            out.append(" ".join(held))
+            held = [t] if (t := out[-1][-overlap:].strip()) and overlap else []
+            size = sum(map(len, held))
+        size += len(unit) + bool(held)
+        held.append(unit)
+    return [*out, " ".join(held)] if held else out
 
 
 def chunk_pages(pages: DataFrame, doc_col: str = "document_id", text_col: str = "text", page_col: str | None = "page_no", target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """(document, page, chunk_index, text): chunks numbered through a document's pages."""
-    base = pages.select(doc_col, *([page_col] if page_col else []), chunk_array(F.coalesce(F.col(text_col), F.lit("")), target, overlap).alias("_c"))
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return pd.Series([chunk_text(t or "", target, overlap) for t in texts])
+
+    base = pages.select(doc_col, *([page_col] if page_col else []), split(F.col(text_col)).alias("_c"))
     if not page_col:
         return base.select(doc_col, F.posexplode("_c").alias("chunk_index", "text"))
     w = Window.partitionBy(doc_col).orderBy(page_col).rowsBetween(Window.unboundedPreceding, -1)
@@ -68,37 +82,47 @@ def embed(chunks: DataFrame, embedder: Callable[[], Callable[[list[str]], np.nda
     return chunks.withColumn("embedding", run(F.col(text_col)))
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str, vec_col: str = "embedding") -> DataFrame:
-    """The k rows nearest to one vector by cosine, ties by id: partial top-k in every task, no sort of all rows."""
+def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str, vec_col: str = "embedding", owner: str | None = None) -> DataFrame:
+    """The k rows nearest to one vector by cosine, ties by id: partial top-k in every task, no sort of all rows. Scores are rounded after ranking."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.withColumn("score", F.round(cosine(F.col(vec_col), q), 4)).orderBy(F.desc_nulls_last("score"), id_col).limit(k)
+    rows = vectors if owner is None else vectors.where(V.scope(F.col("owner"), owner))
+    return rows.withColumn("score", V.cosine(F.col(vec_col), q)).orderBy(F.desc_nulls_last("score"), id_col).limit(k).withColumn("score", F.round("score", 4))
 
 
 def nearest_for_all(queries: DataFrame, vectors: DataFrame, k: int, qid: str, id_col: str, vec_col: str = "embedding", q_vec: str = "embedding", block: int = 4096) -> DataFrame:
-    """The k nearest rows for each query vector: blocks of at most about `block` queries, a broadcast each, meet all vectors; only the best k rows
-    of a query and Arrow batch go on."""
-    spark = queries.sparkSession
+    """The k nearest rows for each query vector, ties by id: queries and vectors are dealt to blocks, every block of queries meets every block of
+    vectors in one task, and only the best k rows of a query and task go on. Nothing but counts comes to the driver.
+
+    This compares a stated set of queries with all rows; scores are rounded after ranking.
+    """
     q = queries.select(F.col(qid).cast("long").alias("q"), F.col(q_vec).cast("array<double>").alias("v")).where("q is not null and v is not null")
-    blocks = max(1, -(-q.count() // block))
     base = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
-    parts = []
-    for b in range(blocks):
-        rows = q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
-        mat = np.array([r["v"] for r in rows], float).reshape(len(rows), -1)
-        held = spark.sparkContext.broadcast((np.array([r["q"] for r in rows], np.int64), mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)))
-
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, mat = held.value
-            for c in batches:
-                if not len(c) or not len(ids):
-                    continue
-                x = np.stack([np.asarray(v, float) for v in c["v"]])
-                cos = mat @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                n = min(k, len(c))
-                best = np.argsort(-cos, axis=1, kind="stable")[:, :n]
-                yield pd.DataFrame({"q": np.repeat(ids, n), "i": c["i"].to_numpy()[best].ravel(), "score": np.take_along_axis(cos, best, 1).ravel()})
-
-        parts.append(base.mapInPandas(run, "q long, i long, score double"))
-    got = reduce(DataFrame.union, parts)
+    n, m = q.count(), base.count()
+    qb, vb = max(1, -(-n // block)), max(1, -(-m // (8 * block)))
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    # the smaller number of copies: queries go to all blocks of vectors, vectors to all blocks of queries
+    left = q.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("a"), every(vb).alias("b"))
+    right = base.select("i", F.col("v").alias("w"), every(qb).alias("a"), F.pmod(F.xxhash64("i"), F.lit(vb)).cast("int").alias("b"))
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        x = np.stack([np.asarray(v, float) for v in rows])
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"q": [], "i": [], "score": []})
+        y = y.sort_values("i", kind="stable")
+        ids, at, rows = y["i"].to_numpy(), unit(y["w"]), []
+        for s in range(0, len(x), 256):
+            part = x.iloc[s : s + 256]
+            cos = unit(part["v"]) @ at.T
+            low = np.partition(cos, -min(k, cos.shape[1]), axis=1)[:, -min(k, cos.shape[1])]
+            for r, (name, c, least) in enumerate(zip(part["q"], cos, low, strict=True)):
+                some = np.flatnonzero(c >= least)
+                some = some[np.argsort(-c[some], kind="stable")][:k]
+                rows.append(pd.DataFrame({"q": name, "i": ids[some], "score": c[some]}))
+        return pd.concat(rows)
+
+    got = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, "q long, i long, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "i")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(qid), F.col("i").alias(id_col), F.round("score", 4).alias("score"), "rank")

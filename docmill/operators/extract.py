@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 from docmill.functions import values as V
 
+# Parts of the patterns below.
 _N = r"(\d[\d,]*\.?\d*)"
 _VAL = r"([^\n]{3,60}?)(?=\s+[A-Z][A-Za-z]{2,}\s*:|\s{2,}|\n|$)"
 _DATE = r"([0-3]?\d[./-][0-1]?\d[./-](?:19|20)\d\d)"
@@ -61,6 +62,8 @@ SPECS: list[tuple[str, str, str, str | None, str | None, float, str]] = [
 # Patterns and confidences of mentions.
 SEAM = r"\b(?:Seam[-\s]?[IVXLC]+(?:\s+(?:Top|Bottom))?|[A-Z]-[IVXLC]{1,4}|Seam[-\s]?\d+)\b"
 BOREHOLE = r"(?i)\bBH[-/][A-Z0-9]+(?:[-/][A-Z0-9]+)*\b"
+#: Runs of capitalised words on one line, which may name an organisation.
+ORG = r"\b[A-Z][A-Za-z&.]*(?:[ \t]+(?:of[ \t]+)?[A-Z][A-Za-z&.]*)+\b"
 GRADE = r"\bG-?(?:1[0-7]|[1-9])\b"
 SUBSIDIARIES = ["BCCL", "CCL", "CIL", "CMPDI", "ECL", "MCL", "NCL", "NEC", "SECL", "WCL"]
 MENTION_CONF = {"mention_seam": 0.62, "mention_borehole_id": 0.68, "mention_grade": 0.60, "mention_subsidiary": 0.70, "mention_mine": 0.55, "mention_org": 0.50}
@@ -118,7 +121,7 @@ def extract_by_rules(pages: DataFrame, doc_col: str = "document_id", type_col: s
 
 
 def extract_mentions(pages: DataFrame, doc_col: str = "document_id") -> DataFrame:
-    """Seams, boreholes, grades, subsidiaries and mines named on a page, each once a page whatever its case."""
+    """Seams, boreholes, grades, subsidiaries, mines and organisations named on a page, each once a page whatever its case."""
     text = F.col("text")
     damp = F.when(F.col("source_kind") == "ocr", 0.8).otherwise(1.0)
 
@@ -130,9 +133,10 @@ def extract_mentions(pages: DataFrame, doc_col: str = "document_id") -> DataFram
     codes = F.filter(F.array(*[F.when(T.has_word(text, c), F.lit(c)) for c in SUBSIDIARIES]), lambda x: x.isNotNull())
     lines = F.filter(F.split(text, "\n"), lambda x: T.looks_like_mine(x) & F.contains(x, F.lit(":")))
     mines = F.filter(F.transform(lines, lambda x: T.before_label(F.trim(F.regexp_extract(x, r":(.*)$", 1)))), lambda v: v != "")
+    orgs = F.filter(F.transform(every(ORG), T.squeeze), T.plausible_org)
     found = F.concat(
         rows("mention_seam", every(SEAM), "Seam"), rows("mention_borehole_id", every(BOREHOLE), "Block"), rows("mention_grade", every(GRADE), "Mineral"),
-        rows("mention_subsidiary", codes, "Subsidiary"), rows("mention_mine", mines, "Mine"),
+        rows("mention_subsidiary", codes, "Subsidiary"), rows("mention_mine", mines, "Mine"), rows("mention_org", orgs, "Organisation"),
     )
     out = pages.select(doc_col, "page_no", "source_kind", F.posexplode(found).alias("pos", "m")).select(doc_col, "page_no", "source_kind", "pos", "m.*")
     w = Window.partitionBy(doc_col, "field_key", F.lower("value_text"), "page_no").orderBy("pos")
@@ -142,7 +146,9 @@ def extract_mentions(pages: DataFrame, doc_col: str = "document_id") -> DataFram
 def validate(fields: DataFrame, doc_col: str = "document_id", this_year: int | None = None) -> DataFrame:
     """Lower confidence and a note where a document's figures disagree: sums of reserves, dates, percentages."""
     w = Window.partitionBy(doc_col)
-    part = lambda k: F.max(F.when(F.col("field_key") == k, F.col("value"))).over(w)
+    # of several figures of a key the last row's counts: rules before mentions, then by page and text
+    last = F.struct(F.coalesce(F.col("extractor") == "gazetteer", F.lit(False)), "page_no", "value_text")
+    part = lambda k: F.max_by("value", F.when(F.col("field_key") == k, last)).over(w)
     parts = ["proved_reserve", "indicated_reserve", "inferred_reserve", "total_geological_reserve"]
     out = fields
     for k in parts:

@@ -33,87 +33,113 @@ def _node_id(kind: Column, key: Column, owner: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", kind, key, F.coalesce(owner, F.lit("\u0000"))), 256)
 
 
-def build_graph(docs: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: What an attribute map can hold.
+ATTRS = ["doc_type", "doc_date", "subject", "code", "is_borehole", "grade", "commodity", "answer_date", "risk", "action_due", "category", "quantity", "unit", "as_on", "metric", "value", "period"]
+KEYS = [*RESERVES, *PRODUCTION, "mine_name", "mention_mine", "block_name", "borehole_id", "mention_borehole_id", "principal_seam", "mention_seam", "average_grade", "mention_grade", "mention_subsidiary", "mention_org", "question_reference", "finding", "risk_rating", "area", "action_due", "reserves_as_on", "answer_date", "month", "subject"]
+
+
+def match_unit(own: Column, code: Column, org: Column, units: list[tuple[str, str, str]]) -> Column:
+    """The organisational unit (id, code, name) of a document: its own, else one of the mentioned code, else the first whose name holds, or is
+    held by, the mentioned organisation. `units` is a fixed list of reference rows."""
+    kind = "array<struct<id:string,code:string,name:string,by:string>>"
+    if not units:
+        return F.get(F.array().cast(kind), F.lit(0))
+    rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("id", "code", "name"), u, strict=True)]) for u in units])
+    low = F.lower(org)
+    pick = lambda by, ok: F.get(F.transform(F.filter(rows, ok), lambda u: F.struct(u["id"].alias("id"), u["code"].alias("code"), u["name"].alias("name"), F.lit(by).alias("by"))), F.lit(0))
+    return F.coalesce(
+        pick("own", lambda u: u["id"] == own), pick("code", lambda u: u["code"] == F.upper(F.trim(code))),
+        pick("org", lambda u: F.contains(low, F.lower(u["name"])) | F.contains(F.lower(u["name"]), low)),
+    )
+
+
+def build_graph(docs: DataFrame, fields: DataFrame, units: list[tuple[str, str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(entities, relations) of all documents at once; a rerun gives the same rows.
 
-    `docs`: document_id, doc_type, doc_date, subsidiary_id, created_at; `fields`: field_id, document_id, field_key, value_text,
-    value, unit, iso, confidence, page_no, status. Named things are one node a kind, key and owner: the name of the first
-    sighting, the highest confidence; facts are a document's own. Edges never join a node to itself.
+    `docs`: document_id, doc_type, doc_date, subsidiary_id, created_at, filename; `fields`: field_id, document_id, field_key, value_text,
+    value, unit, iso, confidence, page_no, status; `units`: (id, code, name) of the known organisational units. Named things are one
+    node a kind, key and owner: name and provenance of the first sighting, the highest confidence (0 where no field backs
+    it), attributes merged in order of sighting, the last value of each; facts are a document's own. Edges never join a node
+    to itself; one of several equal edges has the first one's provenance.
     """
     best = best_fields(fields)
-    keys = [*RESERVES, *PRODUCTION, "mine_name", "mention_mine", "block_name", "borehole_id", "mention_borehole_id", "principal_seam", "mention_seam", "average_grade", "mention_grade", "mention_subsidiary", "question_reference", "finding", "risk_rating", "area", "action_due", "reserves_as_on", "answer_date", "month", "subject", "mention_org"]
     cell = F.struct("value_text", "value", "unit", "iso", "confidence", "field_id")
-    wide = best.groupBy("document_id").pivot("field_key", keys).agg(F.first(cell))
-    d = docs.select("document_id", "doc_type", F.col("doc_date").cast("date").alias("doc_date"), F.col("subsidiary_id").cast("string").alias("owner"), "created_at").join(wide, "document_id", "left")
+    wide = best.groupBy("document_id").pivot("field_key", KEYS).agg(F.first(cell))
+    d = docs.select("document_id", "doc_type", F.col("doc_date").cast("date").alias("doc_date"), F.col("subsidiary_id").cast("string").alias("owner"), "created_at", "filename").join(wide, "document_id", "left")
     d = d.withColumn("as_on", F.coalesce(F.col("reserves_as_on.iso"), F.col("answer_date.iso"), F.col("doc_date").cast("string")))
     null = F.lit(None).cast("string")
-
-    def pick(*names: str) -> Column:
-        return F.coalesce(*[F.col(n) for n in names])
-
-    def node(kind: str, key: Column, name: Column, owner: Column, attrs: Column, source: Column, when: Column) -> Column:
-        k = F.lit(kind)
-        return F.when(when, F.struct(k.alias("kind"), key.alias("key"), T.clean_name(name).alias("name"), owner.alias("owner"), attrs.alias("attrs"), F.coalesce(source["confidence"], F.lit(0.9)).alias("confidence"), source["field_id"].alias("field_id"), _node_id(k, key, owner).alias("id")))
-
+    nothing = F.lit(None).cast("struct<value_text:string,value:double,unit:string,iso:string,confidence:double,field_id:string>")
+    pick = lambda *names: F.coalesce(*[F.col(n) for n in names])
+    attr = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v.cast("string"))])
     none = F.create_map().cast("map<string,string>")
-    empty = F.lit(None).cast("struct<value_text:string,value:double,unit:string,iso:string,confidence:double,field_id:string>")
     owner, doc = F.col("owner"), F.col("document_id").cast("string")
-    mine, block = pick("mine_name", "mention_mine"), F.col("block_name")
-    hole, seam = pick("borehole_id", "mention_borehole_id"), pick("principal_seam", "mention_seam")
-    grade, sub = pick("average_grade", "mention_grade"), pick("mention_subsidiary")
-    named = lambda c: c.isNotNull() & (T.norm_key(c["value_text"]) != "")
-    gv = F.upper(F.replace(grade["value_text"], F.lit("-"), F.lit("")))
-    attr = lambda **kv: F.map_filter(F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v.cast("string"))]), lambda _, v: v.isNotNull())
-    d = d.withColumn("n_report", node("report", F.concat(F.lit("report:"), doc), F.coalesce(F.col("subject.value_text"), F.concat(F.lit("Report "), doc)), owner, attr(doc_type=F.col("doc_type"), doc_date=F.col("doc_date")), empty, F.lit(True)))
-    sub_name = F.coalesce(owner, sub["value_text"])
-    d = d.withColumn("n_subsidiary", node("subsidiary", F.concat(F.lit("sub:"), F.lower(sub_name)), sub_name, null, attr(code=sub_name), sub, sub_name.isNotNull()))
-    d = d.withColumn("n_mine", node("mine", T.norm_key(mine["value_text"]), mine["value_text"], owner, none, mine, named(mine)))
-    d = d.withColumn("n_block", node("block", T.norm_key(block["value_text"]), block["value_text"], owner, none, block, named(block)))
-    d = d.withColumn("n_hole", node("block", T.norm_key(hole["value_text"]), hole["value_text"], owner, attr(is_borehole=F.lit("true")), hole, named(hole)))
-    d = d.withColumn("n_seam", node("seam", T.norm_key(seam["value_text"]), seam["value_text"], owner, none, seam, named(seam)))
-    d = d.withColumn("n_mineral", node("mineral", F.concat(F.lit("mineral:coal:"), gv), F.concat(F.lit("Coal "), gv), null, attr(grade=gv, commodity=F.lit("coal")), grade, grade.isNotNull()))
-    q = F.col("question_reference")
-    d = d.withColumn("n_inquiry", node("inquiry", F.concat(F.lit("inquiry:"), T.norm_key(q["value_text"])), q["value_text"], null, attr(answer_date=F.col("answer_date.iso")), q, q.isNotNull()))
-    fnd = pick("finding", "risk_rating")
-    d = d.withColumn("n_finding", node("finding", F.concat(F.lit("finding:"), doc), F.coalesce(F.col("area.value_text"), fnd["value_text"]), owner, attr(risk=F.col("risk_rating.value_text"), action_due=F.col("action_due.iso")), fnd, fnd.isNotNull()))
+
+    def node(kind: str, key: Column, name: Column, own: Column, attrs: Column, source: Column, when: Column) -> Column:
+        k = F.lit(kind)
+        return F.when(when, F.struct(k.alias("kind"), key.alias("key"), T.clean_name(name).alias("name"), own.alias("owner"), attrs.alias("attrs"), F.coalesce(source["confidence"], F.lit(0.0)).alias("confidence"), source["field_id"].alias("field_id"), _node_id(k, key, own).alias("id")))
+
+    d = d.withColumn("unit", match_unit(owner, F.col("mention_subsidiary.value_text"), F.col("mention_org.value_text"), units or []))
+    d = d.withColumn("f_sub", F.when(F.col("unit.by") == "org", F.col("mention_org")).otherwise(F.col("mention_subsidiary")))
+    d = d.withColumn("f_mine", pick("mine_name", "mention_mine")).withColumn("f_hole", pick("borehole_id", "mention_borehole_id")).withColumn("f_seam", pick("principal_seam", "mention_seam")).withColumn("f_grade", pick("average_grade", "mention_grade")).withColumn("f_finding", pick("finding", "risk_rating"))
+    text = lambda name: F.col(f"{name}.value_text")
+    code = F.coalesce(F.col("unit.code"), F.upper(F.trim(text("f_sub"))))
+    grade = F.upper(F.trim(text("f_grade")))
     period = F.coalesce("as_on", F.col("month.iso"))
-    facts: list[tuple[str, str]] = []
-    for key, cat in RESERVES.items():
+    made = {
+        "report": node("report", F.concat(F.lit("report:"), doc), F.col("filename"), owner, attr(doc_type=F.col("doc_type"), doc_date=F.col("doc_date"), subject=text("subject")), nothing, F.lit(True)),
+        "subsidiary": node("subsidiary", F.concat(F.lit("sub:"), code), F.coalesce(F.col("unit.name"), code), F.col("unit.id"), attr(code=code), F.col("f_sub"), code.isNotNull()),
+        "mineral": node("mineral", F.concat(F.lit("mineral:coal:"), grade), F.concat(F.lit("Coal ("), grade, F.lit(")")), null, attr(grade=grade, commodity=F.lit("coal")), F.col("f_grade"), grade.isNotNull()),
+        "inquiry": node("inquiry", F.concat(F.lit("inquiry:"), T.norm_key(text("question_reference"))), text("question_reference"), null, attr(answer_date=text("answer_date")), F.col("question_reference"), text("question_reference").isNotNull()),
+        "finding": node("finding", F.concat(F.lit("finding:"), doc), F.coalesce(text("area"), F.lit("Inspection finding")), owner, attr(risk=text("risk_rating"), action_due=text("action_due")), F.col("f_finding"), F.col("f_finding").isNotNull()),
+    }
+    for name, kind, source, attrs in (("mine", "mine", "f_mine", none), ("block", "block", "block_name", none), ("hole", "block", "f_hole", attr(is_borehole=F.lit("true"))), ("seam", "seam", "f_seam", none)):
+        made[name] = node(kind, T.norm_key(text(source)), text(source), owner, attrs, F.col(source), F.coalesce(T.norm_key(text(source)), F.lit("")) != "")
+    for key, category in RESERVES.items():
         c = F.col(key)
-        d = d.withColumn(f"n_{key}", node("reserve", F.concat(F.lit("reserve:"), doc, F.lit(f":{key}")), F.lit(f"{cat} reserve"), owner, attr(category=F.lit(cat), quantity=c["value"], unit=F.coalesce(c["unit"], F.lit("million_tonnes")), as_on=F.col("as_on")), c, c["value"].isNotNull()))
-        facts.append((key, "has_reserve"))
+        made[key] = node("reserve", F.concat(F.lit("reserve:"), doc, F.lit(f":{key}")), F.lit(f"{category.title()} reserve"), owner, attr(category=F.lit(category), quantity=c["value"], unit=F.coalesce(c["unit"], F.lit("million_tonnes")), as_on=F.col("as_on")), c, c["value"].isNotNull())
     for key, metric in PRODUCTION.items():
         c = F.col(key)
-        d = d.withColumn(f"n_{key}", node("production_figure", F.concat(F.lit("prod:"), doc, F.lit(f":{key}")), F.lit(metric.replace("_", " ")), owner, attr(metric=F.lit(metric), value=c["value"], unit=F.coalesce(c["unit"], F.lit("")), period=period), c, c["value"].isNotNull()))
-        facts.append((key, "produces"))
-    nodes = ["report", "subsidiary", "mine", "block", "hole", "seam", "mineral", "inquiry", "finding", *[k for k, _ in facts]]
-    one = d.select("document_id", "created_at", F.posexplode(F.array(*[F.col(f"n_{n}") for n in nodes])).alias("pos", "n")).where("n is not null").select("document_id", "created_at", "pos", "n.*")
+        made[key] = node("production_figure", F.concat(F.lit("prod:"), doc, F.lit(f":{key}")), F.lit(metric.replace("_", " ").title()), owner, attr(metric=F.lit(metric), value=c["value"], unit=F.coalesce(c["unit"], F.lit("")), period=period), c, c["value"].isNotNull())
+    # nodes in the order in which a document's are seen
+    order = ["report", "subsidiary", "mine", "block", "hole", "seam", "mineral", *RESERVES, *PRODUCTION, "inquiry", "finding"]
+    d = d.select("document_id", "created_at", "as_on", period.alias("period"), *[F.col(f"{f}.{x}").alias(f"{f}_{x}") for f in ("f_sub", "f_mine", "f_hole", "f_seam", "f_grade", "f_finding", "block_name", "question_reference", *RESERVES, *PRODUCTION) for x in ("field_id", "confidence")], *[made[n].alias(f"n_{n}") for n in order])
+    one = d.select("document_id", "created_at", F.posexplode(F.array(*[F.col(f"n_{n}") for n in order])).alias("pos", "n")).where("n is not null").select("document_id", "created_at", "pos", "n.*")
     at = F.struct("created_at", "document_id", "pos")
-    entities = one.groupBy("id", "kind", "key", "owner").agg(
-        F.min_by("name", at).alias("name"), F.max("confidence").alias("confidence"), F.max_by("attrs", at).alias("attrs"),
-        F.min_by("document_id", at).alias("document_id"), F.min_by("field_id", at).alias("field_id"),
-    )
-    day = F.col("as_on")
-
-    def edge(src: str, dst: str, predicate: str, since: Column = null, src2: str | None = None) -> Column:
-        s = F.col(f"n_{src}.id") if src2 is None else F.coalesce(F.col(f"n_{src}.id"), F.col(f"n_{src2}.id"))
-        return F.struct(s.alias("src"), F.col(f"n_{dst}.id").alias("dst"), F.lit(predicate).alias("predicate"), since.alias("valid_from"), F.col(f"n_{dst}.field_id").alias("field_id"))
-
-    edges = [edge("mine", "report", "reported_in"), edge("mine", "subsidiary", "located_in"), edge("block", "report", "reported_in"), edge("block", "mine", "located_in"), edge("hole", "report", "reported_in"), edge("hole", "mine", "located_in"), edge("block", "seam", "contains"), edge("seam", "mineral", "for_mineral"), edge("report", "inquiry", "responds_to"), edge("finding", "report", "reported_in"), edge("mine", "finding", "mentions"), edge("superseded_value", "revised_value", "supersedes")]
-    edges.append(F.when(F.col("n_subsidiary.field_id").isNotNull(), edge("report", "subsidiary", "mentions")))
-    for key, predicate in facts:
-        edges.append(edge(key, "report", "reported_in", day if predicate == "has_reserve" else period))
-        edges.append(edge("block", key, predicate, day, "mine") if predicate == "has_reserve" else edge("mine", key, predicate, period, "subsidiary"))
-        if predicate == "has_reserve":
-            edges.append(edge(key, "mineral", "for_mineral"))
+    merged = [F.max_by(F.col("attrs")[k], F.when(F.map_contains_key("attrs", k), at)).alias(f"a_{k}") for k in ATTRS]
+    entities = one.groupBy("id", "kind", "key", "owner").agg(F.min_by("name", at).alias("name"), F.max("confidence").alias("confidence"), F.min_by("document_id", at).alias("document_id"), F.min_by(F.struct("field_id"), at).alias("f"), *merged)
+    attrs = F.map_filter(F.create_map(*[x for k in ATTRS for x in (F.lit(k), F.col(f"a_{k}"))]), lambda _, v: v.isNotNull())
+    entities = entities.select("id", "kind", "key", "owner", "name", "confidence", attrs.alias("attrs"), "document_id", F.col("f.field_id").alias("field_id"))
+
+    def edge(src: Column | str, dst: str, predicate: str, source: str, since: Column = null) -> Column:
+        s = F.col(f"n_{src}.id") if isinstance(src, str) else src
+        return F.struct(s.alias("src"), F.col(f"n_{dst}.id").alias("dst"), F.lit(predicate).alias("predicate"), since.alias("valid_from"), F.col(f"{source}_field_id").alias("field_id"), F.coalesce(F.col(f"{source}_confidence"), F.lit(0.0)).alias("confidence"))
+
+    first = lambda a, b: F.coalesce(F.col(f"n_{a}.id"), F.col(f"n_{b}.id"))
+    edges = [F.when(F.col("f_sub_field_id").isNotNull(), edge("report", "subsidiary", "mentions", "f_sub"))]
+    edges += [edge("mine", "report", "reported_in", "f_mine"), edge("mine", "subsidiary", "located_in", "f_mine")]
+    edges += [edge("block", "report", "reported_in", "block_name"), edge("block", "mine", "located_in", "block_name"), edge("hole", "report", "reported_in", "f_hole"), edge("hole", "mine", "located_in", "f_hole")]
+    edges += [edge("block", "seam", "contains", "f_seam"), edge("seam", "mineral", "for_mineral", "f_grade")]
+    for key in RESERVES:
+        edges += [edge(key, "report", "reported_in", key, F.col("as_on")), edge(first("block", "mine"), key, "has_reserve", key, F.col("as_on")), edge(key, "mineral", "for_mineral", key)]
+    edges.append(edge("superseded_value", "revised_value", "supersedes", "revised_value"))
+    for key in PRODUCTION:
+        edges += [edge(key, "report", "reported_in", key, F.col("period")), edge(first("mine", "subsidiary"), key, "produces", key, F.col("period"))]
+    edges += [edge("report", "inquiry", "responds_to", "question_reference"), edge("finding", "report", "reported_in", "f_finding"), edge("mine", "finding", "mentions", "f_finding")]
     rel = d.select("document_id", "created_at", F.explode(F.array(*edges)).alias("e")).where("e.src is not null and e.dst is not null and e.src <> e.dst").select("document_id", "created_at", "e.*")
     seen = F.struct("created_at", "document_id")
     # an edge is the aggregate of its evidence, so it lives while one document backs it
-    relations = rel.groupBy("src", "dst", "predicate", "valid_from").agg(F.min_by("document_id", seen).alias("document_id"), F.min_by("field_id", seen).alias("field_id"), F.array_sort(F.collect_set("document_id")).alias("documents"))
-    relations = relations.withColumn("valid_from", F.to_date("valid_from")).withColumn("valid_to", F.lit(None).cast("date"))
+    relations = rel.groupBy("src", "dst", "predicate", "valid_from").agg(F.min_by(F.struct("document_id", "field_id", "confidence"), seen).alias("p"), F.count_distinct("document_id").alias("backing"))
+    relations = relations.select("src", "dst", "predicate", F.to_date("valid_from").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), "p.*", F.create_map().cast("map<string,string>").alias("attrs"), "backing")
     return entities, relations.withColumn("id", F.sha2(F.concat_ws("\u001f", "src", "dst", "predicate", F.coalesce(F.col("valid_from").cast("string"), F.lit(""))), 256))
 
 
+def totals_by_document(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """(document_id, entities, relations): what each document was the first to bring."""
+    e = entities.groupBy("document_id").agg(F.count("*").alias("entities"))
+    r = relations.groupBy("document_id").agg(F.count("*").alias("relations"))
+    return e.join(r, "document_id", "full_outer").na.fill(0, ["entities", "relations"])
+
+
 # ---------------------------------------------------------------- reads
 
 
