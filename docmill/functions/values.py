@@ -62,9 +62,11 @@ def word_confidence(words: Column, value: Column) -> Column:
 
 
 def union_box(words: Column, value: Column) -> Column:
-    """Smallest box around the words that are tokens of the value."""
-    tokens = F.regexp_extract_all(F.lower(value), F.lit(r"[\p{L}\p{N}_.,-]+"), F.lit(0))
-    hits = F.filter(words, lambda w: F.array_contains(tokens, F.lower(w["text"])))
+    """Smallest box around the page's words that make up the value: for each part of it the first word that equals, holds or is held by it."""
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9.]+", "")
+    parts = F.filter(F.transform(F.split(F.trim(value), r"\s+"), bare), lambda t: t != "")
+    known = F.filter(F.transform(words, lambda w: F.struct(bare(w["text"]).alias("t"), w["x0"].alias("x0"), w["y0"].alias("y0"), w["x1"].alias("x1"), w["y1"].alias("y1"))), lambda w: w["t"] != "")
+    hits = F.filter(F.transform(parts, lambda p: F.get(F.filter(known, lambda w: F.contains(w["t"], p) | F.contains(p, w["t"])), F.lit(0))), lambda w: w.isNotNull())
     edge = lambda f, k: f(F.transform(hits, lambda w: w[k]))
     box = F.struct(edge(F.array_min, "x0").alias("x0"), edge(F.array_min, "y0").alias("y0"), edge(F.array_max, "x1").alias("x1"), edge(F.array_max, "y1").alias("y1"))
     return F.when(F.size(hits) > 0, box)

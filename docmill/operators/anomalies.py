@@ -116,6 +116,17 @@ def merge(stored: DataFrame, found: DataFrame, carry: list[str], sig: str = "sig
     return j.select(sig, status.alias("status"), change.alias("change"), *[F.when(new & (~old | is_open), F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")).alias(c) for c in carry])
 
 
+def scan(stored: DataFrame, f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings, statistics): detect, merge with the stored findings by signature, and count the changes by kind.
+
+    stored: signature, kind, status, severity, anchor, title, detail.
+    """
+    carry = ["kind", "severity", "anchor", "title", "detail"]
+    merged = merge(stored, detect(f), carry)
+    n = lambda what: F.count_if(F.col("change") == what)
+    return merged, merged.groupBy("kind").agg(n("created").alias("created"), n("updated").alias("updated"), n("auto_resolved").alias("resolved"), n("kept").alias("kept"))
+
+
 def review(stored: DataFrame, decisions: DataFrame, sig: str = "signature") -> DataFrame:
     """Reviewers' new states (not back to open) over the stored ones."""
     d = decisions.where("decision in ('acknowledged', 'resolved', 'dismissed')").select(sig, "decision")

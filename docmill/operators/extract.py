@@ -97,7 +97,7 @@ def _field(spec: tuple, page: Column) -> Column:
         found,
         F.struct(
             F.lit(key).alias("field_key"), shown.alias("value_text"), number.alias("value"), F.lit(unit).cast("string").alias("unit"), day.alias("iso"),
-            F.lit(entity).cast("string").alias("entity_type"), conf.alias("confidence"), T.snippet(text, whole).alias("snippet"),
+            F.lit(entity).cast("string").alias("entity_type"), conf.alias("confidence"), T.snippet(text, whole).alias("snippet"), V.union_box(page["words"], raw).alias("bbox"),
         ),
     )
 
@@ -117,7 +117,7 @@ def extract_by_rules(pages: DataFrame, doc_col: str = "document_id", type_col: s
         found = F.when(F.col(type_col) == kind, arr) if found is None else found.when(F.col(type_col) == kind, arr)
     page_struct = pages.select(doc_col, "page_no", "source_kind", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f"))
     first = page_struct.groupBy(doc_col, F.col("f.field_key").alias("field_key")).agg(F.min_by(F.struct("page_no", "source_kind", "f"), "page_no").alias("m"))
-    return first.select(doc_col, "field_key", "m.f.value_text", "m.f.value", "m.f.unit", "m.f.iso", "m.f.entity_type", "m.f.confidence", F.col("m.f.snippet").alias("source_snippet"), "m.page_no", "m.source_kind", F.concat(F.lit("rule:"), F.col("field_key")).alias("extractor"))
+    return first.select(doc_col, "field_key", "m.f.value_text", "m.f.value", "m.f.unit", "m.f.iso", "m.f.entity_type", "m.f.confidence", F.col("m.f.snippet").alias("source_snippet"), F.col("m.f.bbox").alias("bbox"), "m.page_no", "m.source_kind", F.concat(F.lit("rule:"), F.col("field_key")).alias("extractor"))
 
 
 def extract_mentions(pages: DataFrame, doc_col: str = "document_id") -> DataFrame:

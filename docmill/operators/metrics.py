@@ -77,3 +77,8 @@ def score_fields(truth: DataFrame, predicted: DataFrame, aliases: DataFrame) ->
     one = j.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     ok = F.when(F.col("want").isNotNull() & F.col("value").isNotNull(), number_matches(F.col("value"), F.col("want"))).otherwise(text_matches(F.col("value_text"), F.col("want_text")))
     return one.select("document_id", "key", F.when(has, F.col("field_key")).alias("field_key"), F.coalesce(ok & has, F.lit(False)).alias("matched"))
+
+
+def extra_keys(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """(document_id, field_key): what was found beyond what was expected."""
+    return found.select("document_id", "field_key").distinct().join(expected.select("document_id", "field_key"), ["document_id", "field_key"], "left_anti")

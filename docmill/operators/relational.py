@@ -61,3 +61,25 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     j = o.join(mark, cond, "full_outer")
     is_new = F.coalesce(F.col("n._new"), F.lit(False))
     return j.select(*[F.when(is_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in [*keys, *cols]]).select(*old.columns)
+
+
+def page_with_total(df: DataFrame, order: list[Column], limit: int, offset: int = 0, cap: str | None = None) -> DataFrame:
+    """A page whose rows carry `total`, the number of rows it is a page of: one count, one partial top-k."""
+    return page(df, order, limit, offset, cap).withColumn("total", F.lit(df.count()))
+
+
+def sum_counts(df: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """A keyed count with each key's share of the total."""
+    total = F.lit(df.agg(F.sum(n)).first()[0])
+    return df.select(key, n, total.alias("total"), F.try_divide(F.col(n), total).alias("share"))
+
+
+def cached_first(pairs: DataFrame) -> DataFrame:
+    """Verified answers, the most used first, then the newest; unknown counts and times lead, as in the store's own order."""
+    return pairs.where("status = 'verified'").orderBy(F.desc_nulls_first("hit_count"), F.desc_nulls_first("verified_at"), "qa_id")
+
+
+def by_page(fields: DataFrame) -> DataFrame:
+    """(document_id, fields): a document's fields by page (none counts as 0), the most certain first."""
+    key = F.struct(F.coalesce("page_no", F.lit(0)).alias("page_no"), (-F.col("confidence")).alias("c"), "field_key")
+    return fields.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(key)), lambda f: f["field_key"]).alias("fields"))

@@ -70,6 +70,14 @@ def compose(evidence: DataFrame, questions: DataFrame, max_sources: int = MAX_SO
     return out.withColumn("flagged", (F.col("status") == "answered") & (F.col("confidence") < accept))
 
 
+def with_markers(answer: Column, confidence: Column, n_sources: Column) -> tuple[Column, Column]:
+    """A written answer with its [n] as citation markers; one without any gets those of the first two sources and less confidence."""
+    text = T.markers(answer)
+    bare = ~F.contains(text, F.lit("[[c:"))
+    extra = F.array_join(F.transform(F.sequence(F.lit(1), F.least(F.lit(2), n_sources)), lambda i: F.concat(F.lit(" [[c:"), i.cast("string"), F.lit("]]"))), "")
+    return F.when(bare & (n_sources > 0), F.concat(text, extra)).otherwise(text), F.when(bare, F.round(confidence * 0.85, 3)).otherwise(confidence)
+
+
 def cached(questions: DataFrame, pairs: DataFrame, threshold: float = CACHE_HIT, owner: str | None = None) -> DataFrame:
     """(question_id, qa_id, similarity): the nearest verified answer, if it is near enough.
 

@@ -115,3 +115,21 @@ def load_summary(calls: DataFrame, seconds: float) -> DataFrame:
 def cited_documents(citations: DataFrame) -> DataFrame:
     """(document_id, citations, confidence): citations by document with their mean confidence."""
     return citations.groupBy("document_id").agg(F.count("*").alias("citations"), F.avg("confidence").alias("confidence"))
+
+
+def monitor(docs: DataFrame, limit: int = 30) -> DataFrame:
+    """The newest documents with the figures that ingestion left in their meta (JSON), 0 where it left none, and the number of failed ones of all."""
+    at = lambda k: F.coalesce(F.get_json_object("meta", f"$.pipeline.{k}").cast("long"), F.lit(0)).alias(k)
+    failed = F.lit(docs.where("status = 'failed'").count()).alias("failed")
+    new = relational.page(docs, [F.desc("created_at"), F.asc("document_id")], limit, cap="documents")
+    return new.select("document_id", "status", at("fields_extracted"), at("fields_needs_review"), at("ocr_pages"), failed)
+
+
+def asked(pairs: DataFrame, answers: DataFrame, at: str, actor: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, audit events) after a batch of answers (of `ask`): each is stored as a row of its own, a cached one as an echo of the verified row,
+    whose hit_count grows; every answer is an event."""
+    old = bump_hits(pairs, answers)
+    new = answers.select(F.xxhash64("question_id", F.lit(at)).alias("qa_id"), F.when(F.col("mode") == "cache", "answered").otherwise(F.col("status")).alias("status"), "answer", "confidence", F.lit(0).cast("long").alias("hit_count"))
+    meta = F.to_json(F.struct("mode", "status", "confidence"))
+    events = answers.select(F.lit(actor).alias("actor"), F.lit("query.asked").alias("action"), F.lit("question").alias("target_type"), F.col("question_id").cast("string").alias("target_id"), meta.alias("meta"))
+    return old.unionByName(new, allowMissingColumns=True), events

@@ -1 +1,15 @@
-"""Registered queries over the stored tables."""
+"""Registered queries and their SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    from docmill.plans import domain, driver, tables
+
+    return driver.QUERIES | domain.QUERIES | tables.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    from docmill.plans import domain, driver, tables
+
+    return driver.SQL | domain.SQL | tables.SQL

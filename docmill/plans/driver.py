@@ -3,32 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 from docmill.functions import values as V
 from docmill.operators import anomalies, audit, chunk, classify, graph, metrics, relational, retrieval, topics
+from docmill.plans.registry import Registry, read
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+R = Registry()
+query, QUERIES, SQL = R.query, R.queries, R.sql
+_t = read
 
 
 def _quoted(words: list[str]) -> str:
@@ -42,10 +28,10 @@ def _map_sql(table: dict[str, str], x: str) -> str:
 _TOKENS_SQL = f"""(SELECT doc_id, {_map_sql(T.SYNONYMS, 't')} AS term FROM (
   SELECT doc_id, {_map_sql(T.ROMAN_HINDI, 't')} AS t FROM (
     SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z\\x{{0900}}-\\x{{097F}}]{{3,}}'))) AS t FROM documents)))"""
-_TERMS_SQL = f"(SELECT doc_id, term FROM {_TOKENS_SQL} WHERE length(term) >= 3 AND term NOT IN ({_quoted(T.STOPWORDS)}))"
+TERMS_SQL = f"(SELECT doc_id, term FROM {_TOKENS_SQL} WHERE length(term) >= 3 AND term NOT IN ({_quoted(T.STOPWORDS)}))"
 
 
-@query(f"""WITH n AS (SELECT term, count(*) AS n FROM {_TERMS_SQL} GROUP BY term ORDER BY n DESC, term LIMIT 60)
+@query(f"""WITH n AS (SELECT term, count(*) AS n FROM {TERMS_SQL} GROUP BY term ORDER BY n DESC, term LIMIT 60)
 SELECT term, n, round(n / max(n) OVER (), 3) AS weight FROM n""")
 def word_cloud(spark, d):
     return topics.word_cloud(_t(spark, d, "documents"))
@@ -177,22 +163,22 @@ def token_overlap_match(spark, d):
     return b.join(x, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).where("n >= 6").select("item_id", "doc_id")
 
 
-_NEAR = "(SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 4) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)"
+_NEAR = "(SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)"
 
 
-@query("SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 4) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 8")
+@query("SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 4) AS score FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 8")
 def vector_topk(spark, d):
     e = _t(spark, d, "embeddings")
     q = e.where("vec_id = 0").select("embedding").first()["embedding"]
     return chunk.top_k(e, q, 8, "vec_id").select("vec_id", "score")
 
 
-@query(f"SELECT query_id, vec_id, score, score >= 0.9 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM {_NEAR} WHERE query_id <> vec_id) WHERE n = 1")
+@query(f"SELECT query_id, vec_id, round(score, 4) AS score, score >= 0.9 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM {_NEAR} WHERE query_id <> vec_id) WHERE n = 1")
 def vector_cache_hit(spark, d):
     e = _t(spark, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     near = chunk.nearest_for_all(q, e, 2, "query_id", "vec_id").where("query_id <> vec_id")
-    return relational.newest(near, ["query_id"], [F.desc("score"), F.col("vec_id")]).select("query_id", "vec_id", "score", (F.col("score") >= retrieval.CACHE_HIT).alias("hit"))
+    return relational.newest(near, ["query_id"], [F.col("rank")]).select("query_id", "vec_id", "score", (F.col("score") >= retrieval.CACHE_HIT).alias("hit"))
 
 
 @query()
@@ -305,7 +291,7 @@ def graph_stats(spark, d):
     return graph.stats(_t(spark, d, "orders").withColumnRenamed("o_orderstatus", "kind"), _t(spark, d, "lineitem").withColumnRenamed("l_returnflag", "predicate"))
 
 
-@query(f"""WITH tf AS (SELECT doc_id AS id, term, count(*) AS tf FROM {_TERMS_SQL} WHERE regexp_full_match(term, '[a-z][a-z_]{{2,}}') GROUP BY ALL),
+@query(f"""WITH tf AS (SELECT doc_id AS id, term, count(*) AS tf FROM {TERMS_SQL} WHERE regexp_full_match(term, '[a-z][a-z_]{{2,}}') GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) <= 0.9 * (SELECT n FROM n)),
 w AS (SELECT id, term, tf * (ln((1.0 + (SELECT n FROM n)) / (1.0 + df)) + 1) AS w FROM tf JOIN df USING (term)),
 s AS (SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 4) AS weight FROM w)
@@ -393,11 +379,3 @@ def document_status(spark, d):
     li = _t(spark, d, "lineitem").join(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     fields = li.select("o_custkey", F.when(F.col("l_returnflag") == "R", "needs_review").otherwise("auto_accepted").alias("status"))
     return status(fields, _t(spark, d, "orders").select("o_custkey").distinct(), "o_custkey")
-
-
-def queries() -> dict[str, Query]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)

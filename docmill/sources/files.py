@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The greatest upload, suffixes by kind.
@@ -17,24 +17,32 @@ WORDS = "array<struct<text:string,x0:double,y0:double,x1:double,y1:double,ocr_co
 PAGES = f"document_id string, page_no int, width double, height double, unit string, source_kind string, text string, words {WORDS}, dpi int"
 
 
-def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) files below a path: document_id, filename, ext, kind, sha256, storage_key, content, length; overlong ones are rejected with a reason
-    (Spark's scan itself leaves out files without a byte).
+def read_files(spark: SparkSession, *paths: str, suffixes: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) files below the paths, or at them: document_id, filename, ext, kind, sha256, storage_key, content, length; overlong ones are
+    rejected with a reason (Spark's scan itself leaves out files without a byte). Only the suffixes are taken, in any case; the default is SUFFIXES.
 
     Lengths come from the listing, so rejected contents are not read for the check.
     """
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (r.option("pathGlobFilter", pattern) if pattern else r).load(path)
+    any_case = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
+    glob = "*.{" + ",".join(any_case(s) for s in suffixes or SUFFIXES) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(list(paths))
     name = F.element_at(F.split("path", "/"), -1)
     reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > MAX_BYTES, "too large")
     ok = describe(files.where(F.col("length").between(1, MAX_BYTES)).withColumn("filename", name))
     return ok, files.where(reason.isNotNull()).select("path", "length", reason.alias("reason"))
 
 
+def kind_of(content_type: Column, filename: Column) -> Column:
+    """pdf, image or text, by the MIME type, else by the suffix."""
+    ct, name = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(filename)
+    image = F.startswith(ct, F.lit("image/")) | name.rlike(rf"\.({'|'.join(IMAGES)})$")
+    return F.when(F.contains(ct, F.lit("pdf")) | F.endswith(name, F.lit(".pdf")), "pdf").when(image, "image").otherwise("text")
+
+
 def describe(files: DataFrame) -> DataFrame:
-    """Adds sha256, document_id, ext, kind and the content-addressed storage_key to (filename, content)."""
+    """Adds sha256, document_id, ext, kind and the content-addressed storage_key to (filename, content and, if known, content_type)."""
     ext = F.lower(F.regexp_extract("filename", r"\.([A-Za-z0-9]+)$", 1))
-    kind = F.when(ext == "pdf", "pdf").when(ext.isin(IMAGES), "image").otherwise("text")
+    kind = kind_of(F.col("content_type") if "content_type" in files.columns else F.lit(None).cast("string"), F.col("filename"))
     x = files.withColumn("sha256", F.sha2("content", 256)).withColumn("ext", F.when(ext == "", "bin").otherwise(ext)).withColumn("kind", kind)
     return x.withColumn("document_id", F.col("sha256")).withColumn("storage_key", F.concat(F.lit("docs/"), F.substring("sha256", 1, 2), F.lit("/"), "sha256", F.lit("."), "ext"))
 
@@ -70,6 +78,34 @@ def pages(files: DataFrame, decoder: Decoder = text_decoder) -> DataFrame:
     return files.select("document_id", "kind", "content").mapInPandas(run, PAGES)
 
 
+#: Fixed value: fewer characters than this are no text layer.
+MIN_TEXT = 20
+
+
+def layered_decoder(text_layer: Decoder, recognise: Callable[[bytes, int], dict]) -> Decoder:
+    """A decoder that takes a page's own text where it has MIN_TEXT characters at least and recognises the page otherwise; a page that
+    recognition fails on stays empty."""
+
+    def decode(kind: str, content: bytes) -> list[dict]:
+        out = []
+        for page in text_layer(kind, content):
+            if len(page["text"].strip()) < MIN_TEXT:
+                try:
+                    page = recognise(content, page["page_no"]) | {"page_no": page["page_no"], "source_kind": "ocr"}
+                except Exception:  # one page must not cost the document
+                    page = page | {"text": "", "words": []}
+            out.append(page)
+        return out
+
+    return decode
+
+
+def with_truth(docs: DataFrame, truth: DataFrame) -> DataFrame:
+    """Expected fields (stem, key, ...) joined to the documents whose file name has that stem."""
+    stem = F.regexp_replace(F.element_at(F.split("filename", "/"), -1), r"\.[^.]+$", "")
+    return docs.select("document_id", stem.alias("stem")).join(truth, "stem")
+
+
 def ocr_lines(words: DataFrame) -> DataFrame:
     """Page texts from recognised words (document_id, page_no, block, par, line, pos, text)."""
     line = words.groupBy("document_id", "page_no", "block", "par", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda w: w["text"]), " ").alias("t"))

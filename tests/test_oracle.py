@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from docmill.plans import driver
+from docmill import plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,14 +24,14 @@ def shown(df):
     return df[cols].astype(str).replace({"None": "nan", "<NA>": "nan", "NaT": "nan"}).sort_values(cols).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(driver.SQL))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_same_rows(spark, duck, name):
-    ours = driver.QUERIES[name](spark, SF).toPandas()
-    theirs = duck.sql(driver.SQL[name]).df()
+    ours = plans.queries()[name](spark, SF).toPandas()
+    theirs = duck.sql(plans.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert shown(ours).equals(shown(theirs))
 
 
 def test_others_run(spark):
-    for name in set(driver.QUERIES) - set(driver.SQL) - {"nmf_topics"}:
-        assert driver.QUERIES[name](spark, SF).count() > 0
+    for name in set(plans.queries()) - set(plans.oracle_sql()):
+        assert plans.queries()[name](spark, SF).count() > 0
