@@ -24,7 +24,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the stored documents; what a stage returns is written and read again."""
     docs, work = table(spark, sf_dir, "documents"), Work(spark, "pipeline")
     for name, stage in STAGES[:-1]:
+        mark = Work.mark()
         kept = work.keep(stage(spark, docs, sf_dir), name)
+        Work.close_since(mark)  # what the stage wrote for itself
         work.drop(docs)
         docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -42,11 +42,13 @@ _OWN_DIR: list[str] = []
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where it is set.
 
-    Only where it is unset (a local session, as in tests) a temporary folder serves instead.
+    Only where it is unset in a local session, as in tests, a temporary folder serves instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="docmill-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
@@ -54,12 +56,40 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Work:
-    """A folder of one call under the shared root; tables written there cut the lineage."""
+    """A folder of one call under the shared root; tables written there cut the lineage.
+
+    A result may read its call's tables until it is written. Whoever writes it can then close() the work, or all works
+    that were opened since a mark().
+    """
+
+    _open: list[Work] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/docmill/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        Work._open.append(self)
+
+    @staticmethod
+    def mark() -> int:
+        return len(Work._open)
+
+    @staticmethod
+    def close_since(mark: int) -> None:
+        """Close the works opened since the mark."""
+        for w in Work._open[mark:]:
+            w._remove(w.path)
+        del Work._open[mark:]
+
+    def close(self) -> None:
+        """Delete the folder with all of its tables."""
+        self._remove(self.path)
+        if self in Work._open:
+            Work._open.remove(self)
+
+    def _remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Write `df` as Parquet and read it back."""
@@ -75,9 +105,7 @@ class Work:
         for df in frames:
             at = getattr(df, "_docmill_path", None)
             if at:
-                jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(at)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._remove(at)
 
 
 def local_path(uri: str) -> str | None:

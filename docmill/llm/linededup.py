@@ -16,9 +16,13 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r"))
+
+
 def _key(line: Column) -> Column:
-    """A line's identity: two independent hashes of the line without outer blanks, 96 bits."""
-    t = F.trim(line)
+    """A line's identity: two independent hashes of the line without outer blanks, tabs and carriage returns, 96 bits."""
+    t = _bare(line)
     return F.struct(F.xxhash64(t).alias("a"), F.hash(t).alias("b"))
 
 
@@ -29,7 +33,7 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     At most (mean lines a page) / ratio lines a host can pass.
     """
     pages = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("t")).where("host is not null")
-    keys = F.array_distinct(F.transform(F.filter(_lines(F.col("t")), lambda x: F.trim(x) != ""), _key))
+    keys = F.array_distinct(F.transform(F.filter(_lines(F.col("t")), lambda x: _bare(x) != ""), _key))
     seen = pages.select("host", F.explode(keys).alias("k")).groupBy("host", "k").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     totals = pages.groupBy("host").agg(F.count("*").alias("total"))
     return seen.join(totals, "host").where(F.col("pages") > F.lit(ratio) * F.col("total")).select("host", "k")
@@ -55,7 +59,7 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
         src = src.withColumn("_s", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
         both = src.join(salted, (F.col("_h") == F.col("_host")) & (F.col("_s") == F.col("_salt")), "left")
     text = F.col(text_col).cast("string")
-    kept = F.when(F.col("_drop").isNull(), _lines(text)).otherwise(F.filter(_lines(text), lambda x: ~F.array_contains(F.col("_drop"), _key(x)) | (F.trim(x) == "")))
+    kept = F.when(F.col("_drop").isNull(), _lines(text)).otherwise(F.filter(_lines(text), lambda x: ~F.array_contains(F.col("_drop"), _key(x)) | (_bare(x) == "")))
     both = both.withColumn("_kept", kept).withColumn("n_lines", F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long"))
     both = both.withColumn("n_lines", F.when(text.isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
     both = both.withColumn("n_dropped", F.when(text.isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
@@ -66,13 +70,13 @@ def oracle(ratio: float = 0.05, min_pages: int = 5) -> str:
     return f"""
 WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 seen AS (SELECT source, line, count(*) AS pages FROM (
-  SELECT source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x)), lambda x: x <> ''))) AS line
+  SELECT source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''))) AS line
   FROM pages WHERE source IS NOT NULL) GROUP BY source, line),
 totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 boiler AS (SELECT s.source, list(s.line) AS lines FROM seen s JOIN totals t ON s.source = t.source
   WHERE s.pages >= {min_pages} AND s.pages > {ratio} * t.total GROUP BY s.source),
 cut AS (SELECT p.doc_id, p.source, p.text, p.ls,
-  CASE WHEN b.lines IS NULL THEN p.ls ELSE list_filter(p.ls, lambda x: trim(x) = '' OR NOT list_contains(b.lines, trim(x))) END AS kept
+  CASE WHEN b.lines IS NULL THEN p.ls ELSE list_filter(p.ls, lambda x: trim(x, ' ' || chr(9) || chr(13)) = '' OR NOT list_contains(b.lines, trim(x, ' ' || chr(9) || chr(13)))) END AS kept
   FROM pages p LEFT JOIN boiler b ON p.source = b.source)
 SELECT doc_id, source,
   CASE WHEN len(kept) < len(ls) THEN array_to_string(kept, chr(10)) ELSE text END AS text,

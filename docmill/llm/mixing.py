@@ -93,7 +93,8 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     """
     spark = docs.sparkSession
     work = work or Work(spark, "mix")
-    docs = docs.drop("pass", "block", "order_key", "n_tokens")
+    if extras:
+        docs = docs.drop("pass", "block", "order_key", "n_tokens")
     names = docs.columns
     src = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     tokens = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD_RE)), F.lit(0)).cast("long")
@@ -125,9 +126,9 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     full = docs.withColumn("_src", src).withColumn("_u", unit)
     both = full.join(F.broadcast(info) if small else info, F.col("_src") == F.col("_s"))
     reps = (F.col("_p") + F.when((F.col("_r") > 0) & (F.col("_cut").isNull() | (F.col("_u") < F.col("_cut"))), 1).otherwise(0)).cast("int")
-    out = both.where(reps > 0).select(*names, "_u", "_bl", F.explode(F.sequence(F.lit(1), reps)).alias("pass"))
+    out = both.where(reps > 0).select(*names, "_u", "_bl", F.explode(F.sequence(F.lit(1), reps)).alias("_pass"))
     if not extras:
         return out.select(*names)
     at = F.floor(F.col("_u") / F.lit(float(1 << 52)) * F.col("_bl")).cast("long")
-    key = F.pmod(F.xxhash64("_u", "pass"), F.lit(1 << 52))
-    return out.select(*names, "pass", at.alias("block"), key.alias("order_key"), tokens.alias("n_tokens"))
+    key = F.pmod(F.xxhash64("_u", "_pass"), F.lit(1 << 52))
+    return out.select(*names, F.col("_pass").alias("pass"), at.alias("block"), key.alias("order_key"), tokens.alias("n_tokens"))

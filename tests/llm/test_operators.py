@@ -174,8 +174,10 @@ def test_components(spark):
 
 def test_line_dedup_both_ways(spark, monkeypatch):
     rows = [(i, f"header\nbody {i}\n  footer  \nfooter", "en", "a" if i % 2 else "b") for i in range(40)] + [(90, None, "en", "a"), (91, "", "en", "a"), (92, "header", "en", None), (93, "header", "en", "a")]
+    rows += [(94, "\theader\r\nbody\r\nfooter\r\n", "en", "a")]
     df = docs_of(spark, rows)
     one = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.drop_boilerplate(df, ratio=0.2).collect()}
+    assert one[94] == ("body\r\n", 4, 2)
     assert one[0] == ("body 0", 4, 3) and one[90] == (None, 0, 0) and one[91] == ("", 1, 0) and one[92] == ("header", 1, 0) and one[93] == ("", 1, 1)
     monkeypatch.setattr(linededup, "BROADCAST_LINES", 0)
     assert one == {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in linededup.drop_boilerplate(df, ratio=0.2).collect()}

@@ -41,3 +41,26 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).toPandas()
     assert len(rows) and np.all(rows.length > 0)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, ties and repeated rows, an empty table, and columns of names that stages use themselves."""
+    long = " ".join(f"word{i % 977}" for i in range(30_000))
+    texts = ["the quick brown fox jumps over the dog"] * 2 + [None, "", " \t\n ", long, "12 !!", "été à la plage ce matin là bas"]
+    rows = [(i if i != 3 else None, t, "en" if i % 3 else None, "a" if i % 2 else None, len(t) if t else None, 0.5, 1, "k", 7) for i, t in enumerate(texts)]
+    rows += [rows[0], (0, "another text under the same number as before", "en", "a", 44, 0.1, 2, "j", 8)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, row long, key string, pass int"
+    before = spark.createDataFrame(rows, schema)
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, before, SF)
+        empty = stage(spark, before.limit(0), SF)
+        assert empty.count() == 0 and empty.columns == out.columns
+        if name != "packing":
+            assert out.columns == before.columns
+            out = spark.createDataFrame(out.collect(), out.schema)
+        counts[name] = out.count()
+        before = out
+    assert counts["toxicity"] == counts["line_dedup"] == len(rows)
+    # the repeated row and its copy leave one; other rows of no words, of no number, or alone stay
+    assert counts["jaccard_join"] == len(rows) - 2
