@@ -30,10 +30,15 @@ def _hashes(actor: pd.Series, action: pd.Series, ttype: pd.Series, tid: pd.Serie
     return pd.Series([entry_hash(canonical(a, b, none(c), none(d), json.loads(m) if none(m) else {}, none(p) or "")) for a, b, c, d, m, p in zip(actor, action, ttype, tid, meta, prev, strict=True)])
 
 
-def with_previous(log: DataFrame, seq: str = "seq", value: str = "entry_hash", buckets: int = 64) -> DataFrame:
-    """Adds `_prev`: the value of the row before by seq. Rows are dealt to ranges of seq, the edges of ranges are stitched by a small join,
-    so that no task sees the whole log."""
-    b = log.agg(F.min(seq).alias("lo"), F.max(seq).alias("hi")).first()
+#: Entries that a range of the log should have.
+RANGE_ROWS = 1_000_000
+
+
+def with_previous(log: DataFrame, seq: str = "seq", value: str = "entry_hash", buckets: int | None = None) -> DataFrame:
+    """Adds `_prev`: the value of the row before by seq. Rows are dealt to ranges of seq, as many as their number asks for, and the edges of
+    ranges are stitched by a small join, so that no task sees the whole log."""
+    b = log.agg(F.min(seq).alias("lo"), F.max(seq).alias("hi"), F.count("*").alias("n")).first()
+    buckets = buckets or max(64, -(-b["n"] // RANGE_ROWS))
     lo, width = b["lo"] or 0, max(1, -(-((b["hi"] or 0) - (b["lo"] or 0) + 1) // buckets))
     x = log.withColumn("_b", F.floor((F.col(seq) - lo) / width).cast("int"))
     w = Window.partitionBy("_b").orderBy(seq)
@@ -83,8 +88,3 @@ def append(log: DataFrame, events: DataFrame) -> DataFrame:
         rows.append((tip["s"] + i, r["actor"], r["action"], r["target_type"], r["target_id"], r["meta"], prev or None, h))
         prev = h
     return log.sparkSession.createDataFrame(rows, "seq long, actor string, action string, target_type string, target_id string, meta string, prev_hash string, entry_hash string")
-
-
-def chained(key: Column, prev: Column) -> Column:
-    """A plain text chain for logs without JSON: sha256 of the entry and the hash before."""
-    return F.sha2(F.concat(key, F.lit("|"), F.coalesce(prev, F.lit(""))), 256)

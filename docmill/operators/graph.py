@@ -150,10 +150,10 @@ def search(entities: DataFrame, text: str | None = None, kind: str | None = None
     return out.orderBy("kind", "name", "id").limit(limit)
 
 
-def neighbours(edges: DataFrame, vertices: DataFrame, of: DataFrame, predicates: list[str] | None = None, as_of: dt.date | None = None, direction: str = "both") -> DataFrame:
+def neighbours(edges: DataFrame, vertices: DataFrame | None, of: DataFrame, predicates: list[str] | None = None, as_of: dt.date | None = None, direction: str = "both") -> DataFrame:
     """Edges at the vertices in `of` (id), each with its other end and a direction; valid on a date if one is given.
 
-    edges: src, dst, predicate, valid_from, valid_to; vertices: id and more.
+    edges: src, dst, predicate, valid_from, valid_to; vertices: id and more, or None, if the other end's id is enough.
     """
     e = edges
     if predicates:
@@ -167,6 +167,8 @@ def neighbours(edges: DataFrame, vertices: DataFrame, of: DataFrame, predicates:
     if direction in ("both", "in"):
         parts.append(e.join(at, e["dst"] == at["at"]).withColumn("other", F.col("src")).withColumn("direction", F.lit("in")))
     both = reduce(DataFrame.unionByName, parts)
+    if vertices is None:
+        return both.withColumnRenamed("other", "other_id")
     v = vertices.select(*[F.col(c).alias(f"other_{c}") for c in vertices.columns])
     return both.join(v, both["other"] == v["other_id"]).drop("other")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
@@ -30,18 +30,26 @@ def prf(df: DataFrame, keys: list[str], truth: Column, predicted: Column) -> Dat
     return g.withColumn("f1", safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).withColumn("coverage", safe(tp + fp, F.col("n")))
 
 
-def percentiles(df: DataFrame, value: str, keys: list[str], qs: dict[str, float]) -> DataFrame:
+def percentiles(df: DataFrame, value: str, keys: list[str], qs: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """Nearest-rank percentiles: the element at round(q * (n - 1)) in order, exact and without gathering a group.
 
-    Distinct values are counted first, so a group's ranks are running sums over its distinct values.
+    A sketch brackets each rank between two values; the values below the bracket are counted, and only the distinct values inside it, about
+    4 / accuracy of a group, are ranked. Should a bracket miss its rank, all of that group's distinct values are ranked.
     """
-    from pyspark.sql import Window
-
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    r = c.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
-    at = lambda q: F.floor(F.lit(q) * (F.col("n") - 1) + 0.5)
-    return r.groupBy(*keys).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > at(q), F.col(value))).alias(k) for k, q in qs.items()])
+    # keys travel as one struct, in which nulls are equal
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_k"), F.col(value).alias("_v"))
+    bound = lambda q: F.lit(float(min(1.0, max(0.0, q))))
+    sketch = F.percentile_approx("_v", F.array(*[bound(q + s * 2 / accuracy) for q in qs.values() for s in (-1, 1)]), accuracy)
+    marks = rows.groupBy("_k").agg(F.count("*").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), sketch.alias("m"))
+    ask = F.array(*[F.struct(F.lit(k).alias("name"), F.floor(F.lit(q) * (F.col("n") - 1) + 0.5).alias("rank"), F.get("m", F.lit(2 * i)).alias("lo"), F.get("m", F.lit(2 * i + 1)).alias("hi")) for i, (k, q) in enumerate(qs.items())])
+    ask = marks.select("_k", "n", "least", "most", F.explode(ask).alias("a")).select("_k", "n", "least", "most", "a.*")
+    seen = rows.join(ask, "_k").groupBy("_k", "name").agg(F.count_if(F.col("_v") < F.col("lo")).alias("below"), F.count_if(F.col("_v") <= F.col("hi")).alias("upto"))
+    hit = (F.col("below") <= F.col("rank")) & (F.col("upto") > F.col("rank"))
+    ask = ask.join(seen, ["_k", "name"]).select("_k", "n", "name", "rank", F.when(hit, F.col("lo")).otherwise(F.col("least")).alias("lo"), F.when(hit, F.col("hi")).otherwise(F.col("most")).alias("hi"), F.when(hit, F.col("below")).otherwise(0).alias("below"))
+    inside = rows.join(ask, "_k").where(F.col("_v").between(F.col("lo"), F.col("hi"))).groupBy("_k", "n", "name", "rank", "below", "_v").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("_k", "name").orderBy("_v")
+    at = inside.withColumn("_upto", F.sum("c").over(w) + F.col("below")).where(F.col("_upto") > F.col("rank"))
+    return at.groupBy("_k").agg(F.max("n").alias("n"), *[F.min(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in qs]).select("_k.*", "n", *qs)
 
 
 def canonical_tokens(c: Column) -> Column:
@@ -67,8 +75,6 @@ def score_fields(truth: DataFrame, predicted: DataFrame, aliases: DataFrame) ->
 
     truth: document_id, key, value_text, value; predicted: document_id, field_key, value_text, value; aliases: key, pos, field_key.
     """
-    from pyspark.sql import Window
-
     t = truth.select("document_id", "key", F.col("value_text").alias("want_text"), F.col("value").alias("want"))
     a = aliases.select("key", "pos", "field_key")
     j = t.join(a, "key", "left").join(predicted.select("document_id", "field_key", "value_text", "value"), ["document_id", "field_key"], "left")

@@ -228,3 +228,107 @@ def test_upsert_nulls(spark):
     old = spark.createDataFrame([(1, None, "a"), (None, 1, "b")], "x int, y int, v string")
     new = spark.createDataFrame([(1, None, "c"), (2, 2, "d")], "x int, y int, v string")
     assert sorted(r["v"] for r in relational.upsert(old, new, ["x", "y"]).collect()) == ["b", "c", "d"]
+
+
+def test_percentiles_of_ties_and_null_keys(spark):
+    rows = [(k, float(v)) for k in ("a", None) for v in [7.0] * 3000 + list(range(500)) + [1e9]] + [("one", 5.0), ("none", None)]
+    got = {r["k"]: r for r in metrics.percentiles(spark.createDataFrame(rows, "k string, v double"), "v", ["k"], {"lo": 0.0, "mid": 0.5, "p99": 0.99, "top": 1.0}, accuracy=200).collect()}
+    want = sorted(v for k, v in rows if k == "a")
+    for k in ("a", None):
+        assert [got[k][n] for n in ("lo", "mid", "p99", "top")] == [want[int(q * (len(want) - 1) + 0.5)] for q in (0.0, 0.5, 0.99, 1.0)]
+    assert got["one"]["mid"] == 5.0 and "none" not in got
+
+
+def test_attributes_merge_in_order(spark):
+    docs = spark.createDataFrame([("d1", "x", None, None, 1, "a.pdf"), ("d2", "x", None, None, 2, "b.pdf"), ("d3", "x", None, None, 3, "c.pdf")], "document_id string, doc_type string, doc_date date, subsidiary_id string, created_at int, filename string")
+    rows = [("d1", "borehole_id", "BH-1", 0.9), ("d2", "block_name", "BH-1", 0.95), ("d3", "mention_org", "M/s Eastern Coalfields Limited, Kolkata", 0.8), ("d3", "mine_name", "Pit", 0.8)]
+    fields = spark.createDataFrame([(f"{d}:{k}", d, k, v, None, None, None, c, 1, "verified") for d, k, v, c in rows], "field_id string, document_id string, field_key string, value_text string, value double, unit string, iso string, confidence double, page_no int, status string")
+    e, r = graph.build_graph(docs, fields, [("s9", "BCCL", "Bharat Coking Coal Limited"), ("s1", "ECL", "Eastern Coalfields Limited")])
+    block = e.where("kind = 'block'").collect()
+    assert len(block) == 1 and block[0]["attrs"] == {"is_borehole": "true"} and block[0]["confidence"] == 0.95 and block[0]["document_id"] == "d1"
+    unit = e.where("kind = 'subsidiary'").first()
+    assert (unit["key"], unit["owner"], unit["confidence"]) == ("sub:ECL", "s1", 0.8)
+    assert e.where("kind = 'report'").agg(F.max("confidence")).first()[0] == 0.0
+    assert {x["confidence"] for x in r.where("predicate = 'located_in'").collect()} == {0.8}
+
+
+def test_report_lifecycle(spark, corpus):
+    docs, fields, e, r = corpus
+    block = e.where("kind = 'block'").first()["id"]
+    build = lambda: reports.geological_reserve_status(block, e, r, fields, docs)
+    reps = spark.createDataFrame([], "report_id string, title string, template string, owner string, status string")
+    reps, v = reports.create(reps, spark.createDataFrame([], reports.VERSION), "r", "geological_reserve_status", build)
+    v = reports.edit(reps, reports.rerender(reps, v, "r", build), "r", "# Mine\n\nA line", "shorter")
+    h = reports.history(v).collect()
+    assert [(x["version_no"], x["author_kind"]) for x in h] == [(1, "ai"), (2, "ai"), (3, "human")] and h[1]["added"] == h[1]["removed"] == 0 and h[2]["added"] > 0
+    assert reports.version(v, "r", 3).first()["body"].endswith("A line")
+    final = reports.finalise(reps, v, "r")
+    for late in (lambda: reports.edit(final, v, "r", "x"), lambda: reports.rerender(final, v, "r", build), lambda: reports.create(reps, v, "q", "no such", build)):
+        with pytest.raises(ValueError):
+            late()
+
+
+def test_asked_answers_are_stored(spark):
+    from docmill.operators import workflow
+
+    pairs = spark.createDataFrame([(9, "verified", "They did.", 0.9, 2)], "qa_id long, status string, answer string, confidence double, hit_count long")
+    answers = spark.createDataFrame([(1, "cache", "They did.", "answered", 0.9, 9), (2, "rag", "No.", "insufficient", 0.2, None)], "question_id long, mode string, answer string, status string, confidence double, qa_id long")
+    now, events = workflow.asked(pairs, answers, "2024-01-01", "ann")
+    assert now.where("qa_id = 9").first()["hit_count"] == 3 and now.count() == 3 and now.where("status = 'insufficient'").count() == 1
+    assert [json.loads(x["meta"])["mode"] for x in events.orderBy("target_id").collect()] == ["cache", "rag"]
+
+
+def test_findings_scan_twice(spark, corpus):
+    _, _, e, r = corpus
+    f = anomalies.facts(e, r)
+    stored, stats = anomalies.scan(spark.createDataFrame([], "signature string, status string, kind string, severity string, anchor string, title string, detail string"), f)
+    assert stats.agg(F.sum("created")).first()[0] == 1
+    _, again = anomalies.scan(stored.drop("change"), f)
+    assert again.agg(F.sum("created")).first()[0] == 0 and again.agg(F.sum("updated")).first()[0] == 1
+
+
+def test_nmf_lowers_the_error_of_all_terms(spark):
+    """Against the same updates written out on the whole matrix."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(i, f"t{j:02d}", float(rng.random())) for i in range(12) for j in rng.choice(15, 6, replace=False)]
+    loads, h, vocab = topics.nmf(spark.createDataFrame(rows, "id int, term string, weight double"), 2, rounds=8)
+    x = np.zeros((12, len(vocab)))
+    for i, t, w in rows:
+        x[i, vocab.index(t)] = w
+    g = np.random.default_rng(42).random((2, len(vocab))) + 0.01
+
+    def fit(g):
+        w = np.full((12, 2), 0.1)
+        for _ in range(20):
+            w *= (x @ g.T) / np.maximum(w @ (g @ g.T), 1e-12)
+        return w
+
+    for _ in range(8):
+        w = fit(g)
+        g = g * (w.T @ x) / np.maximum(w.T @ w @ g, 1e-12)
+    assert len(vocab) == len({t for _, t, _ in rows}) and np.allclose(h, g)
+    assert np.allclose(np.array([r["loads"] for r in loads.orderBy("id").collect()]), fit(g))
+
+
+def test_large_texts_are_chunked_in_proportion():
+    import time
+
+    def took(n):
+        text = "A sentence of some words here. " * n
+        began = time.perf_counter()
+        assert len(chunk.chunk_text(text)) > n // 30
+        return time.perf_counter() - began
+
+    took(2_000)
+    assert took(400_000) < 5
+
+
+def test_page_dispatch_and_suffixes(spark, tmp_path):
+    for name in ("a.PDF", "b.txt", "c.docx", "d.JPEG"):
+        (tmp_path / name).write_text("x" * 30)
+    ok, _ = files.read_files(spark, str(tmp_path))
+    assert {(r["filename"], r["kind"]) for r in ok.collect()} == {("a.PDF", "pdf"), ("b.txt", "text"), ("d.JPEG", "image")}
+    one, _ = files.read_files(spark, str(tmp_path / "c.docx"), suffixes=["docx"])
+    assert one.count() == 1
