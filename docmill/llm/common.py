@@ -78,16 +78,16 @@ class Work:
     def close_since(mark: int) -> None:
         """Close the works opened since the mark."""
         for w in Work._open[mark:]:
-            w._remove(w.path)
+            w.remove(w.path)
         del Work._open[mark:]
 
     def close(self) -> None:
         """Delete the folder with all of its tables."""
-        self._remove(self.path)
+        self.remove(self.path)
         if self in Work._open:
             Work._open.remove(self)
 
-    def _remove(self, path: str) -> None:
+    def remove(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -105,7 +105,7 @@ class Work:
         for df in frames:
             at = getattr(df, "_docmill_path", None)
             if at:
-                self._remove(at)
+                self.remove(at)
 
 
 def local_path(uri: str) -> str | None:

@@ -21,8 +21,10 @@ BEGIN, END = np.uint64(0x1B5AD4C1E9F7A3D5), np.uint64(0x7C3E9D2F5A6B8E01)
 #: Characters counted at once in a worker before the counts are sent on: 16 bytes a word, and as much again for sorting. They are
 #: hashed in by_bytes' smaller slices.
 CHUNK_CHARS = 12_000_000
-#: Bytes of counts that one shard should receive; shards follow the input's size.
-SHARD_BYTES = 6_000_000
+#: Bytes of counts that one shard should receive; shards follow the input's size, up to so many.
+SHARD_BYTES, MOST_SHARDS = 6_000_000, 1 << 20
+#: Contexts whose followers are dealt to all shards at most (those of more than a shard's eighth, found in a sample of about so many texts).
+MOST_HOT, HOT_SAMPLE = 4096, 20_000
 
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,10 +44,22 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return ctx, tok, n
 
 
-def pair_key(ctx: np.ndarray, tok: np.ndarray) -> np.ndarray:
-    """Key of a bigram: the context's top 16 bits, so that a shard of contexts is a range of keys, then 48 bits of the pair's hash."""
-    top = np.uint64(48)
-    return ((ctx >> top) << top) | (combine(ctx, tok) >> np.uint64(16))
+def _hot(ctx: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which contexts are among the hot ones (sorted)."""
+    if not len(hot):
+        return np.zeros(len(ctx), bool)
+    return hot[np.minimum(np.searchsorted(hot, ctx), len(hot) - 1)] == ctx
+
+
+def place(ctx: np.ndarray, tok: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """What deals a bigram to a shard by its top bits: the context, or for a hot context the whole bigram, so that no shard has all its followers."""
+    return np.where(_hot(ctx, hot), combine(ctx, tok), ctx)
+
+
+def pair_key(ctx: np.ndarray, tok: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Key of a bigram: its place's top 20 bits, so that a shard is a range of keys, then 44 bits of the pair's hash."""
+    top = np.uint64(44)
+    return ((place(ctx, tok, hot) >> top) << top) | (combine(ctx, tok) >> np.uint64(20))
 
 
 def _pack(*cols: np.ndarray) -> bytes:
@@ -88,7 +102,8 @@ def train(docs: DataFrame, fold: tuple[int, int] | None = (5, 1), id_col: str =
     """Count all whole texts outside the fold (crc32(id) mod fold[0] == fold[1] is held out; rows without an id are trained on) and write the model.
 
     A worker sums a chunk's bigrams before anything is sent; counts travel as packed blocks by context hash, so a shard holds
-    the distinct followers of its contexts only, however often a text is repeated. A second, smaller exchange by word gives the
+    the distinct followers of its contexts only, however often a text is repeated; those of the commonest contexts (a text's begin, common words) are
+    dealt to all shards, and their sums are added up afterwards. Which contexts these are changes no score. A second, smaller exchange by word gives the
     continuation counts. Discounts D1, D2, D3+ come from the counts of counts of all shards.
     """
     spark = docs.sparkSession
@@ -96,10 +111,27 @@ def train(docs: DataFrame, fold: tuple[int, int] | None = (5, 1), id_col: str =
     src = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
     if fold:
         src = src.where(F.coalesce(crc_mod("i", fold[0]) != fold[1], F.lit(True)))
-    chars = src.agg(F.sum(F.length("t"))).first()[0] or 0
-    shards = 1 << max(3, math.ceil(math.log2(max(1, 1.5 * chars / SHARD_BYTES))))
-    shards = min(shards, 1 << 16)
+    size = src.agg(F.sum(F.length("t")).alias("chars"), F.count("*").alias("n")).first()
+    shards = 1 << max(3, math.ceil(math.log2(max(1, 1.5 * (size["chars"] or 0) / SHARD_BYTES))))
+    shards = min(shards, MOST_SHARDS)
     shift = np.uint64(64 - int(math.log2(shards)))
+    least = max(1 / (8 * shards), 1 / MOST_HOT)
+
+    def common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = list(b["t"])
+            for x, y in by_bytes(texts):
+                ctx, _, _ = _tokens(texts[x:y])
+                u, c = np.unique(ctx, return_counts=True)
+                some = c >= least / 4 * len(ctx)
+                yield pd.DataFrame({"ctx": u[some].view(np.int64), "n": c[some], "all": 0})
+                yield pd.DataFrame({"ctx": [0], "n": [0], "all": [len(ctx)]})
+
+    part = F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, HOT_SAMPLE / max(1, size["n"])))
+    found = src.where(part).select(F.left("t", F.lit(100_000)).alias("t")).mapInPandas(common, "ctx long, n long, all long").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
+    total = found.agg(F.sum("all")).first()[0] or 0
+    # at most 1 / least rows
+    hot = np.sort(np.array([r["ctx"] for r in found.where(F.col("n") > least * total).collect()], np.int64).view(np.uint64))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def chunks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -122,7 +154,9 @@ def train(docs: DataFrame, fold: tuple[int, int] | None = (5, 1), id_col: str =
             first = np.flatnonzero(np.concatenate((np.ones(1, bool), (ctx[1:] != ctx[:-1]) | (tok[1:] != tok[:-1]))))
             n = np.diff(np.append(first, len(ctx))).astype("<u4")
             ctx, tok = ctx[first], tok[first]
-            shard = (ctx >> shift).astype(np.int64)
+            shard = (place(ctx, tok, hot) >> shift).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            ctx, tok, n, shard = ctx[order], tok[order], n[order], shard[order]
             edge = np.searchsorted(shard, np.arange(shards + 1))
             rows = [(s, _pack(ctx[x:y], tok[x:y], n[x:y])) for s, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x]
             yield pd.DataFrame(rows, columns=["shard", "blob"])
@@ -142,12 +176,18 @@ def train(docs: DataFrame, fold: tuple[int, int] | None = (5, 1), id_col: str =
         w, c, cont = _sum_by(tok, n, np.ones(len(tok), np.int64))
         where = (w >> shift).astype(np.int64)
         edge = np.searchsorted(where, np.arange(shards + 1))
-        rows = [(s, _pack(w[x:y], c[x:y].astype("<u4"), cont[x:y].astype("<u4")), 0, 0, 0, 0, 0) for s, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x]
-        rows.append((-1, None, *map(int, kinds[1:5]), len(n)))
-        return pd.DataFrame(rows, columns=["shard", "blob", "n1", "n2", "n3", "n4", "n"])
-
-    merged = work.keep(blocks.groupBy("shard").applyInPandas(merge, "shard int, blob binary, n1 long, n2 long, n3 long, n4 long, n long"))
-    high = merged.where("shard < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "n")]).first()
+        rows = [(s, _pack(w[x:y], c[x:y].astype("<u4"), cont[x:y].astype("<u4")), 0, 0, 0, 0, 0, 0) for s, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x]
+        rows.append((-1, None, 0, *map(int, kinds[1:5]), len(n)))
+        some = _hot(ctx, hot)
+        for u in np.unique(ctx[some]):
+            m = n[ctx == u]
+            rows.append((-2, None, int(u.view(np.int64)), int((m == 1).sum()), int((m == 2).sum()), int((m > 2).sum()), 0, int(m.sum())))
+        return pd.DataFrame(rows, columns=["shard", "blob", "ctx", "n1", "n2", "n3", "n4", "n"])
+
+    merged = work.keep(blocks.groupBy("shard").applyInPandas(merge, "shard int, blob binary, ctx long, n1 long, n2 long, n3 long, n4 long, n long"))
+    sums = {r["ctx"]: r for r in merged.where("shard = -2").groupBy("ctx").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n")]).collect()}
+    hot = np.sort(np.array(list(sums), np.int64).view(np.uint64))
+    high = merged.where("shard = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "n")]).first()
 
     def words(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(b, "<u8", "<u4", "<u4") for b in g["blob"]]
@@ -165,22 +205,30 @@ def train(docs: DataFrame, fold: tuple[int, int] | None = (5, 1), id_col: str =
     n3 = types - low["n1"] - low["n2"]
     spare = (d1[1] * low["n1"] + d1[2] * low["n2"] + d1[3] * n3) / total if total else 1.0
     floor = spare / (types + 1)
+    hot_sum = np.array([sums[int(u)]["n"] for u in hot.view(np.int64)], float)
+    hot_gamma = np.array([(d2[1] * sums[int(u)]["n1"] + d2[2] * sums[int(u)]["n2"] + d2[3] * sums[int(u)]["n3"]) / sums[int(u)]["n"] for u in hot.view(np.int64)])
 
     def finish(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Turn a shard's counts into what scoring looks up, in arrays sorted by key."""
         for b in it:
             for s in b["shard"]:
                 ctx, tok, n = _read(folder, "raw", s, "<u8", "<u8", "<u4")
+                known, gamma = hot[(hot >> shift) == np.uint64(s)], hot_gamma[(hot >> shift) == np.uint64(s)]
                 if len(ctx):
                     first = np.flatnonzero(np.concatenate((np.ones(1, bool), ctx[1:] != ctx[:-1])))
-                    sums = np.add.reduceat(n.astype(np.int64), first)
                     disc = d2[np.minimum(n, 3)]
-                    gamma = np.add.reduceat(disc, first) / sums
-                    held = np.maximum(n - disc, 0) / np.repeat(sums, np.diff(np.append(first, len(ctx))))
-                    key = pair_key(ctx, tok)
+                    own = np.add.reduceat(n.astype(np.int64), first).astype(float)
+                    some = _hot(ctx[first], hot)
+                    own_gamma = np.add.reduceat(disc, first) / own
+                    own[some] = hot_sum[np.searchsorted(hot, ctx[first][some])]
+                    held = np.maximum(n - disc, 0) / np.repeat(own, np.diff(np.append(first, len(ctx))))
+                    key = pair_key(ctx, tok, hot)
                     order = np.argsort(key, kind="stable")
                     put_file(f"{folder}/pairs", f"{s}", [struct.pack("<q", len(key)), key[order].tobytes(), held[order].astype("<f4").tobytes()])
-                    put_file(f"{folder}/contexts", f"{s}", [struct.pack("<q", len(first)), ctx[first].tobytes(), gamma.astype("<f4").tobytes()])
+                    known, gamma = np.concatenate((known, ctx[first][~some])), np.concatenate((gamma, own_gamma[~some]))
+                if len(known):
+                    order = np.argsort(known)
+                    put_file(f"{folder}/contexts", f"{s}", [struct.pack("<q", len(known)), known[order].tobytes(), gamma[order].astype("<f4").tobytes()])
                 w, c, cont = _read(folder, "words", s, "<u8", "<i8", "<i8")
                 if len(w):
                     p = np.maximum(cont - d1[np.minimum(cont, 3)], 0) / total + floor
@@ -188,11 +236,9 @@ def train(docs: DataFrame, fold: tuple[int, int] | None = (5, 1), id_col: str =
                 yield pd.DataFrame({"shard": [s]})
 
     spark.range(shards, numPartitions=min(shards, 512)).select(F.col("id").cast("int").alias("shard")).mapInPandas(finish, "shard int").agg(F.count("*")).first()
-    put_file(folder, "meta.json", [json.dumps({"floor": floor, "tokens": tokens, "types": types}).encode()])
+    put_file(folder, "meta.json", [json.dumps({"floor": floor, "tokens": tokens, "types": types, "hot": [int(u) for u in hot]}).encode()])
     work.drop(merged)
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{folder}/raw")
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    work.remove(f"{folder}/raw")
     return Model(folder, shards, tokens, types, total)
 
 
@@ -226,7 +272,7 @@ class Scorer:
         self.m = model
         self.shift = np.uint64(64 - int(math.log2(model.shards)))
         meta = json.loads(map_file(model.folder, "meta.json").tobytes())
-        self.floor = meta["floor"]
+        self.floor, self.hot = meta["floor"], np.array(meta["hot"], np.uint64)
         self.held: dict[tuple[str, int], list[np.ndarray]] = {}
 
     def _find(self, kind: str, keys: np.ndarray, *types: str) -> tuple[np.ndarray, ...]:
@@ -258,7 +304,7 @@ class Scorer:
         cw, cinv = np.unique(ctx, return_inverse=True)
         (gamma,) = self._find("contexts", cw, "<f4")
         gamma = np.where(gamma > 0, gamma.astype(float), 1.0)  # an unseen context leaves all to the words alone
-        key, kinv = np.unique(pair_key(ctx, tok), return_inverse=True)
+        key, kinv = np.unique(pair_key(ctx, tok, self.hot), return_inverse=True)
         (held,) = self._find("pairs", key, "<f4")
         p = held.astype(float)[kinv] + gamma[cinv] * p1[inv]
         return n, np.add.reduceat((c > 0)[inv].astype(np.int64), first), np.add.reduceat(base[inv], first), np.add.reduceat(np.log10(p), first)

@@ -54,6 +54,22 @@ def test_odd_rows(spark, odd):
     assert mx.count() >= 9 and mx.select("doc_id").distinct().count() == 8 and mixing.mix(empty, max_repeats=1.5).count() == 0
 
 
+def test_hot_contexts_change_no_score(spark, monkeypatch):
+    """Scores with the followers of common contexts dealt to all shards, against scores with none dealt; one very long text among short ones."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choice(words if rng.random() < 0.6 else words[:3]) for _ in range(n))
+    df = docs_of(spark, [(i, text(rng.randrange(1, 40)), "en", "a") for i in range(400)] + [(900, text(300_000), "en", "a")]).repartition(3)
+    scores = lambda m: {r["doc_id"]: r["score"] for r in lm.score(df, m).collect()}
+    dealt = lm.train(df)
+    hot = lm.Scorer(dealt).hot
+    monkeypatch.setattr(lm, "MOST_HOT", 1)
+    plain = lm.train(df)
+    assert len(hot) >= 3 and not len(lm.Scorer(plain).hot)
+    a, b = scores(dealt), scores(plain)
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=1e-6) for i in a)
+
+
 def test_ids_of_odd_texts():
     path, pattern = queries.tokenizer_path()
     ids = packing.Ids(path, pattern, most=50)
