@@ -180,12 +180,25 @@ def vector_cache_hit(spark, d):
     return relational.newest(near, ["query_id"], [F.col("rank")]).select("query_id", "vec_id", "score", (F.col("score") >= retrieval.CACHE_HIT).alias("hit"))
 
 
-@query()
+_BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+_UNITS = f"list_filter(string_split(regexp_replace(regexp_replace(trim(text, {_BLANK}), '([.!?])\\s+', '\\1' || chr(31), 'g'), '\\n{{2,}}', chr(31), 'g'), chr(31)), lambda u: trim(u, {_BLANK}) <> '')"
+_LAST = "array_extract(string_split(acc, chr(30)), -1)"
+#: Chunks by a fold over a document's sentences; finished chunks and the open one are parted by chr(30).
+CHUNKS_SQL = (
+    f"""WITH u AS (SELECT doc_id, list_prepend('', list_transform({_UNITS}, lambda u: trim(u, {_BLANK}))) AS us FROM documents),
+c AS (SELECT doc_id, list_reduce(us, lambda acc, u: CASE WHEN {_LAST} = '' THEN acc || u WHEN length({_LAST}) + 1 + length(u) > 600 THEN acc || chr(30) || trim(trim(right({_LAST}, 90)) || ' ' || u) ELSE acc || ' ' || u END) AS acc FROM u),
+x AS (SELECT doc_id, CAST(generate_subscripts(string_split(acc, chr(30)), 1) - 1 AS INTEGER) AS chunk_index, unnest(string_split(acc, chr(30))) AS text FROM c WHERE acc <> '')
+SELECT doc_id, chunk_index, """.replace("{", "{{").replace("}", "}}")
+    + "{cols} FROM x"
+)
+
+
+@query(CHUNKS_SQL.format(cols="text"))
 def chunk_documents(spark, d):
     return chunk.chunk_pages(_t(spark, d, "documents"), "doc_id", "text", None)
 
 
-@query()
+@query(CHUNKS_SQL.format(cols="CAST(384 AS INTEGER) AS dim, CAST(1 AS DOUBLE) AS norm"))
 def embed_chunks(spark, d):
     c = chunk.chunk_pages(_t(spark, d, "documents"), "doc_id", "text", None)
     return chunk.embed(c).select("doc_id", "chunk_index", F.size("embedding").alias("dim"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 from docmill.functions import values as V
 from docmill.operators import audit, chunk, metrics, relational, reports, retrieval, topics, workflow
-from docmill.plans.driver import TERMS_SQL
+from docmill.plans.driver import CHUNKS_SQL, TERMS_SQL
 from docmill.plans.registry import Registry, read
 from docmill.sources import files
 
@@ -369,13 +369,7 @@ def shown_quantities(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", V.format_quantity(F.col("s_acctbal"), F.lit("million_tonnes")).alias("shown"))
 
 
-_UNITS_SQL = "list_filter(string_split(regexp_replace(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])\\s+', '\\1' || chr(31), 'g'), '\\n{2,}', chr(31), 'g'), chr(31)), lambda u: trim(u, ' ' || chr(9) || chr(10) || chr(13)) <> '')"
-_LAST = "array_extract(string_split(acc, chr(30)), -1)"
-
-
-@query(f"""WITH u AS (SELECT doc_id, list_prepend('', list_transform({_UNITS_SQL}, lambda u: trim(u, ' ' || chr(9) || chr(10) || chr(13)))) AS us FROM documents),
-c AS (SELECT doc_id, list_reduce(us, lambda acc, u: CASE WHEN {_LAST} = '' THEN acc || u WHEN length({_LAST}) + 1 + length(u) > 600 THEN acc || chr(30) || trim(trim(right({_LAST}, 90)) || ' ' || u) ELSE acc || ' ' || u END) AS acc FROM u)
-SELECT doc_id, CAST(generate_subscripts(string_split(acc, chr(30)), 1) - 1 AS INTEGER) AS chunk_index, md5(unnest(string_split(acc, chr(30)))) AS digest FROM c WHERE acc <> ''""")
+@query(CHUNKS_SQL.format(cols="md5(text) AS digest"))
 def chunk_digests(spark, d):
     """Chunks of every document, by the digest of their texts."""
     return chunk.chunk_pages(read(spark, d, "documents"), "doc_id", "text", None).select("doc_id", "chunk_index", F.md5("text").alias("digest"))
