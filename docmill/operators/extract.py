@@ -68,56 +68,42 @@ GRADE = r"\bG-?(?:1[0-7]|[1-9])\b"
 SUBSIDIARIES = ["BCCL", "CCL", "CIL", "CMPDI", "ECL", "MCL", "NCL", "NEC", "SECL", "WCL"]
 MENTION_CONF = {"mention_seam": 0.62, "mention_borehole_id": 0.68, "mention_grade": 0.60, "mention_subsidiary": 0.70, "mention_mine": 0.55, "mention_org": 0.50}
 
-FIELD = "struct<field_key:string,value_text:string,value:double,unit:string,iso:string,entity_type:string,confidence:double,snippet:string>"
-
-
 def _groups(pattern: str) -> int:
     import re
 
     return re.compile(pattern).groups
 
 
-def _field(spec: tuple, page: Column) -> Column:
-    """What a spec finds on a page, null if nothing."""
-    _, key, kind, unit, entity, base, pattern = spec
-    rx = f"(?i){pattern}"
-    text = page["text"]
-    raw = F.trim(F.regexp_extract(text, rx, _groups(pattern)))
-    whole = F.regexp_extract(text, rx, 0)
-    number = T.to_number(raw) if kind == "number" else F.lit(None).cast("double")
-    day = T.parse_date(raw).cast("string") if kind == "date" else F.lit(None).cast("string")
-    if kind == "number":
-        shown, found = raw, text.rlike(rx) & number.isNotNull()
-    elif kind == "date":
-        shown, found = F.coalesce(day, raw), text.rlike(rx)
-    else:
-        shown, found = F.btrim(F.regexp_replace(raw, r"\s+", " "), F.lit(" .:-")), text.rlike(rx)
-    conf = V.score(F.lit(base), page["source_kind"], F.when(page["source_kind"] == "ocr", V.word_confidence(page["words"], raw)), whole, raw)
-    return F.when(
-        found,
-        F.struct(
-            F.lit(key).alias("field_key"), shown.alias("value_text"), number.alias("value"), F.lit(unit).cast("string").alias("unit"), day.alias("iso"),
-            F.lit(entity).cast("string").alias("entity_type"), conf.alias("confidence"), T.snippet(text, whole).alias("snippet"), V.union_box(page["words"], raw).alias("bbox"),
-        ),
-    )
-
-
 def extract_by_rules(pages: DataFrame, doc_col: str = "document_id", type_col: str = "doc_type", specs: list[tuple] | None = None) -> DataFrame:
     """One row per document and field of its type: the first page, in page order, on which the field's pattern holds.
 
-    `pages`: document_id, doc_type, page_no, text, source_kind, words (array of text, ocr_conf, x0, y0, x1, y1).
+    `pages`: document_id, doc_type, page_no, text, source_kind, words (array of text, ocr_conf, x0, y0, x1, y1). A page is searched once a rule of
+    its type; everything else is read off what was found.
     """
-    page = F.struct("text", "source_kind", "words")
-    by_type: dict[str, list[tuple]] = {}
-    for s in specs or SPECS:
-        by_type.setdefault(s[0], []).append(s)
+    specs = specs or SPECS
+    by_type: dict[str, list[int]] = {}
+    for i, s in enumerate(specs):
+        by_type.setdefault(s[0], []).append(i)
     found = None
     for kind, rules in by_type.items():
-        arr = F.array(*[_field(s, page) for s in rules])
-        found = F.when(F.col(type_col) == kind, arr) if found is None else found.when(F.col(type_col) == kind, arr)
-    page_struct = pages.select(doc_col, "page_no", "source_kind", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f"))
-    first = page_struct.groupBy(doc_col, F.col("f.field_key").alias("field_key")).agg(F.min_by(F.struct("page_no", "source_kind", "f"), "page_no").alias("m"))
-    return first.select(doc_col, "field_key", "m.f.value_text", "m.f.value", "m.f.unit", "m.f.iso", "m.f.entity_type", "m.f.confidence", F.col("m.f.snippet").alias("source_snippet"), F.col("m.f.bbox").alias("bbox"), "m.page_no", "m.source_kind", F.concat(F.lit("rule:"), F.col("field_key")).alias("extractor"))
+        hits = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.regexp_extract("text", f"(?i){specs[i][6]}", 0).alias("whole")) for i in rules]), lambda h: h["whole"] != "")
+        found = F.when(F.col(type_col) == kind, hits) if found is None else found.when(F.col(type_col) == kind, hits)
+    rows = pages.select(doc_col, "page_no", "source_kind", "text", "words", F.explode(found).alias("h")).select("*", "h.i", "h.whole").drop("h")
+    raw = None
+    for i, s in enumerate(specs):
+        part = F.trim(F.regexp_extract("whole", f"(?i){s[6]}", _groups(s[6])))
+        raw = F.when(F.col("i") == i, part) if raw is None else raw.when(F.col("i") == i, part)
+    text = lambda v: F.lit(v).cast("string")
+    known = F.array(*[F.struct(F.lit(s[1]).alias("field_key"), F.lit(s[2]).alias("kind"), text(s[3]).alias("unit"), text(s[4]).alias("entity_type"), F.lit(s[5]).alias("base")) for s in specs])
+    rows = rows.withColumn("raw", raw).withColumn("spec", F.get(known, F.col("i")))
+    kind = F.col("spec.kind")
+    rows = rows.withColumn("value", F.when(kind == "number", T.to_number(F.col("raw")))).withColumn("iso", F.when(kind == "date", T.parse_date(F.col("raw")).cast("string"))).where((kind != "number") | F.col("value").isNotNull())
+    shown = F.when(kind == "number", F.col("raw")).when(kind == "date", F.coalesce("iso", "raw")).otherwise(F.btrim(F.regexp_replace("raw", r"\s+", " "), F.lit(" .:-")))
+    recognised = F.when(F.col("source_kind") == "ocr", V.word_confidence(F.col("words"), F.col("raw")))
+    conf = V.score(F.col("spec.base"), F.col("source_kind"), recognised, F.col("whole"), F.col("raw"))
+    best = F.struct(shown.alias("value_text"), "value", F.col("spec.unit").alias("unit"), "iso", F.col("spec.entity_type").alias("entity_type"), conf.alias("confidence"), T.snippet(F.col("text"), F.col("whole")).alias("source_snippet"), V.union_box(F.col("words"), F.col("raw")).alias("bbox"), "page_no", "source_kind")
+    first = rows.select(doc_col, F.col("spec.field_key").alias("field_key"), best.alias("f")).groupBy(doc_col, "field_key").agg(F.min_by("f", "f.page_no").alias("f"))
+    return first.select(doc_col, "field_key", "f.*", F.concat(F.lit("rule:"), F.col("field_key")).alias("extractor"))
 
 
 def extract_mentions(pages: DataFrame, doc_col: str = "document_id") -> DataFrame:

@@ -247,10 +247,10 @@ def graph_totals(spark, d):
     return graph.totals_by_document(*built(spark, d))
 
 
-@query(_sql(f"{_DOCS}, e AS ({_NODE_GROUPS}) SELECT kind, name, owner FROM e WHERE kind IN ('mine', 'block') AND (lower(name) LIKE '%pit 1%' OR key LIKE '%pit 1%') AND (owner = 's2' OR owner = '-') ORDER BY kind, name, key LIMIT 200"))
+@query(_sql(f"{_DOCS}, e AS ({_NODE_GROUPS}) SELECT kind, name FROM e WHERE kind IN ('mine', 'block') AND (lower(name) LIKE '%pit 1%' OR key LIKE '%pit 1%') AND (owner = 's2' OR owner = '-') ORDER BY kind, name, key LIMIT 200"))
 def graph_search(spark, d):
     e, _ = built(spark, d)
-    return graph.search(e.where(F.col("kind").isin("mine", "block")), "pit 1", principal="s2").select("kind", "name", F.coalesce("owner", F.lit("-")).alias("owner"))
+    return graph.search(e.where(F.col("kind").isin("mine", "block")), "pit 1", principal="s2").select("kind", "name")
 
 
 # ---------------------------------------------------------------- facts, findings
