@@ -58,6 +58,23 @@ def _per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def packed(sig: np.ndarray) -> list[bytes]:
+    """Signatures as bytes: one a count where all fit, else two; counts beyond that make a signature of zeros, which says nothing."""
+    top = sig.max(axis=1, initial=0)
+    return [(s.astype(np.uint8) if t < 256 else s.astype("<u2") if t < 65536 else np.zeros(SIG, np.uint8)).tobytes() for s, t in zip(sig, top, strict=True)]
+
+
+def unpacked(sigs: pd.Series) -> np.ndarray:
+    """(n, SIG) counts of packed signatures."""
+    out = np.zeros((len(sigs), SIG), np.int32)
+    size = np.fromiter(map(len, sigs), np.int64, len(sigs))
+    for width, kind in ((SIG, np.uint8), (2 * SIG, "<u2")):
+        at = np.flatnonzero(size == width)
+        if len(at):
+            out[at] = np.frombuffer(b"".join(sigs.iloc[at]), kind).reshape(-1, SIG)
+    return out
+
+
 def profile(docs: DataFrame, k: int) -> DataFrame:
     """Rows of kind 0: a document's set size, set hashes and signature; of kind 1: a shingle seen often in a chunk, and how often."""
 
@@ -79,8 +96,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
                     held = []
                 sig = np.zeros((m, SIG), np.int64)
                 np.add.at(sig, (np.repeat(np.arange(m), n), (sh >> np.uint64(20)).astype(np.int64) % SIG), 1)
-                sig[sig.max(axis=1) > 65535] = 0  # says nothing
-                yield pd.DataFrame({"kind": 0, "id": ids[a : a + m], "n": n, "k1": _per_doc(mix(sh), bounds).view(np.int64), "k2": _per_doc(mix(sh ^ np.uint64(0xABCDEF)), bounds).view(np.int64), "sig": [s.tobytes() for s in sig.astype("<u2")]})
+                yield pd.DataFrame({"kind": 0, "id": ids[a : a + m], "n": n, "k1": _per_doc(mix(sh), bounds).view(np.int64), "k2": _per_doc(mix(sh ^ np.uint64(0xABCDEF)), bounds).view(np.int64), "sig": packed(sig)})
         if held:
             yield often(held)
 
@@ -97,7 +113,7 @@ def _order_keys(sh: np.ndarray, late: np.ndarray, level: np.ndarray) -> np.ndarr
 
 
 def windows(docs: DataFrame, k: int, pct: int, late: np.ndarray, level: np.ndarray) -> DataFrame:
-    """(key, id, n, pos): the regions of each document's window. Within a task, equal sets appear once."""
+    """(key, id, np): the regions of each document's window, with its size and its place there in one number. Within a task, equal sets appear once."""
     held = docs.sparkSession.sparkContext.broadcast((late, level))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,9 +138,9 @@ def windows(docs: DataFrame, k: int, pct: int, late: np.ndarray, level: np.ndarr
                 pos = np.arange(len(keys)) - np.repeat(bounds[:-1], n)
                 length = n - -(-n * pct // 100) + 1
                 keep = (pos < length[doc]) & fresh[doc]
-                yield pd.DataFrame({"key": keys[keep].view(np.int64), "id": ids[a + doc[keep]], "n": n[doc[keep]], "pos": pos[keep]})
+                yield pd.DataFrame({"key": keys[keep].view(np.int64), "id": ids[a + doc[keep]], "np": n[doc[keep]] << 31 | pos[keep]})
 
-    return docs.mapInPandas(run, "key long, id long, n int, pos int")
+    return docs.mapInPandas(run, "key long, id long, np long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -169,8 +185,7 @@ def _near_signatures(pairs: DataFrame, sigs: DataFrame, pct: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        p = np.frombuffer(b"".join(x), "<u2").reshape(-1, SIG).astype(np.int64)
-        q = np.frombuffer(b"".join(y), "<u2").reshape(-1, SIG).astype(np.int64)
+        p, q = unpacked(x).astype(np.int64), unpacked(y).astype(np.int64)
         return pd.Series((100 * np.minimum(p, q).sum(axis=1) >= pct * np.maximum(p, q).sum(axis=1)) | (p.sum(axis=1) == 0) | (q.sum(axis=1) == 0))
 
     s = sigs.select("id", "sig")
@@ -277,8 +292,9 @@ def _components(whole: DataFrame, k: int, pct: int, work: Work) -> DataFrame:
     order = np.argsort(late_id)
     rows = work.keep(windows(whole, k, pct, late_id[order], level[order]))
     # groups of one are gone here; what stays is as large as the copies and chance neighbours in the corpus
-    met = with_region(rows, p=F.min(F.struct("id", "n", "pos")), last=F.max("id")).where("p.id <> last")
-    met = work.keep(met.select("key", "id", "n", "pos", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp")))
+    met = with_region(rows, p=F.min(F.struct("id", "np")), last=F.max("id")).where("p.id <> last")
+    size, place = (lambda c: F.shiftright(c, 31).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    met = work.keep(met.select("key", "id", size("np").alias("n"), place("np").alias("pos"), F.col("p.id").alias("pid"), size("p.np").alias("pn"), place("p.np").alias("pp")))
     work.drop(rows)
     sigs = base.select("id", "sig")
     # first round: each document against the pivot that it meets most often within the windows
@@ -365,7 +381,7 @@ def _large(members: DataFrame, docs: DataFrame, sigs: DataFrame, k: int, pct: in
         return np.full(len(g), 2) if key[1] == key[2] else (g["blk"].to_numpy() == key[2]).astype(int)
 
     def sift(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(-1, SIG).astype(np.int32)
+        sig = unpacked(g["sig"])
         to = near_members(sig, g["n"].to_numpy(), g["comp"].to_numpy(), sides(key, g), pct)
         ids = g["id"].to_numpy()
         some = to != np.arange(len(g))
