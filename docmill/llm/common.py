@@ -92,10 +92,16 @@ class Work:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
-        """Write `df` as Parquet and read it back."""
+        """Write `df` as Parquet and read it back. The shuffle files behind it go once it is written, as its own files stand for it then."""
         self._n += 1
         at = f"{self.path}/{label}-{self._n}"
-        df.write.parquet(at)
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(clean, "false")
+        self.spark.conf.set(clean, "true")
+        try:
+            df.write.parquet(at)
+        finally:
+            self.spark.conf.set(clean, before)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._docmill_path = at
         return out
