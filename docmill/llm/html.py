@@ -22,6 +22,7 @@ _PART = re.compile(r"[a-z0-9]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in _RAW}
 _BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre script search section select style summary table tbody td template textarea tfoot th thead title tr ul video".split()
@@ -63,7 +64,7 @@ class Page:
         self.texts: list[tuple[int, int, str]] = []  # element, block, decoded text
         self.hashes: list[int] = [0]
         self._states = [xxhash.xxh3_64()]
-        self._open, self._block = [0], 0
+        self._open, self._block, self._paragraphs = [0], 0, 0
         at, end = 0, len(source)
         while at < end:
             m = _TOKEN.search(source, at)
@@ -82,7 +83,7 @@ class Page:
             else:
                 self._begin(name, m[3] or m[6] or "")
                 if name in _RAW:
-                    found = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(source, at)
+                    found = _RAW_ENDS[name].search(source, at)
                     at = found.start() if found else end
         while len(self._open) > 1:
             self._pop()
@@ -101,6 +102,7 @@ class Page:
         self.hashes[e] = h - (1 << 64) if h >> 63 else h
         self._states[self._open[-1]].update(h.to_bytes(8, "big"))
         self._block += self.tag[e] in _BLOCK
+        self._paragraphs -= self.tag[e] == "p"
 
     def _close(self, names: tuple[str, ...], bounds: frozenset | tuple) -> None:
         """End the innermost of `names` that is open within the bounds, with all that is open inside it."""
@@ -114,7 +116,7 @@ class Page:
                 return
 
     def _begin(self, name: str, attrs: str) -> None:
-        if name in _ENDS_P:
+        if name in _ENDS_P and self._paragraphs:
             self._close(("p",), _SCOPE)
         if name in _CLOSES:
             self._close(_CLOSES[name], _BOUNDS[name])
@@ -124,18 +126,24 @@ class Page:
         e = len(self.tag)
         self.parent.append(self._open[-1])
         self.tag.append(name)
-        self.marked.append(_mark(name, attrs))
+        self._paragraphs += name == "p"
         self.hashes.append(0)
-        state = xxhash.xxh3_64(name.encode("utf-8", "replace"))
         if attrs and not attrs.isspace():
-            state.update(" ".join(attrs.split()).encode("utf-8", "replace"))
+            self.marked.append(_mark(name, attrs))
+            state = xxhash.xxh3_64(f"{name} {' '.join(attrs.split())}".encode("utf-8", "replace"))
+        else:
+            self.marked.append("")
+            state = xxhash.xxh3_64(name.encode("utf-8", "replace"))
         self._states.append(state)
         self._open.append(e)
 
     def _end(self, name: str) -> None:
         if name in _BLOCK:
             self._block += 1
-        self._close((name,), () if name in ("body", "html") or name in _MAIN else ("article", "main", "table") if name not in ("div", "section") else ("article", "main"))
+        if self.tag[self._open[-1]] == name:
+            self._pop()
+        else:
+            self._close((name,), () if name in ("body", "html") or name in _MAIN else ("article", "main", "table") if name not in ("div", "section") else ("article", "main"))
 
     # ------------------------------------------------------------ what is cut
 
@@ -176,14 +184,14 @@ class Page:
                 yield e
 
     def longest(self) -> int:
-        """Hash of the longest block (of the main elements, if there are any): pages that share it count as one page."""
+        """Hash of the three longest blocks (of the main elements, if there are any): pages that share them count as one page."""
         blocks: dict[int, list[str]] = {}
         some = any(self.in_main)
         for e, b, text in self.texts:
             if not self.cut[e] and (self.in_main[e] or not some):
                 blocks.setdefault(b, []).append(text)
-        best = max((" ".join("".join(x).split()) for x in blocks.values()), key=len, default="")
-        h = xxhash.xxh3_64_intdigest(best.encode("utf-8", "replace"))
+        best = sorted((" ".join("".join(x).split()) for x in blocks.values()), key=len)[-3:]
+        h = xxhash.xxh3_64_intdigest("\n".join(best).encode("utf-8", "replace"))
         return h - (1 << 64) if h >> 63 else h
 
     def text(self, templates: frozenset[int] | set[int]) -> str:
@@ -260,8 +268,8 @@ def host_of(url: Column) -> Column:
 def templates(sigs: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, tree, size): subtrees that recur on a host's pages; size: its pages that have it.
 
-    sigs: one row per different page, host, main (of its main text), size (equal pages) and trees. Pages of one main text count once, so that copies
-    of an article are no template. Hosts without a name have none.
+    sigs: one row per different page, host, main (of its longest blocks), size (equal pages) and trees. Pages of one main text count once, so that
+    copies of an article are no template. Hosts without a name have none.
     """
     named = sigs.where("host <> ''")
     hosts = named.groupBy("host").agg(F.count_distinct("main").alias("pages"), F.count("*").alias("size"))
