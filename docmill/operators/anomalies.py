@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import values as V
+from docmill.operators import relational
 
 SIGNATURE, TREND_N, TREND_SIGMA = 290, 4, 2.5
 FINDING = ["kind", "severity", "anchor", "title", "detail", "signature", "evidence"]
@@ -128,6 +129,7 @@ def scan(stored: DataFrame, f: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def review(stored: DataFrame, decisions: DataFrame, sig: str = "signature") -> DataFrame:
-    """Reviewers' new states (not back to open) over the stored ones."""
-    d = decisions.where("decision in ('acknowledged', 'resolved', 'dismissed')").select(sig, "decision")
+    """Reviewers' new states (not back to open) over the stored ones; of several on one finding the last counts (see last_decisions())."""
+    d = decisions.where("decision in ('acknowledged', 'resolved', 'dismissed')")
+    d = relational.last_decisions(d.select(sig, "decision", *[c for c in ("decided_at",) if c in d.columns]), sig)
     return stored.join(d, sig, "left").withColumn("status", F.coalesce("decision", "status")).drop("decision")

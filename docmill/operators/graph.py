@@ -18,8 +18,8 @@ RESERVES = {
     "total_geological_reserve": "total", "revised_value": "revised", "superseded_value": "superseded",
 }
 PRODUCTION = {
-    "coal_production_target": "coal_target", "coal_production_actual": "coal_actual", "ob_removal_actual": "ob_removal",
-    "cil_production": "cil_production", "cil_target": "cil_target",
+    "coal_production_actual": "coal_production", "ob_removal_actual": "overburden_removal", "stripping_ratio": "stripping_ratio",
+    "cil_production": "cil_coal_production", "cil_target": "cil_production_target",
 }
 
 
@@ -54,13 +54,17 @@ def match_unit(own: Column, code: Column, org: Column, units: list[tuple[str, st
 
 
 def build_graph(docs: DataFrame, fields: DataFrame, units: list[tuple[str, str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) of all documents at once; a rerun gives the same rows.
+    """(entities, relations) of all documents at once; a rerun gives the same rows. See evidence(), merge_nodes() and merge_edges()."""
+    nodes, edges = evidence(docs, fields, units)
+    return merge_nodes(nodes), merge_edges(edges)
+
+
+def evidence(docs: DataFrame, fields: DataFrame, units: list[tuple[str, str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): what each document says, one row a sighting, from which the graph is merged and kept up to date (follow()).
 
     `docs`: document_id, doc_type, doc_date, subsidiary_id, created_at, filename; `fields`: field_id, document_id, field_key, value_text,
-    value, unit, iso, confidence, page_no, status; `units`: (id, code, name) of the known organisational units. Named things are one
-    node a kind, key and owner: name and provenance of the first sighting, the highest confidence (0 where no field backs
-    it), attributes merged in order of sighting, the last value of each; facts are a document's own. Edges never join a node
-    to itself; one of several equal edges has the first one's provenance.
+    value, unit, iso, confidence, page_no, status; `units`: (id, code, name) of the known organisational units. Facts (reserves, production
+    figures, findings) are a document's own nodes, named things are shared by kind, key and owner. Edges never join a node to itself.
     """
     best = best_fields(fields)
     cell = F.struct("value_text", "value", "unit", "iso", "confidence", "field_id")
@@ -104,12 +108,6 @@ def build_graph(docs: DataFrame, fields: DataFrame, units: list[tuple[str, str,
     order = ["report", "subsidiary", "mine", "block", "hole", "seam", "mineral", *RESERVES, *PRODUCTION, "inquiry", "finding"]
     d = d.select("document_id", "created_at", "as_on", period.alias("period"), *[F.col(f"{f}.{x}").alias(f"{f}_{x}") for f in ("f_sub", "f_mine", "f_hole", "f_seam", "f_grade", "f_finding", "block_name", "question_reference", *RESERVES, *PRODUCTION) for x in ("field_id", "confidence")], *[made[n].alias(f"n_{n}") for n in order])
     one = d.select("document_id", "created_at", F.posexplode(F.array(*[F.col(f"n_{n}") for n in order])).alias("pos", "n")).where("n is not null").select("document_id", "created_at", "pos", "n.*")
-    at = F.struct("created_at", "document_id", "pos")
-    merged = [F.max_by(F.col("attrs")[k], F.when(F.map_contains_key("attrs", k), at)).alias(f"a_{k}") for k in ATTRS]
-    entities = one.groupBy("id", "kind", "key", "owner").agg(F.min_by("name", at).alias("name"), F.max("confidence").alias("confidence"), F.min_by("document_id", at).alias("document_id"), F.min_by(F.struct("field_id"), at).alias("f"), *merged)
-    attrs = F.map_filter(F.create_map(*[x for k in ATTRS for x in (F.lit(k), F.col(f"a_{k}"))]), lambda _, v: v.isNotNull())
-    entities = entities.select("id", "kind", "key", "owner", "name", "confidence", attrs.alias("attrs"), "document_id", F.col("f.field_id").alias("field_id"))
-
     def edge(src: Column | str, dst: str, predicate: str, source: str, since: Column = null) -> Column:
         s = F.col(f"n_{src}.id") if isinstance(src, str) else src
         return F.struct(s.alias("src"), F.col(f"n_{dst}.id").alias("dst"), F.lit(predicate).alias("predicate"), since.alias("valid_from"), F.col(f"{source}_field_id").alias("field_id"), F.coalesce(F.col(f"{source}_confidence"), F.lit(0.0)).alias("confidence"))
@@ -126,11 +124,64 @@ def build_graph(docs: DataFrame, fields: DataFrame, units: list[tuple[str, str,
         edges += [edge(key, "report", "reported_in", key, F.col("period")), edge(first("mine", "subsidiary"), key, "produces", key, F.col("period"))]
     edges += [edge("report", "inquiry", "responds_to", "question_reference"), edge("finding", "report", "reported_in", "f_finding"), edge("mine", "finding", "mentions", "f_finding")]
     rel = d.select("document_id", "created_at", F.explode(F.array(*edges)).alias("e")).where("e.src is not null and e.dst is not null and e.src <> e.dst").select("document_id", "created_at", "e.*")
+    return one, rel
+
+
+NODE_KEY, EDGE_KEY = ["id"], ["src", "dst", "predicate", "valid_from"]
+
+
+def merge_nodes(nodes: DataFrame) -> DataFrame:
+    """Entities from sightings: name and provenance of the first, the highest confidence (0 where no field backs it), attributes merged in order of
+    sighting, the last value of each."""
+    at = F.struct("created_at", "document_id", "pos")
+    merged = [F.max_by(F.col("attrs")[k], F.when(F.map_contains_key("attrs", k), at)).alias(f"a_{k}") for k in ATTRS]
+    entities = nodes.groupBy("id", "kind", "key", "owner").agg(F.min_by("name", at).alias("name"), F.max("confidence").alias("confidence"), F.min_by("document_id", at).alias("document_id"), F.min_by(F.struct("field_id"), at).alias("f"), *merged)
+    attrs = F.map_filter(F.create_map(*[x for k in ATTRS for x in (F.lit(k), F.col(f"a_{k}"))]), lambda _, v: v.isNotNull())
+    return entities.select("id", "kind", "key", "owner", "name", "confidence", attrs.alias("attrs"), "document_id", F.col("f.field_id").alias("field_id"))
+
+
+def merge_edges(edges: DataFrame) -> DataFrame:
+    """Relations from sightings: the first one's provenance, and `backing`, the documents behind it; an edge lives while one document backs it."""
     seen = F.struct("created_at", "document_id")
-    # an edge is the aggregate of its evidence, so it lives while one document backs it
-    relations = rel.groupBy("src", "dst", "predicate", "valid_from").agg(F.min_by(F.struct("document_id", "field_id", "confidence"), seen).alias("p"), F.count_distinct("document_id").alias("backing"))
+    relations = edges.groupBy(*EDGE_KEY).agg(F.min_by(F.struct("document_id", "field_id", "confidence"), seen).alias("p"), F.count_distinct("document_id").alias("backing"))
     relations = relations.select("src", "dst", "predicate", F.to_date("valid_from").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), "p.*", F.create_map().cast("map<string,string>").alias("attrs"), "backing")
-    return entities, relations.withColumn("id", F.sha2(F.concat_ws("\u001f", "src", "dst", "predicate", F.coalesce(F.col("valid_from").cast("string"), F.lit(""))), 256))
+    return relations.withColumn("id", F.sha2(F.concat_ws("\u001f", "src", "dst", "predicate", F.coalesce(F.col("valid_from").cast("string"), F.lit(""))), 256))
+
+
+#: Keys of touched things up to which they are broadcast (hashes of 64 characters); more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """The keys, broadcast if they are counted to be few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def follow(graph: tuple[DataFrame, DataFrame], stored: tuple[DataFrame, DataFrame], changed: DataFrame, docs: DataFrame, fields: DataFrame, units: list[tuple[str, str, str]] | None = None) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """((entities, relations), (nodes, edges)) after some documents changed, went or came: equal to a new build, without building the rest anew.
+
+    graph and stored: the graph and its evidence before; changed: document_id of all documents that differ; docs, fields: what these are now (rows of
+    other documents are passed over, a document that is gone has none). Their old sightings are taken back, their new ones put in, and only the
+    nodes and edges that either touches are merged again, from all documents that still back them; the rest of the graph is passed on unread by
+    any shuffle. A node or edge that nothing backs any more is gone.
+    """
+    gone = changed.select("document_id").distinct()
+    few = _small(gone)
+    new = evidence(docs.join(few, "document_id", "left_semi"), fields.join(few, "document_id", "left_semi"), units)
+    graph_now, stored_now = [], []
+    for table, old, fresh, key, merge in zip(graph, stored, new, (NODE_KEY, EDGE_KEY), (merge_nodes, merge_edges), strict=True):
+        fresh = fresh.select(*old.columns)
+        kept = old.join(few, "document_id", "left_anti")
+        now = kept.unionByName(fresh)
+        touched = old.join(few, "document_id", "left_semi").select(*key).union(fresh.select(*key)).distinct()
+        held = [F.col(k).eqNullSafe(F.col(f"t_{k}")) for k in key]
+        names = _small(touched.select(*[F.col(k).alias(f"t_{k}") for k in key]))
+        again = merge(now.join(names, held, "left_semi"))
+        same = table.withColumn("valid_from", F.col("valid_from").cast("string")) if "valid_from" in key else table
+        same = same.join(names, held, "left_anti").select(*[F.to_date(c).alias(c) if c == "valid_from" else F.col(c) for c in table.columns])
+        graph_now.append(same.unionByName(again.select(*table.columns)))
+        stored_now.append(now)
+    return tuple(graph_now), tuple(stored_now)
 
 
 def totals_by_document(entities: DataFrame, relations: DataFrame) -> DataFrame:

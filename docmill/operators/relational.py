@@ -83,3 +83,10 @@ def by_page(fields: DataFrame) -> DataFrame:
     """(document_id, fields): a document's fields by page (none counts as 0), the most certain first."""
     key = F.struct(F.coalesce("page_no", F.lit(0)).alias("page_no"), (-F.col("confidence")).alias("c"), "field_key")
     return fields.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(key)), lambda f: f["field_key"]).alias("fields"))
+
+
+def last_decisions(decisions: DataFrame, key: str, at: str = "decided_at") -> DataFrame:
+    """One row a key: of several decisions on one thing the last by time counts (without a time column, the greatest), so that none multiplies rows."""
+    rest = [c for c in decisions.columns if c not in (key, at)]
+    order = F.struct(*([at] if at in decisions.columns else []), *rest)
+    return decisions.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_d")).select(key, "_d.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 from docmill.functions import values as V
+from docmill.operators import relational
 
 # Words of names that identify nothing.
 GENERIC = [
@@ -91,7 +92,10 @@ def cached(questions: DataFrame, pairs: DataFrame, threshold: float = CACHE_HIT,
 
 
 def judge(pairs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Promote or reject answers (qa_id, decision: verified or rejected); an insufficient one cannot be verified."""
-    d = decisions.where("decision in ('verified', 'rejected')").select("qa_id", "decision")
+    """Promote or reject answers (qa_id, decision: verified or rejected, decided_at if known); an insufficient one cannot be verified. Of several
+    decisions on one answer the last that can be taken counts."""
+    d = decisions.where("decision in ('verified', 'rejected')").select("qa_id", "decision", *[c for c in ("decided_at",) if c in decisions.columns])
+    weak = pairs.where("status = 'insufficient'").select("qa_id").distinct()
+    d = relational.last_decisions(d.where("decision = 'rejected'").unionByName(d.where("decision = 'verified'").join(weak, "qa_id", "left_anti")), "qa_id")
     ok: Column = F.col("decision").isNotNull() & ~((F.col("status") == "insufficient") & (F.col("decision") == "verified"))
     return pairs.join(d, "qa_id", "left").withColumn("status", F.when(ok, F.col("decision")).otherwise(F.col("status"))).drop("decision")

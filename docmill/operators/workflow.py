@@ -46,11 +46,14 @@ def bump_hits(pairs: DataFrame, answers: DataFrame) -> DataFrame:
 def review_fields(fields: DataFrame, decisions: DataFrame) -> DataFrame:
     """Fields after review: confirm verifies, correct takes the new value (its number parsed anew) and keeps the original, reject rejects.
 
-    decisions: field_id, decision, new_value. A correction without a value is left out. fields has original_value_text.
+    decisions: field_id, decision, new_value and, if there is one, decided_at. A correction without a value is left out. Of several decisions on a field the
+    last one sets its state and the last correction its value, as if they had been taken one after another. fields has original_value_text.
     """
-    d = decisions.where("decision in ('confirm', 'reject') or (decision = 'correct' and trim(coalesce(new_value, '')) <> '')").select("field_id", "decision", "new_value")
-    j = fields.join(d, "field_id", "left")
-    fix = F.coalesce(F.col("decision") == "correct", F.lit(False))
+    d = decisions.where("decision in ('confirm', 'reject') or (decision = 'correct' and trim(coalesce(new_value, '')) <> '')").select("field_id", "decision", "new_value", *[c for c in ("decided_at",) if c in decisions.columns])
+    fixes = relational.last_decisions(d.where("decision = 'correct'").drop("decision"), "field_id").select("field_id", F.col("new_value").alias("new_value"))
+    last = relational.last_decisions(d, "field_id").select("field_id", "decision")
+    j = fields.join(last.join(fixes, "field_id", "left"), "field_id", "left")
+    fix = F.col("new_value").isNotNull()
     out = j.withColumn("original_value_text", F.when(fix, F.coalesce("original_value_text", "value_text")).otherwise(F.col("original_value_text")))
     out = out.withColumn("value", F.when(fix, F.when(F.col("value").isNotNull(), T.to_number(F.col("new_value")))).otherwise(F.col("value")))
     out = out.withColumn("iso", F.when(fix & F.col("iso").isNotNull(), T.parse_date(F.col("new_value")).cast("string")).otherwise(F.col("iso")))
@@ -59,6 +62,16 @@ def review_fields(fields: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.withColumn("status", state).drop("decision", "new_value")
 
 
+def review_and_follow(stored: tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], docs: DataFrame, fields: DataFrame, decisions: DataFrame, units: list[tuple[str, str, str]] | None = None) -> tuple[DataFrame, tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]]:
+    """(fields, (graph, evidence)) after a review: the graph follows the documents whose fields were decided on, and nothing else is built anew.
+
+    stored: (graph, evidence) before, as graph.follow() takes them.
+    """
+    changed = fields.join(decisions.select("field_id").distinct(), "field_id", "left_semi").select("document_id").distinct()
+    now = review_fields(fields, decisions)
+    return now, graph.follow(*stored, changed, docs, now, units)
+
+
 def reset(docs: DataFrame, names: DataFrame, fields: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, fields, reports): documents of known file names with their fields, the newest report of a title."""
     d = docs.join(names.select("filename").distinct(), "filename", "left_semi")
