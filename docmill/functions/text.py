@@ -71,12 +71,17 @@ def normalize_question(q: Column) -> Column:
     return F.left(squeeze(F.regexp_replace(F.lower(q), r"[^\p{L}\p{M}\p{N}_\s]", " ")), F.lit(500))
 
 
+def concepts() -> dict[str, str]:
+    """Concepts of variant words, romanised Hindi first."""
+    known = {k: SYNONYMS.get(v, v) for k, v in ROMAN_HINDI.items()}
+    return {k: v for k, v in SYNONYMS.items() if k not in known} | known
+
+
 def canon(token: Column) -> Column:
     """A token's concept: romanised Hindi first, then variants."""
     low = F.lower(token)
     # the set tests are hashed, so the linear map lookups only run for the few variants
-    known = {k: SYNONYMS.get(v, v) for k, v in ROMAN_HINDI.items()}
-    both = {k: v for k, v in SYNONYMS.items() if k not in known} | known
+    both = concepts()
     return F.when(low.isin(list(both)), _lookup(both)[low]).otherwise(low)
 
 

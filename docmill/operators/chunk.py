@@ -93,16 +93,18 @@ def nearest_for_all(queries: DataFrame, vectors: DataFrame, k: int, qid: str, id
     """The k nearest rows for each query vector, ties by id: queries and vectors are dealt to blocks, every block of queries meets every block of
     vectors in one task, and only the best k rows of a query and task go on. Nothing but counts comes to the driver.
 
-    This compares a stated set of queries with all rows; scores are rounded after ranking.
+    This compares a stated set of queries with all rows; scores are rounded after ranking. Vectors are compared with those of their own length; null or
+    empty ones, and those with null or non-finite components, are near nothing.
     """
-    q = queries.select(F.col(qid).cast("long").alias("q"), F.col(q_vec).cast("array<double>").alias("v")).where("q is not null and v is not null")
-    base = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
+    fine = F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    q = queries.select(F.col(qid).cast("long").alias("q"), F.col(q_vec).cast("array<double>").alias("v")).where("q is not null").where(F.coalesce(fine, F.lit(False))).withColumn("d", F.size("v"))
+    base = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")).where(F.coalesce(fine, F.lit(False))).withColumn("d", F.size("v"))
     n, m = q.count(), base.count()
     qb, vb = max(1, -(-n // block)), max(1, -(-m // (8 * block)))
     every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     # the smaller number of copies: queries go to all blocks of vectors, vectors to all blocks of queries
-    left = q.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("a"), every(vb).alias("b"))
-    right = base.select("i", F.col("v").alias("w"), every(qb).alias("a"), F.pmod(F.xxhash64("i"), F.lit(vb)).cast("int").alias("b"))
+    left = q.select("d", "q", "v", F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("a"), every(vb).alias("b"))
+    right = base.select("d", "i", F.col("v").alias("w"), every(qb).alias("a"), F.pmod(F.xxhash64("i"), F.lit(vb)).cast("int").alias("b"))
 
     def unit(rows: pd.Series) -> np.ndarray:
         x = np.stack([np.asarray(v, float) for v in rows])
@@ -123,6 +125,6 @@ def nearest_for_all(queries: DataFrame, vectors: DataFrame, k: int, qid: str, id
                 rows.append(pd.DataFrame({"q": name, "i": ids[some], "score": c[some]}))
         return pd.concat(rows)
 
-    got = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, "q long, i long, score double")
+    got = left.groupBy("d", "a", "b").cogroup(right.groupBy("d", "a", "b")).applyInPandas(best, "q long, i long, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "i")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(qid), F.col("i").alias(id_col), F.round("score", 4).alias("score"), "rank")

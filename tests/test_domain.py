@@ -287,29 +287,56 @@ def test_findings_scan_twice(spark, corpus):
     assert again.agg(F.sum("created")).first()[0] == 0 and again.agg(F.sum("updated")).first()[0] == 1
 
 
-def test_nmf_lowers_the_error_of_all_terms(spark):
-    """Against the same updates written out on the whole matrix."""
+def nmf_plain(x, k, rounds):
+    """Start by exact singular vectors, then the same updates, on the whole matrix."""
+    import numpy as np
+
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    w, h = np.full((len(x), k), x.mean()), np.full((k, x.shape[1]), x.mean())
+    for i in range(k):
+        parts = [(np.maximum(sign * u[:, i], 0), np.maximum(sign * vt[i], 0)) for sign in (1, -1)]
+        a, b = max(parts, key=lambda p: np.linalg.norm(p[0]) * np.linalg.norm(p[1]))
+        size = np.sqrt(s[i] * np.linalg.norm(a) * np.linalg.norm(b))
+        for out, p in ((w[:, i], a), (h[i], b)):
+            out[p > 1e-9] = size * p[p > 1e-9] / np.linalg.norm(p)
+    for _ in range(rounds):
+        w = w * (x @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
+        h = h * (w.T @ x) / np.maximum((w.T @ w) @ h, 1e-12)
+    return w, h
+
+
+def test_nmf_equals_the_plain_one(spark):
+    """On a matrix of low rank, of which the range finder finds all; then on one of full rank, by its error."""
     import numpy as np
 
     rng = np.random.default_rng(5)
-    rows = [(i, f"t{j:02d}", float(rng.random())) for i in range(12) for j in rng.choice(15, 6, replace=False)]
-    loads, h, vocab = topics.nmf(spark.createDataFrame(rows, "id int, term string, weight double"), 2, rounds=8)
-    x = np.zeros((12, len(vocab)))
-    for i, t, w in rows:
-        x[i, vocab.index(t)] = w
-    g = np.random.default_rng(42).random((2, len(vocab))) + 0.01
-
-    def fit(g):
-        w = np.full((12, 2), 0.1)
-        for _ in range(20):
-            w *= (x @ g.T) / np.maximum(w @ (g @ g.T), 1e-12)
-        return w
-
-    for _ in range(8):
-        w = fit(g)
-        g = g * (w.T @ x) / np.maximum(w.T @ w @ g, 1e-12)
-    assert len(vocab) == len({t for _, t, _ in rows}) and np.allclose(h, g)
-    assert np.allclose(np.array([r["loads"] for r in loads.orderBy("id").collect()]), fit(g))
+    themes = np.zeros((2, 15))
+    themes[0, :9], themes[1, 6:] = rng.random(9) + 0.2, rng.random(9) + 0.2
+    low = (rng.random((12, 2)) + 0.1) @ themes
+    full = rng.random((12, 15)) * (rng.random((12, 15)) < 0.5)
+    for x, rounds in ((low, 3), (full, 3)):
+        rows = [(i, f"t{j:02d}", float(x[i, j])) for i in range(12) for j in range(15) if x[i, j] > 0]
+        w, h = topics.nmf(spark.createDataFrame(rows, "id int, term string, weight double").repartition(3), 2, rounds=rounds, tolerance=0.0)
+        w, h = np.array([r["loads"] for r in w.orderBy("id").collect()]), np.array([r["h"] for r in h.orderBy("term").collect()]).T
+        pw, ph = nmf_plain(x, 2, rounds)
+        if x is low:
+            assert np.allclose(w @ h, pw @ ph, atol=1e-6) and np.allclose(np.sort(h, axis=0), np.sort(ph, axis=0), rtol=1e-4)
+        assert np.linalg.norm(x - w @ h) <= 1.03 * np.linalg.norm(x - pw @ ph)
+
+
+def test_terms_are_counted_within_rows(spark):
+    rows = [(1, "Mines and mining: the mine, the MINE  conveyor belt belt belt"), (2, None), (3, ""), (4, "a bb !!"), (5, "Überraschung conveyor_belt conveyor belt")]
+    from collections import Counter
+
+    from docmill.functions import text as T
+
+    df = spark.createDataFrame(rows, "id int, text string")
+    want = {}
+    for r in df.select("id", T.topic_tokens(F.coalesce("text", F.lit(""))).alias("w")).collect():
+        w = [x for x in r["w"] if all(c in "abcdefghijklmnopqrstuvwxyz_" for c in x)]
+        want |= {(r["id"], t): n for t, n in Counter([*w, *map(" ".join, zip(w, w[1:], strict=False))]).items()}
+    assert {(r["id"], r["term"]): r["tf"] for r in topics.terms_of(df.repartition(2), "id").collect()} == want
+
 
 
 def test_large_texts_are_chunked_in_proportion():
