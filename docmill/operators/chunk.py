@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -55,29 +57,89 @@ def chunk_pages(pages: DataFrame, doc_col: str = "document_id", text_col: str =
     return base.withColumn("_at", at).select(doc_col, page_col, "_at", F.posexplode("_c").alias("_i", "text")).select(doc_col, page_col, (F.col("_at") + F.col("_i")).cast("int").alias("chunk_index"), "text")
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
 def hashing_embedder(dim: int = 384) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic stand-in for an embedding model: signed hashes of words and word pairs, scaled to length 1."""
+    """A deterministic stand-in for an embedding model: signed hashes (MD5) of words and word pairs, scaled to length 1."""
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
-            words = (t or "").lower().split()
+            words = _WORD.findall((t or "").lower())
             for w in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % dim] += 1 if h >> 63 else -1
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+                h = hashlib.md5(w.encode(), usedforsecurity=False).digest()
+                out[i, int.from_bytes(h[:4], "big") % dim] += 1 if h[4] >= 128 else -1
+        return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
 
     return embed
 
 
-def embed(chunks: DataFrame, embedder: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_embedder, text_col: str = "text") -> DataFrame:
-    """Adds embedding (array<float>); a model is made once a worker, texts go by Arrow batches."""
+#: Embedders by name; each is made from its options, once a worker.
+EMBEDDERS: dict[str, Callable[..., Callable[[list[str]], np.ndarray]]] = {"hashing": hashing_embedder}
+
+
+def embedder_of(name: str, **options) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A factory of the named embedder, as embed() takes it."""
+    if name not in EMBEDDERS:
+        raise ValueError(f"unknown embedder: {name}")
+    return partial(EMBEDDERS[name], **options)
+
+
+def health(factory: Callable[[], Callable[[list[str]], np.ndarray]], dim: int | None = None) -> dict:
+    """ok, dim and what is wrong, from a vector of one short text: a model that fails, another dimension than asked for, or values that are no numbers."""
+    try:
+        v = np.asarray(factory()(["ok"]))
+    except Exception as e:  # a model may fail in any way; that is what is reported
+        return {"ok": False, "dim": None, "error": str(e)}
+    if v.ndim != 2 or len(v) != 1 or not np.isfinite(v).all():
+        return {"ok": False, "dim": None, "error": "not one vector of numbers a text"}
+    wrong = dim is not None and v.shape[1] != dim
+    return {"ok": not wrong, "dim": v.shape[1], "error": f"dimension {v.shape[1]}, not {dim}" if wrong else None}
+
+
+#: Vectors that a worker keeps, those used last.
+CACHED = 4096
+
+
+class LastUsed:
+    """A model behind a bounded memory of its last used texts: equal texts are embedded once while they are remembered."""
+
+    def __init__(self, model: Callable[[list[str]], np.ndarray], size: int = CACHED):
+        self.model, self.size, self.held, self.asked = model, size, OrderedDict(), 0
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        new = list(dict.fromkeys(t for t in texts if t not in self.held))
+        fresh = dict(zip(new, self.model(new), strict=True)) if new else {}
+        self.asked += len(new)
+        out = []
+        for t in texts:
+            v = fresh[t] if t in fresh else self.held[t]
+            out.append(v)
+        for t in texts:
+            self.held[t] = fresh.get(t, self.held.get(t))
+            self.held.move_to_end(t)
+        while len(self.held) > self.size:
+            self.held.popitem(last=False)
+        return np.stack(out) if out else np.zeros((0, 0))
+
+
+def embed(chunks: DataFrame, embedder: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_embedder, text_col: str = "text", cached: int = CACHED, on_failure: str = "raise") -> DataFrame:
+    """Adds embedding (array<float>); a model is made once a worker, texts go by Arrow batches, the last `cached` ones are remembered.
+
+    on_failure "null": rows of a batch that the model fails on have no vector, so that one bad text does not end the job; searches pass over them.
+    """
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = embedder()
+        model = LastUsed(embedder(), cached)
         for b in batches:
-            yield pd.Series([v.astype("float32") for v in model([t or "" for t in b])])
+            try:
+                yield pd.Series([v.astype("float32") for v in model([t or "" for t in b])])
+            except Exception:
+                if on_failure != "null":
+                    raise
+                yield pd.Series([None] * len(b))
 
     return chunks.withColumn("embedding", run(F.col(text_col)))
 

@@ -109,7 +109,7 @@ def _ranked(index: Index, probes: DataFrame, k: int, owner: str | None, at_least
     lists = index.lists.where(F.col("owner").isNull() | (F.col("owner") == owner)) if owner is not None else index.lists
     few = F.broadcast(probes.select("list").distinct())  # MOST_LISTS at most, so lists that none asks for are pruned from the scan
     lists = lists.join(few, "list", "left_semi")
-    parts = lists.select("list", "part").distinct()
+    parts = lists.select("list", F.col("part").alias("asked_part")).distinct()
     asked = probes.join(F.broadcast(parts) if index.rows <= 4096 * PART_ROWS else parts, "list")
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +127,8 @@ def _ranked(index: Index, probes: DataFrame, k: int, owner: str | None, at_least
                 out.append(pd.DataFrame({"q": q, "id": ids[some], "score": row[some]}))
         return pd.concat(out) if out else none
 
-    got = asked.groupBy("list", "part").cogroup(lists.select("list", "part", "id", "unit").groupBy("list", "part")).applyInPandas(best, "q long, id long, score double")
+    rows = lists.select(F.col("list").alias("of_list"), F.col("part").alias("of_part"), "id", "unit")
+    got = asked.select(F.col("list").alias("asked_list"), "asked_part", "q", "v").groupBy("asked_list", "asked_part").cogroup(rows.groupBy("of_list", "of_part")).applyInPandas(best, "q long, id long, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -153,7 +154,7 @@ def search_above(index: Index, queries: DataFrame, least: float, qid: str, vec_c
     return _ranked(index, p, k, owner, least - 1e-12).select(F.col("q").alias(qid), "id", F.round("score", 4).alias("score"), "rank")
 
 
-def search_exact(index: Index, queries: DataFrame, k: int, qid: str, vec_col: str = "embedding", probes: int = 4, owner: str | None = None) -> DataFrame:
+def search_exact(index: Index, queries: DataFrame, k: int, qid: str, vec_col: str = "embedding", probes: int = 4, owner: str | None = None, rounded: bool = True) -> DataFrame:
     """(qid, id, score, rank): the k best rows of all. The nearest lists give each query its k-th score so far, and every list that could hold a better
     row by its radius is read then."""
     q = _queries(index, queries, qid, vec_col)
@@ -161,4 +162,4 @@ def search_exact(index: Index, queries: DataFrame, k: int, qid: str, vec_col: st
     floor = first.where(F.col("rank") == k).select("q", F.col("score").alias("s"))
     known = q.drop("least").join(floor, "q", "left").select("q", "v", F.coalesce("s", F.lit(-1.0)).alias("least"))
     p = _probes(index, known, lambda a, r, s: np.flatnonzero((r >= 0) & (a - r <= math.acos(max(-1.0, min(1.0, s))) + SLACK)))
-    return _ranked(index, p, k, owner).select(F.col("q").alias(qid), "id", F.round("score", 4).alias("score"), "rank")
+    return _ranked(index, p, k, owner).select(F.col("q").alias(qid), "id", (F.round("score", 4) if rounded else F.col("score")).alias("score"), "rank")

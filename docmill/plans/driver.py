@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 from docmill.functions import values as V
-from docmill.operators import anomalies, audit, chunk, classify, graph, metrics, relational, retrieval, topics
+from docmill.operators import anomalies, audit, chunk, classify, graph, metrics, relational, retrieval, topics, vector_index
 from docmill.plans.registry import Registry, read
+from docmill.sources.store import Store
 
 R = Registry()
 query, QUERIES, SQL = R.query, R.queries, R.sql
@@ -176,7 +177,8 @@ def vector_topk(spark, d):
 def vector_cache_hit(spark, d):
     e = _t(spark, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    near = chunk.nearest_for_all(q, e, 2, "query_id", "vec_id").where("query_id <> vec_id")
+    index = vector_index.build(Store(spark, "cache"), e, "vec_id")
+    near = vector_index.search_exact(index, q, 2, "query_id").withColumnRenamed("id", "vec_id").where("query_id <> vec_id")
     return relational.newest(near, ["query_id"], [F.col("rank")]).select("query_id", "vec_id", "score", (F.col("score") >= retrieval.CACHE_HIT).alias("hit"))
 
 
