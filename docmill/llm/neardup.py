@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from docmill.llm.common import Work, components, join_classes
 
-#: Hashes a bucket joins, and the share of the pairs just at the threshold that tables are to find.
+#: Hashes a bucket joins by default, and the share of the pairs just at the threshold that tables are to find.
 HASHES, RECALL = 3, 0.99
+#: Unrelated vectors that a vector may meet by chance; hashes a bucket grow with the logarithm of the rows so that it stays so.
+CHANCE = 16
 #: Rows of bucket tasks that one call verifies.
 GROUP_ROWS = 8192
 #: Vectors of a bucket that one task compares with so many others; larger buckets are split into pairs of blocks.
@@ -86,6 +88,16 @@ def tables_for(dim: int, threshold: float, hashes: int = HASHES, recall: float =
     return max(8, int(np.ceil(np.log(1 - recall) / np.log(1 - share))))
 
 
+def hashes_for(rows: int, dim: int, threshold: float) -> int:
+    """Hashes a bucket: the least number (two at least) by which chance brings no more than CHANCE others to a vector in all tables together."""
+    d = 1 << max(1, (dim - 1).bit_length())
+    h = 2
+    # one hash of two unrelated vectors agrees once in 2 * d; one of h may be the other's second nearest, either way
+    while rows * tables_for(dim, threshold, h) * (1 + 2 * h) * (2.0 * d) ** -h > CHANCE and h < 8:
+        h += 1
+    return h
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable by the edges a-b, for each of n."""
     root = np.arange(n)
@@ -148,14 +160,47 @@ def _close_pairs(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.nd
                 yield left[p], right[q]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tables: int | None = None, hashes: int = HASHES, work: Work | None = None) -> DataFrame:
+def _listed_links(work: Work, coded: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """(rep, links, root): the links that are found first in a small bucket. entries: dim, t, code, rep, own of buckets of up to LISTED entries.
+
+    A bucket's pairs are listed by number (of entries of which one is there by its main code), each pair is kept once with its first bucket, and the
+    vectors of both are joined to it then. A pair whose first meeting is in a larger bucket is left to that one.
+    """
+    bucket = entries.groupBy("dim", "t", "code").agg(F.array_sort(F.collect_list(F.struct("rep", "own"))).alias("e"))
+    tails = F.transform("e", lambda x, k: F.transform(F.filter(F.slice("e", k + 2, F.size("e")), lambda y: (y["rep"] > x["rep"]) & (x["own"] + y["own"] > 0)), lambda y: F.struct(x["rep"].alias("i"), y["rep"].alias("j"))))
+    pairs = bucket.select(F.struct("t", "code").alias("at"), F.explode(F.flatten(tails)).alias("p")).groupBy("p.i", "p.j").agg(F.min("at").alias("at"))
+    side = lambda name: coded.select(F.col("rep").alias(name), F.col("size").alias(f"size_{name}"), F.col("dim").alias(f"dim_{name}"), F.col("x").alias(f"x_{name}"), F.col("main").alias(f"main_{name}"), F.col("probe").alias(f"probe_{name}"))
+    both = work.keep(pairs.select("i", "j", "at.t", "at.code"), "pairs").join(side("i"), "i").join(side("j"), "j").drop("dim_j")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for dim, g in b.groupby("dim_i"):
+                x, y = (np.frombuffer(b"".join(g[c]), float).reshape(-1, dim) for c in ("x_i", "x_j"))
+                g = g[np.einsum("ij,ij->i", x, y) >= threshold]
+                if not len(g):
+                    continue
+                n = len(g)
+                main = np.stack([*g["main_i"], *g["main_j"]])
+                probe = np.stack([*g["probe_i"], *g["probe_j"]]).reshape(*main.shape, -1)
+                ok = _first_meeting(main, probe, np.arange(n), np.arange(n, 2 * n), g["t"].to_numpy(), g["code"].to_numpy())
+                g = g[ok]
+                root = g["i"].to_numpy()
+                out.append(pd.DataFrame({"rep": np.concatenate((g["i"], g["j"])), "links": np.concatenate((g["size_j"], g["size_i"])), "root": np.concatenate((root, root))}))
+            yield pd.concat(out) if out else pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
+
+    return both.mapInPandas(verify, "rep long, links long, root long")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", tables: int | None = None, hashes: int | None = None, work: Work | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing (component the
     own id, kept unless the id is null). Equal vectors are one class: compared once, counted each. Vectors of different
     length do not link. Candidates meet in a bucket; every link is verified in double precision and counted in the first bucket
-    in which the two meet. Tables are as many as RECALL at the threshold needs in the vectors' dimension. Large buckets are split into
-    pairs of blocks, so no task holds more than two blocks. Rows of one id, whatever their vectors, share a component; n_links counts
+    in which the two meet. Hashes a bucket follow the logarithm of the rows (hashes_for), tables are as many as RECALL at the threshold needs
+    with so many in the vectors' dimension. Buckets of up to LISTED entries hold numbers only: their pairs are made distinct over all tables, and
+    vectors join each pair once. Larger buckets, those of many near copies, are split into pairs of blocks, so no task holds more than two. Rows of one id, whatever their vectors, share a component; n_links counts
     the other rows that a row's own vector links with.
     """
     work = work or Work(vectors.sparkSession, "near")
@@ -169,6 +214,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     # a class is known by a number of its own, as an id may stand in several
     classes = work.keep(keyed.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("size"), F.first("v").alias("v")).withColumn("rep", F.monotonically_increasing_id()))
 
+    total_classes = classes.count()
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
@@ -179,16 +226,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 x = np.stack([np.asarray(y, float) for y in part["v"]])
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                main, probe = codes(x, tables or tables_for(int(dim), threshold, hashes), hashes)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "size": part["size"].to_numpy(), "dim": int(dim), "x": [y.tobytes() for y in x], "main": list(main), "probe": list(probe.reshape(len(x), -1))})
+                h = hashes or hashes_for(total_classes, int(dim), threshold)
+                main, probe = codes(x, tables or tables_for(int(dim), threshold, h), h)
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "size": part["size"].to_numpy(), "dim": int(dim), "h": h, "x": [y.tobytes() for y in x], "main": list(main), "probe": list(probe.reshape(len(x), -1))})
 
-    coded = work.keep(classes.select("rep", "size", "v").mapInPandas(encode, "rep long, size long, dim int, x binary, main array<long>, probe array<long>"))
+    coded = work.keep(classes.select("rep", "size", "v").mapInPandas(encode, "rep long, size long, dim int, h int, x binary, main array<long>, probe array<long>"))
     at = F.posexplode("main").alias("t", "code")
     mains = coded.select("dim", "rep", at, F.lit(1).alias("own"))
-    probes = coded.select("dim", "rep", F.posexplode("probe").alias("p", "code")).select("dim", "rep", F.floor(F.col("p") / hashes).cast("int").alias("t"), "code", F.lit(0).alias("own"))
+    probes = coded.select("dim", "rep", "h", F.posexplode("probe").alias("p", "code")).select("dim", "rep", F.floor(F.col("p") / F.col("h")).cast("int").alias("t"), "code", F.lit(0).alias("own"))
     meets = mains.unionByName(probes).select("dim", "t", "code", "rep", "own")
-    live = meets.groupBy("dim", "t", "code").agg(F.count("*").alias("n"), F.sum("own").alias("own")).where("n > 1 and own > 0").select("dim", "t", "code", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = meets.join(live, ["dim", "t", "code"]).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    live = work.keep(meets.groupBy("dim", "t", "code").agg(F.count("*").alias("n"), F.sum("own").alias("own")).where("n > 1 and own > 0").select("dim", "t", "code", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    links = _listed_links(work, coded, meets.join(live.where(F.col("n") <= LISTED).select("dim", "t", "code"), ["dim", "t", "code"]), threshold)
+    placed = meets.join(live.where(F.col("n") > LISTED).drop("n"), ["dim", "t", "code"]).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("lo"), F.greatest(o, F.col("blk")).alias("hi"))))
     tasks = placed.select("t", "code", "rep", "own", "blk", "dim", pairs.alias("pr"))
     tasks = work.keep(tasks.select("t", "code", "dim", "rep", "own", "blk", "pr.lo", "pr.hi"))
@@ -212,7 +261,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
             x = np.zeros((len(one), dim))
             x[here] = np.frombuffer(b"".join(one["x"][here]), float).reshape(-1, dim)
             main = np.stack(one["main"][here])
-            probe, row = np.stack(one["probe"][here]).reshape(*main.shape, hashes), np.cumsum(here) - 1
+            probe, row = np.stack(one["probe"][here]).reshape(*main.shape, -1), np.cumsum(here) - 1
             mine = task[starts, 2] == dim
             for p, q in _close_pairs(x, starts[mine], sizes[mine], at, side, threshold):
                 ok = (own[p] | own[q]) & (at[p] != at[q])
@@ -230,7 +279,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     # bucket tasks are dealt to groups of about GROUP_ROWS rows; a task has two blocks at most
     groups = max(1, tasks.count() // GROUP_ROWS)
     full = full.withColumn("part", F.pmod(F.xxhash64("t", "code", "dim", "lo", "hi"), F.lit(groups)))
-    links = work.keep(full.groupBy("part").applyInPandas(verify, "rep long, links long, root long"))
+    links = work.keep(full.groupBy("part").applyInPandas(verify, "rep long, links long, root long").unionByName(links))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     members = keyed.select("id", "k1", "k2")
     total = rows.count()
