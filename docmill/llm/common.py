@@ -150,20 +150,15 @@ def map_file(folder: str, name: str) -> np.ndarray:
         from pyarrow import fs as pafs
 
         fs, base = pafs.FileSystem.from_uri(folder)
-        tmp = tempfile.NamedTemporaryFile(prefix="docmill-model-")  # goes with the worker
-        with fs.open_input_stream(f"{base}/{name}") as src:
+        with tempfile.NamedTemporaryFile(prefix="docmill-model-") as tmp, fs.open_input_stream(f"{base}/{name}") as src:
             shutil.copyfileobj(src, tmp)
-        tmp.flush()
-        arr = np.memmap(tmp.name, dtype=np.uint8, mode="r") if os.path.getsize(tmp.name) else np.empty(0, np.uint8)
-        _FETCHED.append(tmp)
-        return arr
+            tmp.flush()
+            # the file loses its name here; its bytes go when nothing maps them any more
+            return np.memmap(tmp.name, dtype=np.uint8, mode="r") if os.path.getsize(tmp.name) else np.empty(0, np.uint8)
     path = f"{here}/{name}"
     return np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.empty(0, np.uint8)
 
 
-_FETCHED: list = []
-
-
 # ---------------------------------------------------------------- words as 64-bit hashes
 
 _rng = np.random.Generator(np.random.PCG64(20240607))

@@ -25,6 +25,8 @@ SLICE = 16_384
 def plain(text: str) -> str:
     """Lower-case runs of letters with single blanks; in texts of much repetition, runs of one word count once."""
     words = _LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, words)):  # signs of numbers (½, ②) are word characters but no letters
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
     if 2 * len(set(words)) < len(words):
         words = [w for w, _ in groupby(words)]
     return f" {' '.join(words)} "

@@ -6,6 +6,7 @@ import json
 import math
 import struct
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,9 @@ SHARD_BYTES, MOST_SHARDS = 6_000_000, 1 << 20
 #: Contexts whose followers are dealt to all shards at most (those of more than a shard's eighth, found in a sample of about so many texts).
 MOST_HOT, HOT_SAMPLE = 4096, 20_000
 
+#: Shards' files that a worker maps at a time, those used last; queries come sorted, so that each is passed once a batch.
+MOST_MAPS = 256
+
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(contexts, tokens, tokens by text): the words of each text, then its end; the context of a token is the one before, or the begin."""
@@ -273,7 +277,7 @@ class Scorer:
         self.shift = np.uint64(64 - int(math.log2(model.shards)))
         meta = json.loads(map_file(model.folder, "meta.json").tobytes())
         self.floor, self.hot = meta["floor"], np.array(meta["hot"], np.uint64)
-        self.held: dict[tuple[str, int], list[np.ndarray]] = {}
+        self.held: OrderedDict[tuple[str, int], list[np.ndarray]] = OrderedDict()
 
     def _find(self, kind: str, keys: np.ndarray, *types: str) -> tuple[np.ndarray, ...]:
         """Values of sorted distinct keys, 0 where there is none."""
@@ -283,6 +287,9 @@ class Scorer:
         for s in np.flatnonzero(np.diff(edge)):
             if (kind, s) not in self.held:
                 self.held[kind, s] = _read(self.m.folder, kind, s, "<u8", *types)
+                while len(self.held) > MOST_MAPS:
+                    self.held.popitem(last=False)
+            self.held.move_to_end((kind, s))
             known, *vals = self.held[kind, s]
             if not len(known):
                 continue

@@ -384,3 +384,26 @@ def test_toxicity_of_several_languages(spark):
     hit = [i for i in want if got[i] == 1]
     assert sum(want[i] for i in hit) / len(hit) > 0.97 and sum(got[i] for i in want if want[i]) / sum(want.values()) > 0.9
     assert got[1000] == 1 and got[1001] == got[1002] == got[1003] == 0
+
+
+def test_number_signs_are_no_letters(spark):
+    assert langid.plain("½ ② ³ 12 _ x²y Ⅷ") .split() == ["x", "y"] and not langid.plain("½ ② ³").strip()
+
+
+def test_few_maps_give_the_same_scores(spark, monkeypatch):
+    """A scorer that may hold one shard's file at a time says the same as one that holds all."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17} v{(i + j) % 13}" for j in range(40))) for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(lm, "SHARD_BYTES", 500)
+    model = lm.train(docs, fold=None)
+    texts = [r["text"] for r in docs.collect()]
+    whole = lm.Scorer(model).score(texts)
+    monkeypatch.setattr(lm, "MOST_MAPS", 1)
+    few = lm.Scorer(model)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, few.score(texts), strict=True)) and len(few.held) == 1
+
+
+@pytest.mark.parametrize("hashes", [2, 4])
+def test_recall_with_other_hashes(hashes):
+    x, y = neardup.at_cosine(400, 64, 0.9)
+    assert neardup.meetings(x, y, neardup.tables_for(64, 0.9, hashes), hashes).any(axis=1).mean() >= 0.97
+    assert neardup.hashes_for(10**3, 64, 0.9) <= neardup.hashes_for(10**9, 64, 0.9) <= 6
