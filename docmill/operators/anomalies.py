@@ -14,11 +14,16 @@ SIGNATURE, TREND_N, TREND_SIGMA = 290, 4, 2.5
 FINDING = ["kind", "severity", "anchor", "title", "detail", "signature", "evidence"]
 
 
-def facts(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Fact nodes as rows: node, kind, anchor, anchor_name, category, unit, value, as_on, document_id, field_id.
+def facts(entities: DataFrame, relations: DataFrame, fields: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """Fact nodes as rows: node, kind, anchor, anchor_name, category, unit, value, as_on, document_id, field_id; with fields and documents also
+    filename, page_no and field_key, by which evidence is shown and re-uploads of a file are taken together.
 
     A node's anchor is the source of its first has_reserve or produces edge, by edge id.
     """
+    if fields is not None and docs is not None:
+        f = facts(entities, relations).join(fields.select("field_id", "page_no", "field_key"), "field_id", "left")
+        f = f.join(docs.select("document_id", "filename"), "document_id", "left")
+        return f.withColumn("field_key", F.coalesce("field_key", "category"))
     a = F.col("attrs")
     nodes = entities.where(F.col("kind").isin("reserve", "production_figure"))
     into = relations.where(F.col("predicate").isin("has_reserve", "produces")).groupBy("dst").agg(F.min_by("src", "id").alias("anchor"))
@@ -35,8 +40,23 @@ def group_differs(df: DataFrame, keys: list[str], value: str = "value") -> DataF
     return g.where((F.col("n") > 1) & V.differs(F.col("low"), F.col("high")))
 
 
-def _evidence() -> Column:
-    return F.array_sort(F.collect_set(F.struct("document_id", "category", "value", "as_on")))
+def _item(f: DataFrame) -> Column:
+    """A figure's evidence; with file names, re-uploads of one file (equal field, value and date) are neighbours in its order."""
+    if "filename" not in f.columns:
+        return F.struct("document_id", "category", "value", "as_on")
+    return F.struct(F.coalesce("filename", "document_id").alias("file"), "field_key", "value", "as_on", "document_id", "filename", "page_no", "category")
+
+
+def _collapsed(items: Column, f: DataFrame) -> Column:
+    """Sorted evidence, of equal files, fields, values and dates the first only."""
+    if "filename" not in f.columns:
+        return items
+    same = lambda a, b: (a["file"] == b["file"]) & a["field_key"].eqNullSafe(b["field_key"]) & (a["value"] == b["value"]) & a["as_on"].eqNullSafe(b["as_on"])
+    return F.filter(items, lambda x, i: (i == 0) | ~F.coalesce(same(F.get(items, i - 1), x), F.lit(False)))
+
+
+def _evidence(f: DataFrame) -> Column:
+    return _collapsed(F.array_sort(F.collect_set(_item(f))), f)
 
 
 def _titled(name: str, rest: Column) -> Column:
@@ -46,7 +66,7 @@ def _titled(name: str, rest: Column) -> Column:
 def out_of_range(f: DataFrame) -> DataFrame:
     bad = V.out_of_range(F.col("kind"), F.col("category"), F.col("unit"), F.col("value"))
     one = f.withColumn("detail", bad).where("detail is not null")
-    return one.select(F.lit("out_of_range").alias("kind"), F.lit("high").alias("severity"), "anchor", _titled("anchor_name", F.concat("category", F.lit(" — implausible value"))).alias("title"), "detail", F.concat(F.lit("oor:"), "node").alias("signature"), F.array(F.struct("document_id", "category", "value", "as_on")).alias("evidence"))
+    return one.select(F.lit("out_of_range").alias("kind"), F.lit("high").alias("severity"), "anchor", _titled("anchor_name", F.concat("category", F.lit(" — implausible value"))).alias("title"), "detail", F.concat(F.lit("oor:"), "node").alias("signature"), F.array(_item(f)).alias("evidence"))
 
 
 def revisions_and_contradictions(f: DataFrame) -> DataFrame:
@@ -55,13 +75,13 @@ def revisions_and_contradictions(f: DataFrame) -> DataFrame:
     g = f.groupBy("anchor", "anchor_name", "category").agg(
         F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.count_distinct("as_on").alias("dates"),
         F.min(F.struct(day, "value", "node")).alias("first"), F.max(F.struct(day, "value", "node")).alias("last"),
-        F.collect_set("document_id").alias("docs"), _evidence().alias("evidence"),
+        F.collect_set("document_id").alias("docs"), _evidence(f).alias("evidence"),
     )
     g = g.where((F.col("n") > 1) & V.differs(F.col("low"), F.col("high")))
     when = lambda s: F.coalesce(F.nullif(s["col1"], F.lit("")), F.lit("n/d"))
     span = F.concat(V.format_quantity(F.col("first.value")), F.lit(" ("), when(F.col("first")), F.lit(") -> "), V.format_quantity(F.col("last.value")), F.lit(" ("), when(F.col("last")), F.lit(")"))
     g = g.withColumn("line", F.concat(F.replace("category", F.lit("_"), F.lit(" ")), F.lit(" "), span)).withColumn("rev", F.col("dates") > 1)
-    a = g.groupBy("anchor", "anchor_name", "rev").agg(F.array_sort(F.collect_list("line")).alias("lines"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+    a = g.groupBy("anchor", "anchor_name", "rev").agg(F.array_sort(F.collect_list("line")).alias("lines"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs"), _collapsed(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))), f).alias("evidence"))
     n = F.size("lines")
     fields = F.concat(F.lit("("), n.cast("string"), F.when(n == 1, " field)").otherwise(" fields)"))
     body = F.array_join("lines", "; ")
@@ -75,7 +95,7 @@ def sum_mismatch(f: DataFrame) -> DataFrame:
     """Anchors and dates with all of proved, indicated, inferred and total, whose parts do not add up; of several figures the last node's counts."""
     cats = ["proved", "indicated", "inferred", "total"]
     d = f.where(F.col("anchor").isNotNull() & F.col("category").isin(cats)).withColumn("day", F.coalesce("as_on", F.lit("n/d")))
-    p = d.groupBy("anchor", "anchor_name", "day").agg(*[F.max_by("value", F.when(F.col("category") == c, F.col("node"))).alias(c) for c in cats], _evidence().alias("evidence"), *[F.count_if(F.col("category") == c).alias(f"n_{c}") for c in cats])
+    p = d.groupBy("anchor", "anchor_name", "day").agg(*[F.max_by("value", F.when(F.col("category") == c, F.col("node"))).alias(c) for c in cats], _evidence(f).alias("evidence"), *[F.count_if(F.col("category") == c).alias(f"n_{c}") for c in cats])
     p = p.where(" and ".join(f"n_{c} > 0" for c in cats)).withColumn("sum", F.col("proved") + F.col("indicated") + F.col("inferred")).where(V.differs(F.col("sum"), F.col("total")))
     detail = F.concat(F.format_string("proved+indicated+inferred = %.2f but total states %.2f (as on ", "sum", "total"), "day", F.lit(")."))
     return p.select(F.lit("sum_mismatch").alias("kind"), F.lit("high").alias("severity"), "anchor", _titled("anchor_name", F.lit("reserve categories do not sum to the stated total")).alias("title"), detail.alias("detail"), F.left(F.concat(F.lit("sum:"), "anchor", F.lit(":"), "day"), F.lit(SIGNATURE)).alias("signature"), "evidence")
@@ -94,7 +114,7 @@ def trend_breaks(f: DataFrame) -> DataFrame:
     o = outliers(f.where("anchor is not null"), ["anchor", "category"])
     v = V.format_quantity(F.col("value"))
     detail = F.concat(v, F.format_string(" is >2.5σ from the mean of %.2f for this metric.", "mean"))
-    return o.select(F.lit("trend_break").alias("kind"), F.lit("low").alias("severity"), "anchor", _titled("anchor_name", F.concat("category", F.lit(" — outlier vs history"))).alias("title"), detail.alias("detail"), F.left(F.concat(F.lit("trend:"), "anchor", F.lit(":"), "category", F.lit(":"), v), F.lit(SIGNATURE)).alias("signature"), F.array(F.struct("document_id", "category", "value", "as_on")).alias("evidence"))
+    return o.select(F.lit("trend_break").alias("kind"), F.lit("low").alias("severity"), "anchor", _titled("anchor_name", F.concat("category", F.lit(" — outlier vs history"))).alias("title"), detail.alias("detail"), F.left(F.concat(F.lit("trend:"), "anchor", F.lit(":"), "category", F.lit(":"), v), F.lit(SIGNATURE)).alias("signature"), F.array(_item(f)).alias("evidence"))
 
 
 def detect(f: DataFrame) -> DataFrame:
@@ -133,3 +153,23 @@ def review(stored: DataFrame, decisions: DataFrame, sig: str = "signature") -> D
     d = decisions.where("decision in ('acknowledged', 'resolved', 'dismissed')")
     d = relational.last_decisions(d.select(sig, "decision", *[c for c in ("decided_at",) if c in d.columns]), sig)
     return stored.join(d, sig, "left").withColumn("status", F.coalesce("decision", "status")).drop("decision")
+
+
+def listing(findings: DataFrame, owner: str | None = None, status: str | None = None, kind: str | None = None, severity: str | None = None, limit: int = 100) -> DataFrame:
+    """Findings that a principal may see (owner null: everyone's), open ones first, then by severity, the newest first; at most `limit`, 1 to 500.
+
+    findings: signature, kind, status, severity, owner, updated_at and more."""
+    from docmill.functions.values import rank_of
+
+    seen = findings.where(V.scope(F.col("owner"), owner)).where(V.equal_if_given(status=status, kind=kind, severity=severity))
+    # The order of states and severities.
+    order = [rank_of(F.col("status"), ["open", "acknowledged", "resolved", "dismissed"]), rank_of(F.col("severity"), ["high", "medium", "low"]), F.desc("updated_at"), F.asc("signature")]
+    return relational.page(seen, order, limit, cap="findings")
+
+
+def scoped_summary(findings: DataFrame, owner: str | None = None) -> DataFrame:
+    """(what, name, n) over the findings that a principal may see: total, open, and counts by kind and severity."""
+    seen = findings.where(V.scope(F.col("owner"), owner))
+    parts = [seen.agg(F.count("*").alias("n")).select(F.lit("total").alias("what"), F.lit(None).cast("string").alias("name"), "n"), seen.agg(F.count_if(F.col("status") == "open").alias("n")).select(F.lit("open").alias("what"), F.lit(None).cast("string").alias("name"), "n")]
+    parts += [seen.groupBy(c).agg(F.count("*").alias("n")).select(F.lit(c).alias("what"), F.col(c).alias("name"), "n") for c in ("kind", "severity")]
+    return reduce(DataFrame.unionByName, parts)

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from docmill.sources.manifest import State, Table
+from docmill.sources.store import Store
+
 
 def canonical(actor: str, action: str, target_type: str | None, target_id: str | None, meta: dict, prev: str) -> str:
     """JSON with sorted keys, no blanks, ASCII only."""
@@ -49,12 +52,15 @@ def with_previous(log: DataFrame, seq: str = "seq", value: str = "entry_hash", b
     return x.join(F.broadcast(tails), "_b", "left").withColumn("_prev", F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_in"))).drop("_b", "_in", "_first", "_edge")
 
 
-def verify(log: DataFrame) -> DataFrame:
-    """One row: ok, checked, first_broken_seq, detail. A row is compared with the stored hash before it, which by induction finds the first break."""
+def verify(log: DataFrame, start: int | None = None) -> DataFrame:
+    """One row: ok, checked, first_broken_seq, detail. A row is compared with the stored hash before it, which by induction finds the first break.
+    `start`: the number of an entry that is known to be right and only lends its hash."""
     x = with_previous(log).withColumn("_hash", _hashes(*[F.col(c) for c in _COLS], F.coalesce("_prev", F.lit(""))))
     link = F.coalesce("prev_hash", F.lit("")) != F.coalesce("_prev", F.lit(""))
     body = F.col("entry_hash") != F.col("_hash")
     bad = F.when(link, "prev_hash mismatch").when(body, "entry_hash mismatch")
+    if start is not None:
+        bad = F.when(F.col("seq") != start, bad)
     r = x.agg(F.count("*").alias("n"), F.min(F.when(bad.isNotNull(), F.struct("seq", bad.alias("why")))).alias("b"))
     return r.select(F.col("b").isNull().alias("ok"), F.col("n").alias("checked"), F.col("b.seq").alias("first_broken_seq"), F.concat(F.col("b.why"), F.lit(" at seq "), F.col("b.seq").cast("string")).alias("detail"))
 
@@ -79,12 +85,94 @@ def rehash(log: DataFrame) -> DataFrame:
     return log.repartition(1).sortWithinPartitions("seq").mapInPandas(run, log.schema)
 
 
+SCHEMA = "seq long, actor string, action string, target_type string, target_id string, meta string, prev_hash string, entry_hash string"
+
+
+def chained(events: DataFrame, seq: int, prev: str, order: list[str] | None = None) -> DataFrame:
+    """Entries for new events (actor, action, target_type, target_id, meta) behind a tip of number `seq` and hash `prev`, in the order of the given columns
+    (or all of them). Each hash needs the one before, so a batch is one ordered task through which its rows stream."""
+    numbered = events.select(*_COLS, *[c for c in order or [] if c not in _COLS])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = seq, prev
+        none = lambda v: v if isinstance(v, str) else None
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                at += 1
+                h = entry_hash(canonical(r.actor, r.action, none(r.target_type), none(r.target_id), json.loads(r.meta) if none(r.meta) else {}, last))
+                rows.append((at, r.actor, r.action, r.target_type, r.target_id, r.meta, last or None, h))
+                last = h
+            yield pd.DataFrame(rows, columns=["seq", *_COLS, "prev_hash", "entry_hash"])
+
+    return numbered.repartition(1).sortWithinPartitions(*(order or _COLS)).select(*_COLS).mapInPandas(run, SCHEMA)
+
+
 def append(log: DataFrame, events: DataFrame) -> DataFrame:
-    """Rows to add for new events (actor, action, target_type, target_id, meta) after the log's tip; a single writer's job."""
+    """Rows to add for new events after the log's tip; for several writers see append_to()."""
     tip = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s"), F.max_by("entry_hash", "seq").alias("h")).first()
-    prev, rows = tip["h"] or "", []
-    for i, r in enumerate(events.select(*_COLS).toLocalIterator(), 1):
-        h = entry_hash(canonical(r["actor"], r["action"], r["target_type"], r["target_id"], json.loads(r["meta"]) if r["meta"] else {}, prev))
-        rows.append((tip["s"] + i, r["actor"], r["action"], r["target_type"], r["target_id"], r["meta"], prev or None, h))
-        prev = h
-    return log.sparkSession.createDataFrame(rows, "seq long, actor string, action string, target_type string, target_id string, meta string, prev_hash string, entry_hash string")
+    return chained(events.withColumn("_at", F.monotonically_increasing_id()), tip["s"], tip["h"] or "", ["_at"])
+
+
+def append_to(table: Table, events: DataFrame, order: list[str] | None = None) -> State:
+    """Append events to a log that several writers share: the tip is noted in every commit, and a writer that meets another one chains its entries
+    anew behind the other's."""
+    store = Store(table.spark, "audit")
+
+    def make(s: State) -> tuple[DataFrame, dict]:
+        rows = store.write(chained(events, s.notes.get("seq", 0), s.notes.get("hash", ""), order), "entries")
+        end = rows.agg(F.max("seq").alias("seq"), F.max_by("entry_hash", "seq").alias("hash")).first()
+        return rows, {"seq": end["seq"], "hash": end["hash"]} if end["seq"] is not None else s.notes
+
+    try:
+        return table.append_after(make)
+    finally:
+        store.remove()
+
+
+# ---------------------------------------------------------------- checkpoints: a tree of digests over ranges of the log
+
+LEAF_ROWS, ARITY = 1000, 16
+
+
+def _folded(rows: DataFrame, key: str, value: str, by: int) -> DataFrame:
+    """(key, digest): digests of runs of `by` neighbouring keys, in order."""
+    g = rows.groupBy(F.floor(F.col(key) / by).alias("k")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("i"), F.col(value).alias("v")))).alias("x"))
+    text = F.array_join(F.transform("x", lambda e: F.concat(e["i"].cast("string"), F.lit(":"), F.coalesce(e["v"], F.lit("")))), ",")
+    return g.select(F.col("k").alias(key), F.sha2(text, 256).alias(value))
+
+
+def checkpoint(log: DataFrame, upto: int | None = None) -> DataFrame:
+    """(level, range, digest): level 0 has a digest per LEAF_ROWS numbers over the stored entries (bodies and hashes) of whole ranges up to `upto`, each level
+    above one per ARITY ranges below, up to a root. It is taken from a log that verify() found right."""
+    last = upto if upto is not None else log.agg(F.max("seq")).first()[0]
+    whole = ((last if last is not None else -1) + 1) // LEAF_ROWS * LEAF_ROWS
+    body = F.to_json(F.struct(*[F.coalesce(F.col(c), F.lit("\u0000")).alias(c) for c in (*_COLS, "prev_hash", "entry_hash")]))
+    level = _folded(log.where(F.col("seq") < whole).select(F.col("seq").alias("range"), F.sha2(body, 256).alias("digest")), "range", "digest", LEAF_ROWS)
+    out, n = level.select(F.lit(0).alias("level"), "range", "digest"), whole // LEAF_ROWS
+    depth = 0
+    while n > 1:
+        depth, n = depth + 1, -(-n // ARITY)
+        level = _folded(level, "range", "digest", ARITY)
+        out = out.unionByName(level.select(F.lit(depth).alias("level"), "range", "digest"))
+    return out
+
+
+def verify_since(log: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: ok, checked, first_broken_seq, detail, before: entries behind the checkpoint are verified by their chain, whose start is the stored hash of the
+    last covered entry; those before by the checkpoint's digests, without hashing any entry's chain. `before` says on which side the break is."""
+    leaves = known.where("level = 0")
+    end = leaves.agg(F.max("range")).first()[0]
+    behind = 0 if end is None else (end + 1) * LEAF_ROWS
+    now = checkpoint(log.where(F.col("seq") < behind), behind - 1) if behind else leaves.limit(0)
+    pair = leaves.select("range", F.col("digest").alias("was")).join(now.where("level = 0").select("range", F.col("digest").alias("is")), "range", "full_outer")
+    broken = pair.where(F.coalesce(F.col("was") != F.col("is"), F.lit(True))).agg(F.min("range")).first()[0]
+    if broken is not None:
+        first = log.where((F.col("seq") >= broken * LEAF_ROWS) & (F.col("seq") < (broken + 1) * LEAF_ROWS)).agg(F.min("seq").alias("s"), F.count("*").alias("n"))
+        return first.select(F.lit(False).alias("ok"), F.col("n").alias("checked"), F.lit(broken * LEAF_ROWS).cast("long").alias("first_broken_seq"), F.lit(f"digest mismatch in the range from seq {broken * LEAF_ROWS}").alias("detail"), F.lit(True).alias("before"))
+    tail = log.where(F.col("seq") >= behind)
+    tip = log.where(F.col("seq") < behind).agg(F.max_by("entry_hash", "seq").alias("h"), F.max("seq").alias("s")).first()
+    if tip["h"] is not None:
+        tail = tail.unionByName(log.where(F.col("seq") == tip["s"]))
+        return verify(tail, start=tip["s"]).withColumn("checked", F.col("checked") - 1).withColumn("before", F.when(~F.col("ok"), F.lit(False)))
+    return verify(tail).withColumn("before", F.when(~F.col("ok"), F.lit(False)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows a caller gets at most, by endpoint.
-CAPS = {"documents": 200, "review": 300, "audit": 500, "search": 50}
+CAPS = {"documents": 200, "review": 300, "audit": 500, "search": 50, "findings": 500}
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, cap: str | None = None) -> DataFrame:

@@ -19,14 +19,21 @@ def build_knowledge(docs: DataFrame, fields: DataFrame, pages: DataFrame | None
     return e, r, None if pages is None else chunk.embed(chunk.chunk_pages(pages), embedder)
 
 
-def ask(questions: DataFrame, entities: DataFrame, relations: DataFrame, fields: DataFrame, docs: DataFrame, chunks: DataFrame, pairs: DataFrame, k: int = 6, embedder: Callable[[], Callable[[list[str]], np.ndarray]] = chunk.hashing_embedder, owner: str | None = None) -> DataFrame:
-    """(question_id, mode, answer, status, confidence, qa_id): a verified answer that is near enough, else facts and passages under the answer policy.
+#: What a source of an answer is: citations and evidence of stored answers are arrays of these.
+SOURCE = "struct<marker:int,kind:string,text:string,score:double,document_id:string,filename:string,page_no:int,field_id:string,entity:string>"
 
-    questions: question_id long, question; chunks: chunk_id long, document_id, page_no, text, embedding; pairs: qa_id long, status, owner, answer, confidence, embedding.
+
+def ask(questions: DataFrame, entities: DataFrame, relations: DataFrame, fields: DataFrame, docs: DataFrame, chunks: DataFrame, pairs: DataFrame, k: int = 6, embedder: Callable[[], Callable[[list[str]], np.ndarray]] = chunk.hashing_embedder, owner: str | None = None, use_cache: bool = True) -> DataFrame:
+    """(question_id, mode, answer, status, confidence, qa_id, question, question_norm, embedding, sources, flagged, similarity): a verified answer that is near
+    enough, else facts and passages under the answer policy.
+
+    questions: question_id long, question; chunks: chunk_id long, document_id, page_no, text, embedding; pairs: qa_id long, status, owner, answer, confidence, embedding
+    and, if kept, sources, which a cached answer hands on. A decline is flagged no more than the policy says; a cached answer is not flagged.
     """
-    q = chunk.embed(questions.withColumn("_n", T.normalize_question(F.col("question"))), embedder, "_n").drop("_n")
-    hit = retrieval.cached(q, pairs, owner=owner).join(pairs.select("qa_id", "answer", "confidence"), "qa_id")
-    done = hit.select("question_id", F.lit("cache").alias("mode"), "answer", F.lit("answered").alias("status"), "confidence", "qa_id")
+    q = chunk.embed(questions.withColumn("question_norm", T.normalize_question(F.col("question"))), embedder, "question_norm")
+    known = pairs if "sources" in pairs.columns else pairs.withColumn("sources", F.lit(None).cast(f"array<{SOURCE}>"))
+    hit = retrieval.cached(q, known if use_cache else known.limit(0), owner=owner).join(known.select("qa_id", "answer", "confidence", "sources"), "qa_id")
+    done = hit.select("question_id", F.lit("cache").alias("mode"), "answer", F.lit("answered").alias("status"), "confidence", "qa_id", "sources", F.lit(False).alias("flagged"), "similarity")
     rest = q.join(done.select("question_id"), "question_id", "left_anti")
     scoped = docs.where(V.scope(F.col("subsidiary_id"), owner)).select("document_id", "filename")
     allowed = chunks.join(scoped, "document_id")
@@ -34,7 +41,9 @@ def ask(questions: DataFrame, entities: DataFrame, relations: DataFrame, fields:
     near = chunk.nearest_for_all(rest, allowed, k, "question_id", "chunk_id").join(allowed.select("chunk_id", "document_id", "filename", "page_no", "text"), "chunk_id")
     passages = near.select("question_id", F.lit("passage").alias("kind"), F.trim("text").alias("text"), F.round(F.greatest(F.lit(0.0), "score"), 3).alias("score"), "document_id", "filename", "page_no", F.lit(None).cast("string").alias("field_id"), F.lit(None).cast("string").alias("entity"))
     a = retrieval.compose(facts.unionByName(passages), rest)
-    return done.unionByName(a.select("question_id", F.lit("rag").alias("mode"), "answer", "status", "confidence", F.lit(None).cast("long").alias("qa_id")))
+    fresh = a.select("question_id", F.lit("rag").alias("mode"), "answer", "status", "confidence", F.lit(None).cast("long").alias("qa_id"), F.col("sources").cast(f"array<{SOURCE}>").alias("sources"), "flagged", F.lit(None).cast("double").alias("similarity"))
+    both = done.withColumn("sources", F.col("sources").cast(f"array<{SOURCE}>")).unionByName(fresh)
+    return both.join(q.select("question_id", "question", "question_norm", "embedding"), "question_id").select("question_id", "mode", "answer", "status", "confidence", "qa_id", "question", "question_norm", "embedding", "sources", "flagged", "similarity")
 
 
 def bump_hits(pairs: DataFrame, answers: DataFrame) -> DataFrame:
@@ -138,11 +147,24 @@ def monitor(docs: DataFrame, limit: int = 30) -> DataFrame:
     return new.select("document_id", "status", at("fields_extracted"), at("fields_needs_review"), at("ocr_pages"), failed)
 
 
-def asked(pairs: DataFrame, answers: DataFrame, at: str, actor: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs, audit events) after a batch of answers (of `ask`): each is stored as a row of its own, a cached one as an echo of the verified row,
-    whose hit_count grows; every answer is an event."""
+def asked(pairs: DataFrame, answers: DataFrame, at: str, actor: str, owner: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, audit events) after a batch of answers (of ask()): each is stored as a row of its own with its question, vector, sources, mode and owner, so that a
+    verified one can be found again; a cached answer is an echo of the verified row, whose hit_count grows.
+
+    Events: query.cache_hit names the verified row and the similarity; query.answered and query.declined name the new row, its mode, confidence, flag and how
+    many facts and passages it rests on. The time `at` makes a batch's row ids its own.
+    """
     old = bump_hits(pairs, answers)
-    new = answers.select(F.xxhash64("question_id", F.lit(at)).alias("qa_id"), F.when(F.col("mode") == "cache", "answered").otherwise(F.col("status")).alias("status"), "answer", "confidence", F.lit(0).cast("long").alias("hit_count"))
-    meta = F.to_json(F.struct("mode", "status", "confidence"))
-    events = answers.select(F.lit(actor).alias("actor"), F.lit("query.asked").alias("action"), F.lit("question").alias("target_type"), F.col("question_id").cast("string").alias("target_id"), meta.alias("meta"))
+    new_id = F.xxhash64("question_id", F.lit(at))
+    cache = F.col("mode") == "cache"
+    new = answers.select(
+        new_id.alias("qa_id"), "question", "question_norm", "embedding", "answer", F.col("sources").cast(f"array<{SOURCE}>").alias("sources"), "confidence", F.when(cache, "answered").otherwise(F.col("status")).alias("status"), F.col("mode").alias("answer_mode"),
+        F.lit(owner).cast("string").alias("owner"), F.lit(actor).alias("asked_by"), F.lit(at).alias("asked_at"), F.lit(0).cast("long").alias("hit_count"),
+    )
+    n = lambda kind: F.coalesce(F.size(F.filter("sources", lambda s: s["kind"] == kind)), F.lit(0))
+    short = F.left("question", F.lit(200)).alias("question")
+    hit = F.to_json(F.struct(short, F.round("similarity", 3).alias("similarity")))
+    said = F.to_json(F.struct(short, F.col("mode"), F.col("confidence"), F.col("flagged"), n("fact").alias("facts"), n("passage").alias("passages")))
+    action = F.when(cache, "query.cache_hit").when(F.col("status") == "insufficient", "query.declined").otherwise("query.answered")
+    events = answers.select(F.lit(actor).alias("actor"), action.alias("action"), F.lit("qa_pair").alias("target_type"), F.when(cache, F.col("qa_id")).otherwise(new_id).cast("string").alias("target_id"), F.when(cache, hit).otherwise(said).alias("meta"))
     return old.unionByName(new, allowMissingColumns=True), events

@@ -142,3 +142,99 @@ def followed_relations(spark, d):
     shared = ["subsidiary", "mineral"]
     owner = F.coalesce(F.when(~F.col("sk").isin(shared), F.col("so")), F.when(~F.col("tk").isin(shared), F.col("to")), F.lit("-"))
     return j.select(F.col("s").alias("src"), F.col("t").alias("dst"), "predicate", owner.alias("owner"), "valid_from", "confidence", "document_id", "backing")
+
+
+# ---------------------------------------------------------------- answers that are stored and found again
+
+
+def _ask_twice(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(first pairs, second pairs, all events): customers ask about their block, answers with facts are verified, then all ask again in other words."""
+    from docmill.operators import chunk, retrieval
+
+    store = Store(spark, "asked")
+    c = read(spark, d, "customer")
+    q = c.select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("What reserves has North"), F.col("c_custkey").cast("string"), F.lit("?")).alias("question"))
+    evidence = domain._evidence(spark, d)
+    told = chunk.embed(q.withColumn("question_norm", domain.workflow.T.normalize_question(F.col("question"))), chunk.embedder_of("hashing", dim=2048), "question_norm")
+    a = retrieval.compose(evidence, q).join(told, "question_id")
+    a = a.select("question_id", F.lit("rag").alias("mode"), "answer", "status", "confidence", F.lit(None).cast("long").alias("qa_id"), "question", "question_norm", "embedding", F.col("sources").cast(f"array<{workflow.SOURCE}>").alias("sources"), "flagged", F.lit(None).cast("double").alias("similarity"))
+    none = spark.createDataFrame([], "qa_id long, status string, owner string, answer string, confidence double, embedding array<float>, hit_count long")
+    pairs, events = workflow.asked(none, store.write(a, "answers"), "2024-01-01", "clerk")
+    pairs = store.write(pairs, "pairs")
+    verified = retrieval.judge(pairs, pairs.select("qa_id", F.lit("verified").alias("decision")))
+    verified = store.write(verified, "verified")
+    # the same questions in capitals and without their marks
+    again = q.select("question_id", F.upper(F.regexp_replace("question", "[?]", " !!")).alias("question"))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    e = empty("id string, kind string, key string, name string, owner string, attrs map<string,string>, field_id string, document_id string")
+    r = empty("src string, dst string, predicate string")
+    f = empty("field_id string, confidence double, page_no int, document_id string")
+    docs = empty("document_id string, filename string, subsidiary_id string")
+    chunks = empty("chunk_id long, document_id string, page_no int, text string, embedding array<float>")
+    second = store.write(workflow.ask(again, e, r, f, docs, chunks, verified, embedder=chunk.embedder_of("hashing", dim=2048)), "second")
+    pairs2, events2 = workflow.asked(verified, second, "2024-01-02", "clerk")
+    return verified, pairs2, events.unionByName(events2)
+
+
+_TOLD = f"""{domain._EVID}, u AS (SELECT c, text, max(score) AS score FROM x GROUP BY 1, 2), t AS (SELECT c, max(score) AS top, least(count(*), 6) AS facts FROM u GROUP BY 1)"""
+
+
+@query(domain._sql(f"""{_TOLD}, a AS (SELECT c_custkey AS c, coalesce(top, 0) AS top, coalesce(facts, 0) AS facts, 'What reserves has North' || c_custkey || '?' AS q FROM customer LEFT JOIN t ON t.c = c_custkey)
+SELECT 'clerk' AS actor, CASE WHEN top >= 0.5 THEN 'query.answered' ELSE 'query.declined' END AS action, q AS question, CAST(top AS DOUBLE) AS number, facts FROM a
+UNION ALL SELECT 'clerk', CASE WHEN top >= 0.5 THEN 'query.cache_hit' ELSE 'query.declined' END, upper(replace(q, '?', ' !!')), CASE WHEN top >= 0.5 THEN 1.0 ELSE 0.0 END, 0 FROM a"""))
+def asked_events(spark, d):
+    """The audit events of two rounds of questions: answers, declines and, the second time, hits of the verified answers (number: confidence or similarity)."""
+    _, _, events = _ask_twice(spark, d)
+    at = lambda k: F.get_json_object("meta", f"$.{k}")
+    return events.select("actor", "action", at("question").alias("question"), F.coalesce(at("similarity"), at("confidence")).cast("double").alias("number"), F.coalesce(at("facts").cast("long"), F.lit(0)).alias("facts"))
+
+
+@query(domain._sql(f"""{_TOLD}, a AS (SELECT c_custkey AS c, coalesce(top, 0) >= 0.5 AS ok FROM customer LEFT JOIN t ON t.c = c_custkey)
+SELECT 'What reserves has North' || c || '?' AS question, 'what reserves has north' || c AS question_norm, CASE WHEN ok THEN 'verified' ELSE 'insufficient' END AS status, 'rag' AS answer_mode, CAST(ok AS BIGINT) AS hit_count, true AS has_vector FROM a
+UNION ALL SELECT upper('What reserves has North' || c || ' !!'), 'what reserves has north' || c, CASE WHEN ok THEN 'answered' ELSE 'insufficient' END, CASE WHEN ok THEN 'cache' ELSE 'rag' END, 0, true FROM a"""))
+def stored_answers(spark, d):
+    """The stored answers after both rounds: verified ones were hit once, their echoes are rows of their own."""
+    _, pairs, _ = _ask_twice(spark, d)
+    return pairs.select("question", "question_norm", "status", "answer_mode", "hit_count", (F.size("embedding") == 2048).alias("has_vector"))
+
+
+# ---------------------------------------------------------------- findings in scope, the log since a checkpoint
+
+
+@query("""WITH f AS (SELECT event_id, event_type AS kind, CASE user_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, CASE event_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' WHEN 2 THEN 'acknowledged' ELSE 'dismissed' END AS status FROM events WHERE user_id % 5 < 3)
+SELECT 'total' AS what, CAST(NULL AS VARCHAR) AS name, count(*) AS n FROM f UNION ALL SELECT 'open', NULL, count(*) FILTER (status = 'open') FROM f UNION ALL SELECT 'kind', kind, count(*) FROM f GROUP BY kind UNION ALL SELECT 'severity', severity, count(*) FROM f GROUP BY severity""")
+def scoped_findings_summary(spark, d):
+    """Counts of the findings that a unit sees: its own and those of no unit."""
+    return anomalies.scoped_summary(_findings(spark, d), "s1")
+
+
+def _findings(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    owner = F.when(F.col("user_id") % 5 < 2, "s1").when(F.col("user_id") % 5 > 2, "s2")
+    sev = F.when(F.col("user_id") % 3 == 0, "high").when(F.col("user_id") % 3 == 1, "medium").otherwise("low")
+    state = F.when(F.col("event_id") % 4 == 0, "open").when(F.col("event_id") % 4 == 1, "resolved").when(F.col("event_id") % 4 == 2, "acknowledged").otherwise("dismissed")
+    return e.select(F.lpad(F.col("event_id").cast("string"), 12, "0").alias("signature"), F.col("event_type").alias("kind"), sev.alias("severity"), state.alias("status"), owner.alias("owner"), F.col("ts").alias("updated_at"))
+
+
+@query("""SELECT CAST(event_id AS BIGINT) AS id FROM events WHERE user_id % 5 < 3 AND user_id % 3 = 0 AND event_type <> 'view' AND event_type = 'click'
+ORDER BY CASE event_id % 4 WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 3 END, ts DESC, event_id LIMIT 100""")
+def scoped_findings(spark, d):
+    """The first hundred findings of a kind and severity that a unit sees."""
+    return anomalies.listing(_findings(spark, d), "s1", kind="click", severity="high").select(F.col("signature").cast("long").alias("id"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n, (SELECT count(*) FROM events WHERE event_id < 6000) AS early FROM events), k AS (SELECT *, early // 1000 * 1000 AS cut FROM n)
+SELECT 'right' AS what, true AS ok, n - cut AS checked, CAST(NULL AS BIGINT) AS first_broken_seq, CAST(NULL AS BOOLEAN) AS before FROM k
+UNION ALL SELECT 'early', false, (SELECT count(*) FROM events WHERE event_id < 1000), 0, true FROM k UNION ALL SELECT 'late', false, n - cut, (SELECT max(event_id) FROM events), false FROM k""")
+def audit_since(spark, d):
+    """The log verified from a checkpoint, as it is, with an entry forged before the checkpoint, and with one behind it."""
+    from docmill.operators import audit
+    from docmill.plans.tables import _log
+
+    store = Store(spark, "log")
+    log = store.write(_log(spark, d), "log")
+    known = store.write(audit.checkpoint(log, 5999), "checkpoint")
+    last = log.agg(F.max("seq")).first()[0]
+    forged = lambda at: log.withColumn("meta", F.when(F.col("seq") == at, F.lit('{"forged": 1}')).otherwise(F.col("meta")))
+    parts = [audit.verify_since(x, known).select(F.lit(what).alias("what"), "ok", "checked", "first_broken_seq", "before") for what, x in (("right", log), ("early", forged(7)), ("late", forged(last)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
