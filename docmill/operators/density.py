@@ -50,8 +50,8 @@ def clusters(vectors: DataFrame, id_col: str, vec_col: str = "embedding", k: int
     placed = store.write(roots.withColumn("core", F.lit(True)).unionByName(border), "placed")
     large = placed.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("topic")).where(F.col("n") >= smallest)
     found = placed.join(large.drop("n"), "root").select("id", "topic", "core")
-    out = vectors.select(F.col(id_col), F.col(id_col).cast("long").alias("id")).join(found, "id", "left")
-    return out.select(id_col, F.coalesce("topic", F.lit(OUTLIER)).cast("long").alias("topic"), F.coalesce("core", F.lit(False)).alias("core"))
+    out = vectors.select(F.col(id_col).alias("_own"), F.col(id_col).cast("long").alias("_id")).join(found, F.col("_id") == F.col("id"), "left")
+    return out.select(F.col("_own").alias(id_col), F.coalesce("topic", F.lit(OUTLIER)).cast("long").alias("topic"), F.coalesce("core", F.lit(False)).alias("core"))
 
 
 def class_terms(docs: DataFrame, membership: DataFrame, id_col: str, text_col: str = "text", n: int = topics.TOP_TERMS, bigrams: bool = False) -> DataFrame:

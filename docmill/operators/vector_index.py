@@ -76,7 +76,7 @@ def build(store: Store, vectors: DataFrame, id_col: str, vec_col: str = "embeddi
             u = _unit(np.stack([np.asarray(v) for v in b["v"]])) if len(b) else np.zeros((0, dim))
             cos = u @ held.value.T
             at = cos.argmax(axis=1)
-            yield pd.DataFrame({"list": at.astype("int32"), "id": b["id"], "owner": b["owner"], "unit": list(u), "angle": np.arccos(np.clip(cos[np.arange(len(at)), at], -1, 1))})
+            yield pd.DataFrame({"list": at.astype("int32"), "id": b["id"], "owner": b["owner"], "unit": pd.Series(list(u), dtype=object), "angle": np.arccos(np.clip(cos[np.arange(len(at)), at], -1, 1))})
 
     placed = store.write(rows.mapInPandas(place, "list int, id long, owner string, unit array<double>, angle double"), "placed")
     found = placed.groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()  # a row a list
@@ -99,7 +99,7 @@ def _probes(index: Index, queries: DataFrame, take) -> DataFrame:
             u = _unit(np.stack([np.asarray(v) for v in b["v"]])) if len(b) else np.zeros((0, centroids.shape[1]))
             angle = np.arccos(np.clip(u @ centroids.T, -1, 1))
             chosen = [take(a, radius, least) for a, least in zip(angle, b["least"], strict=True)]
-            yield pd.DataFrame({"q": np.repeat(b["q"].to_numpy(), [len(x) for x in chosen]), "v": [v for v, x in zip(u, chosen, strict=True) for _ in x], "list": np.concatenate([*chosen, np.empty(0, np.int64)]).astype("int32")})
+            yield pd.DataFrame({"q": np.repeat(b["q"].to_numpy(), [len(x) for x in chosen]), "v": pd.Series([v for v, x in zip(u, chosen, strict=True) for _ in x], dtype=object), "list": np.concatenate([*chosen, np.empty(0, np.int64)]).astype("int32")})
 
     return queries.mapInPandas(near, "q long, v array<double>, list int")
 
