@@ -164,13 +164,29 @@ def _listed_links(work: Work, coded: DataFrame, entries: DataFrame, threshold: f
     """(rep, links, root): the links that are found first in a small bucket. entries: dim, t, code, rep, own of buckets of up to LISTED entries.
 
     A bucket's pairs are listed by number (of entries of which one is there by its main code), each pair is kept once with its first bucket, and the
-    vectors of both are joined to it then. A pair whose first meeting is in a larger bucket is left to that one.
+    vectors of both are joined to it then: in single precision first, and for what is near by that in double precision, with the codes. A pair whose first
+    meeting is in a larger bucket is left to that one.
     """
     bucket = entries.groupBy("dim", "t", "code").agg(F.array_sort(F.collect_list(F.struct("rep", "own"))).alias("e"))
     tails = F.transform("e", lambda x, k: F.transform(F.filter(F.slice("e", k + 2, F.size("e")), lambda y: (y["rep"] > x["rep"]) & (x["own"] + y["own"] > 0)), lambda y: F.struct(x["rep"].alias("i"), y["rep"].alias("j"))))
     pairs = bucket.select(F.struct("t", "code").alias("at"), F.explode(F.flatten(tails)).alias("p")).groupBy("p.i", "p.j").agg(F.min("at").alias("at"))
+    pairs = work.keep(pairs.select("i", "j", "at.t", "at.code"), "pairs")
+    rough = coded.select("rep", F.col("x32").alias("x"))
+    met = pairs.join(rough.withColumnRenamed("x", "x_i"), pairs["i"] == rough["rep"]).drop("rep").join(coded.select(F.col("rep").alias("j"), F.col("x32").alias("x_j")), "j")
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs whose vectors in single precision are not clearly apart: most that met by chance go here."""
+        for b in batches:
+            size = b["x_i"].map(len).to_numpy()
+            ok = np.zeros(len(b), bool)
+            for n in np.unique(size):
+                x, y = (np.frombuffer(b"".join(b[c][size == n]), np.float32).reshape(-1, n // 4) for c in ("x_i", "x_j"))
+                ok[size == n] = np.einsum("ij,ij->i", x, y) >= threshold - 1e-4
+            yield b.loc[ok, ["i", "j", "t", "code"]]
+
+    close = work.keep(met.select("i", "j", "t", "code", "x_i", "x_j").mapInPandas(near, "i long, j long, t int, code long"), "close")
     side = lambda name: coded.select(F.col("rep").alias(name), F.col("size").alias(f"size_{name}"), F.col("dim").alias(f"dim_{name}"), F.col("x").alias(f"x_{name}"), F.col("main").alias(f"main_{name}"), F.col("probe").alias(f"probe_{name}"))
-    both = work.keep(pairs.select("i", "j", "at.t", "at.code"), "pairs").join(side("i"), "i").join(side("j"), "j").drop("dim_j")
+    both = close.join(side("i"), "i").join(side("j"), "j").drop("dim_j")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -228,9 +244,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 h = hashes or hashes_for(total_classes, int(dim), threshold)
                 main, probe = codes(x, tables or tables_for(int(dim), threshold, h), h)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "size": part["size"].to_numpy(), "dim": int(dim), "h": h, "x": [y.tobytes() for y in x], "main": list(main), "probe": list(probe.reshape(len(x), -1))})
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "size": part["size"].to_numpy(), "dim": int(dim), "h": h, "x": [y.tobytes() for y in x], "x32": [y.tobytes() for y in x.astype(np.float32)], "main": list(main), "probe": list(probe.reshape(len(x), -1))})
 
-    coded = work.keep(classes.select("rep", "size", "v").mapInPandas(encode, "rep long, size long, dim int, h int, x binary, main array<long>, probe array<long>"))
+    coded = work.keep(classes.select("rep", "size", "v").mapInPandas(encode, "rep long, size long, dim int, h int, x binary, x32 binary, main array<long>, probe array<long>"))
     at = F.posexplode("main").alias("t", "code")
     mains = coded.select("dim", "rep", at, F.lit(1).alias("own"))
     probes = coded.select("dim", "rep", "h", F.posexplode("probe").alias("p", "code")).select("dim", "rep", F.floor(F.col("p") / F.col("h")).cast("int").alias("t"), "code", F.lit(0).alias("own"))
