@@ -43,6 +43,7 @@ SENTENCES: dict[str, str] = {
 RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["apache-notice-long", "apache-copy", "apache-asis", "apache-see"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-name"]),
     ("MIT", ["mit-grant", "mit-keep", "mit-asis"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-3.0-or-later", ["gpl-redistribute", "gpl-hope"]),
@@ -67,6 +68,58 @@ RULES: list[tuple[str, list[str]]] = [
     ("Unlicense", ["unlicense"]),
 ]
 
+#: Sentences whose middle names someone, by identifier: what stands before and behind up to GAP_WORDS words.
+NAMED: dict[str, tuple[str, str]] = {
+    "bsd-endorse": ("Neither the name of", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    "bsd-endorse-name": ("The name of", "may not be used to endorse or promote products derived from this software without specific prior written permission."),
+}
+GAP_WORDS = 12
+#: Names of licences as notices write them, by SPDX identifier; {v} stands for each of the versions.
+NAMES: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = [
+    ("Apache-{v}", ("2.0",), ("the Apache License, Version {v}", "the Apache License {v}", "the Apache {v} License", "Apache {v}")),
+    ("MIT", ("",), ("the MIT License", "the MIT licence", "the terms of the MIT License", "an MIT License", "MIT License", "MIT")),
+    ("ISC", ("",), ("the ISC License", "ISC")),
+    ("BSD-2-Clause", ("",), ("the BSD 2-Clause License", "the 2-Clause BSD License", "the Simplified BSD License")),
+    ("BSD-3-Clause", ("",), ("the BSD 3-Clause License", "the 3-Clause BSD License", "the New BSD License", "the Modified BSD License")),
+    ("GPL-{v}", ("2.0", "3.0"), ("the GNU General Public License, version {n}", "the GNU General Public License v{v}", "the GNU GPL, version {n}", "the GNU GPLv{n}", "the GPLv{n}", "GPLv{n}")),
+    ("GPL-{v}-or-later", ("2.0", "3.0"), ("the GNU General Public License, version {n} or later", "the GNU General Public License, version {n} or any later version", "the GPLv{n} or later", "GPLv{n}+")),
+    ("LGPL-{v}", ("2.1", "3.0"), ("the GNU Lesser General Public License, version {n}", "the GNU Lesser General Public License v{v}", "the LGPLv{n}", "LGPLv{n}")),
+    ("LGPL-{v}-or-later", ("2.1", "3.0"), ("the GNU Lesser General Public License, version {n} or later", "the LGPLv{n} or later", "LGPLv{n}+")),
+    ("AGPL-{v}", ("3.0",), ("the GNU Affero General Public License, version {n}", "the GNU Affero General Public License v{v}", "the AGPLv{n}", "AGPLv{n}")),
+    ("AGPL-{v}-or-later", ("3.0",), ("the GNU Affero General Public License, version {n} or later", "the AGPLv{n} or later", "AGPLv{n}+")),
+    ("MPL-{v}", ("1.1", "2.0"), ("the Mozilla Public License {v}", "the Mozilla Public License, version {v}", "the Mozilla Public License, v. {v}", "MPL {v}")),
+    ("EPL-{v}", ("1.0", "2.0"), ("the Eclipse Public License {v}", "the Eclipse Public License, version {v}", "the Eclipse Public License v{v}", "EPL {v}")),
+    ("EUPL-{v}", ("1.1", "1.2"), ("the European Union Public Licence {v}", "the European Union Public Licence, version {v}", "the EUPL, version {v}")),
+    ("BSL-{v}", ("1.0",), ("the Boost Software License, Version {v}", "the Boost Software License {v}")),
+    ("Zlib", ("",), ("the zlib License", "the zlib/libpng License")),
+    ("Artistic-{v}", ("1.0", "2.0"), ("the Artistic License {v}", "the Artistic License, version {v}")),
+    ("OFL-{v}", ("1.1",), ("the SIL Open Font License, Version {v}", "the SIL Open Font License {v}")),
+    ("CC-BY-{v}", ("2.0", "2.5", "3.0", "4.0"), ("CC BY {v}", "a Creative Commons Attribution {v} International License", "a Creative Commons Attribution {v} License", "the Creative Commons Attribution {v} License")),
+    ("CC-BY-SA-{v}", ("2.0", "2.5", "3.0", "4.0"), ("CC BY-SA {v}", "a Creative Commons Attribution-ShareAlike {v} International License", "a Creative Commons Attribution-ShareAlike {v} License")),
+    ("CC-BY-ND-{v}", ("3.0", "4.0"), ("CC BY-ND {v}", "a Creative Commons Attribution-NoDerivatives {v} International License")),
+    ("CC-BY-NC-{v}", ("2.0", "2.5", "3.0", "4.0"), ("CC BY-NC {v}", "a Creative Commons Attribution-NonCommercial {v} International License", "a Creative Commons Attribution-NonCommercial {v} License")),
+    ("CC-BY-NC-SA-{v}", ("2.0", "2.5", "3.0", "4.0"), ("CC BY-NC-SA {v}", "a Creative Commons Attribution-NonCommercial-ShareAlike {v} International License", "a Creative Commons Attribution-NonCommercial-ShareAlike {v} License")),
+    ("CC-BY-NC-ND-{v}", ("3.0", "4.0"), ("CC BY-NC-ND {v}", "a Creative Commons Attribution-NonCommercial-NoDerivatives {v} International License")),
+    ("CC0-{v}", ("1.0",), ("CC0 {v}", "CC0 {v} Universal", "the CC0 {v} Universal Public Domain Dedication")),
+    ("Unlicense", ("",), ("the Unlicense",)),
+    ("WTFPL", ("",), ("the WTFPL",)),
+]
+#: How notices begin.
+LEADS = ["Licensed", "Released", "Distributed", "Published", "Available", *[f"{a} {b} is {c}" for a in ("This", "The") for b in ("work", "project", "software", "program", "file", "code", "library", "package", "document") for c in ("licensed", "released", "distributed", "available")]]
+
+
+def notices() -> dict[str, list[str]]:
+    """Notices of every named licence, by identifier `notice:SPDX`: each beginning with each name and version, and the SPDX line."""
+    out: dict[str, list[str]] = {}
+    for spdx, versions, names in NAMES:
+        for v in versions:
+            fill = lambda t, v=v: t.replace("{v}", v).replace("{n}", v.removesuffix(".0"))
+            out[f"notice:{fill(spdx)}"] = [f"{lead} under {fill(name)}." for lead in LEADS for name in names] + [f"SPDX-License-Identifier: {fill(spdx)}"]
+            if spdx.startswith(("GPL", "LGPL", "AGPL")) and "later" not in spdx:
+                out[f"notice:{fill(spdx)}"].append(f"SPDX-License-Identifier: {fill(spdx)}-only")
+    return out
+
+
 #: A sentence ends after . ! ? : with white space behind, or at a line without a letter or digit; a one-letter "v." does not end it.
 SPLIT = r"(?<=[.!?:])(?<!\bv\.)\s+|(?>\r\n|\v)[^\p{L}\p{N}\v]*(?>\r\n|\v)\s*"
 #: In lower-case texts, which have no capitals, E stands for a sentence's end and N for a line's, each with all that is no letter or digit behind.
@@ -90,30 +143,61 @@ def marked(text: Column) -> Column:
     return text
 
 
-def pattern_of(sentences: dict[str, str]) -> str:
-    """What finds the sentences, the longest first, in marked texts: each from a line's or sentence's start to such an end, over any line breaks and its own ends inside."""
+def _words(sentence: str) -> list[str]:
+    """The words of a known sentence, each but the first behind what may part it from the one before."""
     import re
 
-    parts = {tuple(x for p in re.split(r"(?<=[.!?:])\s+", s) if (x := norm(p))) for s in sentences.values()} - {()}
-    known = [_OWN_END.join(x.replace(" ", _GAP) for x in p) for p in sorted(parts, key=lambda p: (-len(" ".join(p)), p))]
-    return f"(?:^ ?|[NE])({'|'.join(known)})(?= ?(?:[NE]|$))"
+    out: list[str] = []
+    for part in (x for p in re.split(r"(?<=[.!?:])(?<!\bv\.)\s+", sentence) if (x := norm(p))):
+        for i, w in enumerate(part.split(" ")):
+            out.append(w if not out else (_GAP if i else _OWN_END) + w)
+    return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
+def _branch(tree: dict) -> str:
+    """A pattern of all ways through a tree of words; None ends a sentence. What sentences share is tried once."""
+    ways = [k + _branch(v) for k, v in tree.items() if k is not None]
+    body = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
+    return f"(?:{body})?" if body and None in tree else body
+
+
+def pattern_of(sentences: list[str], named: dict[str, tuple[str, str]] | None = None) -> str:
+    """What finds the sentences, the longest first, in marked texts: each from a line's or sentence's start to such an end, over any line breaks and its own ends inside."""
+    tree: dict = {}
+    for s in sentences:
+        at = tree
+        for w in _words(s):
+            at = at.setdefault(w, {})
+        at[None] = {}
+    gaps = ["".join(_words(a)) + f"(?:{_GAP}[a-z0-9]+){{1,{GAP_WORDS}}}?" + _GAP + "".join(_words(b)) for a, b in (named or {}).values()]
+    return f"(?:^ ?|[NE])({'|'.join([_branch(tree), *gaps])})(?= ?(?:[NE]|$))"
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str | list[str]] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """(id, sentence_ids, licenses, n_sentences): known sentences in order, and the licences whose rules match, by rule order.
 
     Sentences may be wrapped over lines and stand in comments. Longer rules go first and use up their sentences, so that a full
     text is not also its parts. Null and empty texts have none.
-    Rows are neither merged nor dropped. The rules travel as literals: their size is fixed, whatever the input.
+    Rows are neither merged nor dropped. The rules travel as literals: their size is fixed, whatever the input. Without sentences of the caller's own, the fixed
+    sentences, those with a name inside (NAMED) and the notices of all named licences (notices()) are known.
     """
-    sentences = sentences or SENTENCES
-    known = {norm(s): k for k, s in sentences.items()}
-    ordered = sorted(rules or RULES, key=lambda r: -len(r[1]))
+    named = NAMED if sentences is None else {}
+    generated = notices() if sentences is None else {}
+    sentences = SENTENCES if sentences is None else sentences
+    pairs = [(k, s) for k, v in {**generated, **sentences}.items() for s in ([v] if isinstance(v, str) else v)]
+    known = {norm(s): k for k, s in pairs}  # a fixed sentence keeps its own identifier, whatever is generated
+    ordered = sorted([*(rules or RULES), *[(k.removeprefix("notice:"), [k]) for k in generated]], key=lambda r: -len(r[1]))
     lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     parts = F.filter(F.split(text, SPLIT), lambda x: F.trim(x) != "")
-    found_in = F.regexp_extract_all(marked(text), F.lit(pattern_of(sentences)), F.lit(1))
-    ids = F.transform(found_in, lambda x: lookup[F.regexp_replace(x, "[ NE]+", " ")])
+    found_in = F.regexp_extract_all(marked(text), F.lit(pattern_of([s for _, s in pairs], named)), F.lit(1))
+
+    def identifier(x: Column) -> Column:
+        flat = F.regexp_replace(x, "[ NE]+", " ")
+        by_gap = [F.when(flat.startswith(norm(a) + " ") & flat.endswith(" " + norm(b)), F.lit(k)) for k, (a, b) in named.items()]
+        return F.coalesce(lookup[flat], *by_gap)
+
+    ids = F.transform(found_in, identifier)
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("|" + "||".join(seq) + "|").alias("seq")) for name, seq in ordered])
     start = F.struct(F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|")).alias("left"), F.lit("").alias("found"))
     step = lambda acc, r: F.struct(

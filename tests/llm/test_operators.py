@@ -253,7 +253,7 @@ def test_wrapped_licences(spark):
 
 
 def test_every_licence_sentence_and_rule(spark):
-    s = licenses.SENTENCES
+    s = {k: f"{a} the University of Somewhere {b}" for k, (a, b) in licenses.NAMED.items()} | licenses.SENTENCES
     rows = [(i, x, "en", "a") for i, x in enumerate(s.values())]
     rows += [(100 + i, "\n".join(textwrap.wrap(x, 50)), "en", "a") for i, x in enumerate(s.values())]
     rows += [(200 + i, "\n".join(s[k] for k in seq), "en", "a") for i, (_, seq) in enumerate(licenses.RULES)]
@@ -407,3 +407,23 @@ def test_recall_with_other_hashes(hashes):
     x, y = neardup.at_cosine(400, 64, 0.9)
     assert neardup.meetings(x, y, neardup.tables_for(64, 0.9, hashes), hashes).any(axis=1).mean() >= 0.97
     assert neardup.hashes_for(10**3, 64, 0.9) <= neardup.hashes_for(10**9, 64, 0.9) <= 6
+
+
+def test_generated_notices_and_named_clauses(spark):
+    """Every generated notice is found as its licence; a clause that names a holder makes three clauses of two; longer names win."""
+    made = [(k.removeprefix("notice:"), t) for k, ts in licenses.notices().items() for t in ts]
+    assert len(made) > 4000 and len({k for k, _ in made}) >= 50
+    b = licenses.SENTENCES
+    two = "\n".join(b[k] for k in ("bsd-grant", "bsd-source", "bsd-binary"))
+    texts = {
+        "BSD-3-Clause": two + "\nNeither the name of the University of California nor the names of its contributors may be used to endorse or promote products derived from this software\n without specific prior written permission.",
+        "BSD-2-Clause": two + "\nNeither the name nor the fame is meant.",
+        "GPL-3.0-or-later": "This program is released under the GPLv3 or later.", "LGPL-2.1": "# SPDX-License-Identifier: LGPL-2.1-only", "CC-BY-SA-4.0": "This work is licensed under a\n  Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "MIT": "This project is licensed under the MIT License.", "EPL-2.0": "// SPDX-License-Identifier: EPL-2.0\nint x;",
+    }
+    rows = [(i, f"Some words. {t}", "en", "a") for i, (_, t) in enumerate(made)] + [(10_000 + i, t, "en", "a") for i, t in enumerate(texts.values())] + [(20_000, "It was released under the MIT License of old", "en", "a")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs_of(spark, rows)).collect()}
+    names = {licenses.norm(t): name for k, t in b.items() for name, seq in licenses.RULES if seq == [k]}
+    wrong = [(t, k, got[i]) for i, (k, t) in enumerate(made) if got[i] != [names.get(licenses.norm(t), k)]]
+    assert not wrong, wrong[:5]
+    assert [got[10_000 + i] for i in range(len(texts))] == [[k] for k in texts] and got[20_000] == []

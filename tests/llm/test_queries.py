@@ -211,6 +211,9 @@ def test_licenses(spark, docs):
         assert set(got.loc[i].licenses) == {k for k, s in notes.items() if s in t.split("\n")}
 
 
+_KNOWN: dict = {}
+
+
 def brute_licences(text):
     """The sentence rules, word by word: a known sentence starts and ends at a line's or sentence's ends and has no sentence's end inside but its own."""
     def words_of(t):
@@ -226,10 +229,15 @@ def brute_licences(text):
         return [m[0] for m in found], kinds
 
     words_in, kinds = words_of(text)
-    known = sorted(((*words_of(s), k) for k, s in licenses.SENTENCES.items()), key=lambda x: -len(" ".join(x[0])))
+    if not _KNOWN:
+        made = [(k, t) for k, ts in licenses.notices().items() for t in ts]
+        fixed = {licenses.norm(t) for t in licenses.SENTENCES.values()}
+        every = [(k, t) for k, t in made if licenses.norm(t) not in fixed] + list(licenses.SENTENCES.items())
+        for w, own, name in sorted(((*words_of(t), k) for k, t in every), key=lambda x: -len(" ".join(x[0]))):
+            _KNOWN.setdefault(tuple(w[:3]), []).append((w, own, name))
     ids, at = [], 0
     while at < len(words_in):
-        for w, own, name in known:
+        for w, own, name in [x for n in (3, 2, 1) for x in _KNOWN.get(tuple(words_in[at : at + n]), []) if n == 3 or len(x[0]) == n]:
             end = at + len(w)
             if words_in[at:end] == w and kinds[at] != " " and kinds[end] != " " and all(kinds[at + j] != "E" or own[j] == "E" for j in range(1, len(w))):
                 ids.append(name)
@@ -238,7 +246,7 @@ def brute_licences(text):
         else:
             at += 1
     left, found = list(ids), []
-    for name, seq in sorted(licenses.RULES, key=lambda r: -len(r[1])):
+    for name, seq in sorted([*licenses.RULES, *[(k.removeprefix("notice:"), [k]) for k in licenses.notices()]], key=lambda r: -len(r[1])):
         k = 0
         while k + len(seq) <= len(left):
             if left[k : k + len(seq)] == seq:
