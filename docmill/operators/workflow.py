@@ -155,6 +155,8 @@ def asked(pairs: DataFrame, answers: DataFrame, at: str, actor: str, owner: str
     many facts and passages it rests on. The time `at` makes a batch's row ids its own.
     """
     old = bump_hits(pairs, answers)
+    kept = {"question": "string", "question_norm": "string", "embedding": "array<float>", "sources": f"array<{SOURCE}>", "flagged": "boolean", "similarity": "double"}
+    answers = answers.withColumns({c: F.lit(None).cast(t) for c, t in kept.items() if c not in answers.columns})
     new_id = F.xxhash64("question_id", F.lit(at))
     cache = F.col("mode") == "cache"
     new = answers.select(

@@ -403,16 +403,16 @@ def report_figures(spark, d):
     return figs.select("field_key", "value_text", "document_id", "confidence")
 
 
-@query("""SELECT row_number() OVER (ORDER BY pos, o_custkey) AS marker, 'f' || o_custkey AS field_id, shown AS value, 'c' || o_custkey || '.pdf' AS document_filename
-FROM (SELECT o_custkey, min(o_orderkey) AS pos, min_by(CAST(o_totalprice AS VARCHAR), o_orderkey) AS shown FROM orders WHERE o_orderkey <= 900 GROUP BY 1)""")
+@query("""SELECT o_custkey AS report_id, row_number() OVER (PARTITION BY o_custkey ORDER BY pos, field_id) AS marker, field_id, shown AS value, filename AS document_filename
+FROM (SELECT o_custkey, 'f' || (o_orderkey % 25) AS field_id, 'c' || (o_orderkey % 25) || '.pdf' AS filename, min(o_orderkey) AS pos, min_by(CAST(o_orderkey AS VARCHAR), o_orderkey) AS shown FROM orders GROUP BY 1, 2, 3)""")
 def report_citations(spark, d):
-    """Numbers by first citation, one a field, with its document: a report that cites the first orders' customers."""
-    o = read(spark, d, "orders").where("o_orderkey <= 900")
-    cited = o.select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("f"), "o_custkey").alias("field_id"), F.col("o_totalprice").cast("string").alias("shown"))
-    c = read(spark, d, "customer")
-    fields = c.select(F.concat(F.lit("f"), "c_custkey").alias("field_id"), F.concat(F.lit("c"), "c_custkey").alias("document_id"), F.lit(1).alias("page_no"), F.lit("k").alias("field_key"), F.lit(0.9).alias("confidence"), F.lit("s").alias("source_snippet"), F.lit("verified").alias("status"))
-    docs = c.select(F.concat(F.lit("c"), "c_custkey").alias("document_id"), F.concat(F.lit("c"), "c_custkey", F.lit(".pdf")).alias("filename"))
-    return reports.citations(cited, fields, docs).select(F.col("marker").cast("long").alias("marker"), "field_id", "value", "document_filename")
+    """Numbers by first citation, one a field and report, with its document: customers are reports, their orders cite the nations' fields."""
+    o = read(spark, d, "orders")
+    cited = o.select(F.col("o_custkey").alias("report_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("f"), F.col("o_orderkey") % 25).alias("field_id"), F.col("o_orderkey").cast("string").alias("shown"))
+    c = read(spark, d, "nation")
+    fields = c.select(F.concat(F.lit("f"), "n_nationkey").alias("field_id"), F.concat(F.lit("c"), "n_nationkey").alias("document_id"), F.lit(1).alias("page_no"), F.lit("k").alias("field_key"), F.lit(0.9).alias("confidence"), F.lit("s").alias("source_snippet"), F.lit("verified").alias("status"))
+    docs = c.select(F.concat(F.lit("c"), "n_nationkey").alias("document_id"), F.concat(F.lit("c"), "n_nationkey", F.lit(".pdf")).alias("filename"))
+    return reports.citations(cited, fields, docs).select("report_id", F.col("marker").cast("long").alias("marker"), "field_id", "value", "document_filename")
 
 
 @query("""SELECT DISTINCT 'd' || o_orderkey AS document_id FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)""")

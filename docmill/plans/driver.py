@@ -257,8 +257,8 @@ def trend_break(spark, d):
     return anomalies.outliers(_t(spark, d, "events").select("event_id", "event_type", "value"), ["event_type"]).select("event_id", "event_type", "value")
 
 
-_STORED = "SELECT 'u' || user_id AS signature, CASE WHEN user_id % 3 = 0 THEN 'resolved' ELSE 'open' END AS status, max(value) AS score FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-01' GROUP BY user_id"
-_FOUND = "SELECT 'u' || user_id AS signature, max(value) AS score FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-02' GROUP BY user_id"
+_STORED = "SELECT 'u' || user_id AS signature, CASE WHEN user_id % 3 = 0 THEN 'resolved' ELSE 'open' END AS status, max(value) AS score FROM events WHERE day(ts) % 2 = 1 GROUP BY user_id"
+_FOUND = "SELECT 'u' || user_id AS signature, max(value) AS score FROM events WHERE day(ts) % 2 = 0 GROUP BY user_id"
 
 
 @query(f"""WITH s AS ({_STORED}), f AS ({_FOUND})
@@ -269,7 +269,7 @@ CASE WHEN f.signature IS NOT NULL AND (s.signature IS NULL OR s.status = 'open')
 FROM s FULL JOIN f ON s.signature = f.signature""")
 def merge_findings(spark, d):
     e = _t(spark, d, "events").withColumn("day", F.col("ts").cast("date")).withColumn("signature", F.concat(F.lit("u"), F.col("user_id").cast("string")))
-    part = lambda n: e.where(F.col("day") == F.lit(dt.date(2024, 1, n))).groupBy("user_id", "signature").agg(F.max("value").alias("score"))
+    part = lambda n: e.where(F.dayofmonth("day") % 2 == n % 2).groupBy("user_id", "signature").agg(F.max("value").alias("score"))
     stored = part(1).withColumn("status", F.when(F.col("user_id") % 3 == 0, "resolved").otherwise("open"))
     return anomalies.merge(stored, part(2), ["score"])
 

@@ -223,9 +223,10 @@ def scoped_findings(spark, d):
     return anomalies.listing(_findings(spark, d), "s1", kind="click", severity="high").select(F.col("signature").cast("long").alias("id"))
 
 
-@query("""WITH n AS (SELECT count(*) AS n, (SELECT count(*) FROM events WHERE event_id < 6000) AS early FROM events), k AS (SELECT *, early // 1000 * 1000 AS cut FROM n)
-SELECT 'right' AS what, true AS ok, n - cut AS checked, CAST(NULL AS BIGINT) AS first_broken_seq, CAST(NULL AS BOOLEAN) AS before FROM k
-UNION ALL SELECT 'early', false, (SELECT count(*) FROM events WHERE event_id < 1000), 0, true FROM k UNION ALL SELECT 'late', false, n - cut, (SELECT max(event_id) FROM events), false FROM k""")
+@query("""WITH k AS (SELECT max(event_id) AS last, least(max(event_id) // 1000 * 1000 + 1000, 6000) AS cut FROM events), c AS (SELECT last, cut, last // 1000 * 1000 AS low FROM k)
+SELECT 'right' AS what, true AS ok, (SELECT count(*) FROM events WHERE event_id >= cut) AS checked, CAST(-1 AS BIGINT) AS first_broken_seq, false AS before FROM c
+UNION ALL SELECT 'early', false, (SELECT count(*) FROM events WHERE event_id < 1000), 0, true FROM c
+UNION ALL SELECT 'late', false, CASE WHEN last < cut THEN (SELECT count(*) FROM events WHERE event_id >= low) ELSE (SELECT count(*) FROM events WHERE event_id >= cut) END, CASE WHEN last < cut THEN low ELSE last END, last < cut FROM c""")
 def audit_since(spark, d):
     """The log verified from a checkpoint, as it is, with an entry forged before the checkpoint, and with one behind it."""
     from docmill.operators import audit
@@ -236,5 +237,5 @@ def audit_since(spark, d):
     known = store.write(audit.checkpoint(log, 5999), "checkpoint")
     last = log.agg(F.max("seq")).first()[0]
     forged = lambda at: log.withColumn("meta", F.when(F.col("seq") == at, F.lit('{"forged": 1}')).otherwise(F.col("meta")))
-    parts = [audit.verify_since(x, known).select(F.lit(what).alias("what"), "ok", "checked", "first_broken_seq", "before") for what, x in (("right", log), ("early", forged(7)), ("late", forged(last)))]
+    parts = [audit.verify_since(x, known).select(F.lit(what).alias("what"), "ok", "checked", F.coalesce("first_broken_seq", F.lit(-1)).cast("long").alias("first_broken_seq"), F.coalesce("before", F.lit(False)).alias("before")) for what, x in (("right", log), ("early", forged(7)), ("late", forged(last)))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -54,7 +54,7 @@ def topic_members(spark, d):
 
 
 _TERMS = [[("seam", 0.9), ("coal", 0.5), ("block", 0.4), ("grade", 0.1)], [("safety", 0.8), ("fire", 0.7), ("belt", 0.6)], [("output", 0.5)], [("reserve", 0.4), ("proved", 0.3)], [("land", 0.2), ("water", 0.1)]]
-_LABELS = "CASE topic " + " ".join(f"WHEN {i} THEN '{' / '.join(t for t, _ in ts[:3])}'" for i, ts in enumerate(_TERMS)) + " END"
+_LABELS = "CASE topic " + " ".join(f"WHEN {i} THEN '{', '.join(t for t, _ in ts[:4])}'" for i, ts in enumerate(_TERMS)) + " END"
 
 
 def _rebuilt(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

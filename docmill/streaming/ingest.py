@@ -23,13 +23,20 @@ def ingest(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def start(spark: SparkSession, source: str, target: str, checkpoint: str, pattern: str = "*.txt") -> StreamingQuery:
-    """Read what is there and stop; rerun to go on. State holds the hashes seen; batches write documents and fields as Parquet, by batch, so a retried batch replaces itself."""
+    """Read what is there and stop; rerun to go on. Batches write documents and fields as Parquet, by batch, so a retried batch replaces itself. Contents that are
+    stored already, by other batches, are told by the stored hashes, so the stream keeps no state that grows with what it has seen."""
     stream = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(source)
     named = stream.where(F.col("length").between(1, files.MAX_BYTES)).withColumn("filename", F.element_at(F.split("path", "/"), -1))
-    once = files.describe(named).dropDuplicates(["sha256"])
+    once = files.describe(named)
+
+    def stored(n: int) -> DataFrame | None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/documents")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return spark.read.schema("sha256 string, batch long").parquet(f"{target}/documents").where(F.col("batch") != n)
 
     def write(batch: DataFrame, n: int) -> None:
-        docs, fields = ingest(batch)
+        docs, fields = ingest(files.new_only(batch, stored(n)))
         docs.write.mode("overwrite").parquet(f"{target}/documents/batch={n}")
         fields.write.mode("overwrite").parquet(f"{target}/fields/batch={n}")
 

@@ -275,7 +275,8 @@ def test_asked_answers_are_stored(spark):
     answers = spark.createDataFrame([(1, "cache", "They did.", "answered", 0.9, 9), (2, "rag", "No.", "insufficient", 0.2, None)], "question_id long, mode string, answer string, status string, confidence double, qa_id long")
     now, events = workflow.asked(pairs, answers, "2024-01-01", "ann")
     assert now.where("qa_id = 9").first()["hit_count"] == 3 and now.count() == 3 and now.where("status = 'insufficient'").count() == 1
-    assert [json.loads(x["meta"])["mode"] for x in events.orderBy("target_id").collect()] == ["cache", "rag"]
+    new = now.where("status = 'insufficient'").first()
+    assert {x["action"]: (x["target_id"], json.loads(x["meta"]).get("mode")) for x in events.collect()} == {"query.cache_hit": ("9", None), "query.declined": (str(new["qa_id"]), "rag")}
 
 
 def test_findings_scan_twice(spark, corpus):
