@@ -12,7 +12,7 @@ from docmill.llm.common import WORD_RE, Work
 
 #: Rows of a block of a source's permutation; tasks that look inside a block hold about so many narrow rows.
 BLOCK_ROWS = 4096
-#: One total a source comes to the driver; so many sources are 100 MB there at most.
+#: One total a source comes to the driver for up to so many sources (100 MB there); the totals of more stay a table, and sums over them come instead.
 MOST_SOURCES = 1_000_000
 
 
@@ -83,6 +83,46 @@ def plan(totals: dict[str, int], target_entropy: float | None = None, max_repeat
     return Plan(a, names, n, w, np.rint(b).astype(np.int64))
 
 
+def plan_table(totals: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None) -> tuple[float, DataFrame]:
+    """(exponent, (s, n, rows, budget)) as plan() has it, for totals (s, n, rows) that stay a table: a step of the bisection is two sums over it.
+
+    With x = n / max(n) and Z = sum of x ** a: weights are x ** a / Z, their entropy ln Z - (sum of x ** a ln x) / Z * a, the budget by which every source is
+    passed over once max(n) * Z, and the most repeats fall to the smallest source.
+    """
+    if (target_entropy is None) == (max_repeats is None):
+        raise ValueError("one of target_entropy and max_repeats")
+    some = totals.where("n > 0")
+    high, low = some.agg(F.max("n"), F.min("n")).first()
+    if high is None:
+        return 1.0, totals.withColumn("budget", F.lit(0).cast("long"))
+    x = F.col("n") / F.lit(float(high))
+
+    def sums(a: float) -> tuple[float, float]:
+        z, s = some.agg(F.sum(F.pow(x, F.lit(a))), F.sum(F.pow(x, F.lit(a)) * F.log(x))).first()
+        return z, s
+
+    def enough(a: float) -> bool:
+        if target_entropy is None and budget is None:
+            return (low / high) ** (a - 1) <= max_repeats * (1 + 1e-12)
+        z, s = sums(a)
+        if target_entropy is not None:
+            return np.log(z) - a * s / z >= target_entropy
+        return budget / (z * high) * (low / high) ** (a - 1) <= max_repeats * (1 + 1e-12)
+
+    falling = target_entropy is not None
+    first, last = (1.0, 0.0) if falling else (0.0, 1.0)
+    a = first if enough(first) else last
+    if a == last and enough(last):
+        good, bad = last, first
+        for _ in range(60):
+            mid = (good + bad) / 2
+            good, bad = (mid, bad) if enough(mid) else (good, mid)
+        a = good
+    z, _ = sums(a)
+    whole = float(budget) if budget is not None else high * z
+    return a, totals.withColumn("budget", F.when(F.col("n") > 0, F.rint(F.pow(x, F.lit(a)) / F.lit(z) * F.lit(whole))).otherwise(0).cast("long"))
+
+
 def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: int | None = None, seed: int = 7, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", work: Work | None = None, extras: bool = True) -> DataFrame:
     """`docs` with each row as often as its source's budget says; extra columns pass, block, order_key, n_tokens, if `extras`.
 
@@ -100,17 +140,22 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     tokens = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD_RE)), F.lit(0)).cast("long")
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 52))
     narrow = work.keep(docs.select(src.alias("s"), unit.alias("u"), tokens.alias("n")))
-    rows = narrow.groupBy("s").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
+    totals = narrow.groupBy("s").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    rows = totals.limit(MOST_SOURCES + 1).collect()
+    small = len(rows) <= min(MOST_SOURCES, 100_000)  # 4 MB
     if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    p = plan({r["s"]: r["n"] for r in rows}, target_entropy, max_repeats, budget)
-    total = dict(zip(p.sources, p.tokens, strict=True))
-    give = dict(zip(p.sources, p.budgets, strict=True))
-    passes = {s: int(give[s] // total[s]) if total[s] else 1 for s in give}
-    rest = {s: int(give[s] - passes[s] * total[s]) if total[s] else 0 for s in give}
-    blocks = {r["s"]: max(1, -(-r["rows"] // BLOCK_ROWS)) for r in rows}
-    info = spark.createDataFrame([(s, passes[s], rest[s], blocks[s]) for s in give], "s string, passes long, rest long, blocks long")
-    small = len(give) <= 100_000  # 4 MB
+        _, wide = plan_table(work.keep(totals, "totals"), target_entropy, max_repeats, budget)
+        passes = F.when(F.col("n") > 0, F.floor(F.col("budget") / F.col("n"))).otherwise(1).cast("long")
+        wide = wide.withColumn("passes", passes)
+        info = work.keep(wide.select("s", "passes", F.when(F.col("n") > 0, F.col("budget") - F.col("passes") * F.col("n")).otherwise(0).cast("long").alias("rest"), F.ceil(F.col("rows") / BLOCK_ROWS).cast("long").alias("blocks")), "plan")
+    else:
+        p = plan({r["s"]: r["n"] for r in rows}, target_entropy, max_repeats, budget)
+        total = dict(zip(p.sources, p.tokens, strict=True))
+        give = dict(zip(p.sources, p.budgets, strict=True))
+        passes = {s: int(give[s] // total[s]) if total[s] else 1 for s in give}
+        rest = {s: int(give[s] - passes[s] * total[s]) if total[s] else 0 for s in give}
+        blocks = {r["s"]: max(1, -(-r["rows"] // BLOCK_ROWS)) for r in rows}
+        info = spark.createDataFrame([(s, passes[s], rest[s], blocks[s]) for s in give], "s string, passes long, rest long, blocks long")
     side = F.broadcast(info) if small else info
     block = F.floor(F.col("u") / F.lit(float(1 << 52)) * F.col("blocks")).cast("long")
     placed = narrow.join(side, "s").withColumn("b", block)

@@ -262,7 +262,8 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> Calibration:
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
     """(id, score, predicted) for every row, or with `keep` all of its columns and these two (replaced if there).
 
-    Null and empty texts score by the bias alone. Only the text is read by a score.
+    Null and empty texts score by the bias alone. Only the text is read by a score, so equal texts score alike, repeated rows and ids are scored each by
+    themselves, and ties need no rule; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

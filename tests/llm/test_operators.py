@@ -427,3 +427,31 @@ def test_generated_notices_and_named_clauses(spark):
     wrong = [(t, k, got[i]) for i, (k, t) in enumerate(made) if got[i] != [names.get(licenses.norm(t), k)]]
     assert not wrong, wrong[:5]
     assert [got[10_000 + i] for i in range(len(texts))] == [[k] for k in texts] and got[20_000] == []
+
+
+@pytest.mark.parametrize("how", [{"max_repeats": 1.5}, {"target_entropy": 1.2}, {"max_repeats": 2.0, "budget": 900}])
+def test_many_sources_are_mixed_alike(spark, monkeypatch, how):
+    """Totals that stay a table give the same rows as totals on the driver."""
+    rows = [(i, "w " * (1 + i % 7), "en", f"s{min(i % 9, 4)}") for i in range(120)] + [(500, None, "en", "empty"), (501, "x", "en", None)]
+    df = docs_of(spark, rows).repartition(3)
+    few = sorted((r["doc_id"], r["pass"], r["block"], r["order_key"]) for r in mixing.mix(df, **how).collect())
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    assert sorted((r["doc_id"], r["pass"], r["block"], r["order_key"]) for r in mixing.mix(df, **how).collect()) == few
+
+
+def test_toxicity_scores_restated(spark):
+    """Scores of all rows, from the model's numbers, by plain search of each feature in the whole text."""
+    import re
+
+    sf = "/root/testdata/sf0.001"
+    model = queries.toxic_model(spark, sf)
+    texts = {r["doc_id"]: r["text"] for r in queries.table(spark, sf, "documents").collect()}
+    got = {r["doc_id"]: r for r in queries.op6_toxicity(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        words = set(re.findall(r"\w+", t.lower()))
+        has = lambda f: bool(re.search(toxicity.PATTERNS[f], t)) if f in toxicity.PATTERNS else any(len(w) > len(f) - 1 and w.startswith(f[:-1]) for w in words) if f.endswith("*") else f in words  # noqa: B023, E731
+        z = model.bias + sum(w for f, w in model.weights.items() if has(f)) - model.cut.at
+        odds = np.log(0.7 / 0.3) + z * (model.cut.below if z < 0 else model.cut.above)
+        want = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+        assert abs(got[i]["score"] - want) < 1e-9 and got[i]["predicted"] == (want >= 0.7) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
