@@ -82,11 +82,11 @@ NAMES: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = [
     ("BSD-2-Clause", ("",), ("the BSD 2-Clause License", "the 2-Clause BSD License", "the Simplified BSD License")),
     ("BSD-3-Clause", ("",), ("the BSD 3-Clause License", "the 3-Clause BSD License", "the New BSD License", "the Modified BSD License")),
     ("GPL-{v}", ("2.0", "3.0"), ("the GNU General Public License, version {n}", "the GNU General Public License v{v}", "the GNU GPL, version {n}", "the GNU GPLv{n}", "the GPLv{n}", "GPLv{n}")),
-    ("GPL-{v}-or-later", ("2.0", "3.0"), ("the GNU General Public License, version {n} or later", "the GNU General Public License, version {n} or any later version", "the GPLv{n} or later", "GPLv{n}+")),
+    ("GPL-{v}-or-later", ("2.0", "3.0"), ("the GNU General Public License, version {n} or later", "the GNU General Public License, version {n} or any later version", "the GPLv{n} or later")),
     ("LGPL-{v}", ("2.1", "3.0"), ("the GNU Lesser General Public License, version {n}", "the GNU Lesser General Public License v{v}", "the LGPLv{n}", "LGPLv{n}")),
-    ("LGPL-{v}-or-later", ("2.1", "3.0"), ("the GNU Lesser General Public License, version {n} or later", "the LGPLv{n} or later", "LGPLv{n}+")),
+    ("LGPL-{v}-or-later", ("2.1", "3.0"), ("the GNU Lesser General Public License, version {n} or later", "the LGPLv{n} or later")),
     ("AGPL-{v}", ("3.0",), ("the GNU Affero General Public License, version {n}", "the GNU Affero General Public License v{v}", "the AGPLv{n}", "AGPLv{n}")),
-    ("AGPL-{v}-or-later", ("3.0",), ("the GNU Affero General Public License, version {n} or later", "the AGPLv{n} or later", "AGPLv{n}+")),
+    ("AGPL-{v}-or-later", ("3.0",), ("the GNU Affero General Public License, version {n} or later", "the AGPLv{n} or later")),
     ("MPL-{v}", ("1.1", "2.0"), ("the Mozilla Public License {v}", "the Mozilla Public License, version {v}", "the Mozilla Public License, v. {v}", "MPL {v}")),
     ("EPL-{v}", ("1.0", "2.0"), ("the Eclipse Public License {v}", "the Eclipse Public License, version {v}", "the Eclipse Public License v{v}", "EPL {v}")),
     ("EUPL-{v}", ("1.1", "1.2"), ("the European Union Public Licence {v}", "the European Union Public Licence, version {v}", "the EUPL, version {v}")),
@@ -187,7 +187,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     pairs = [(k, s) for k, v in {**generated, **sentences}.items() for s in ([v] if isinstance(v, str) else v)]
     known = {norm(s): k for k, s in pairs}  # a fixed sentence keeps its own identifier, whatever is generated
     ordered = sorted([*(rules or RULES), *[(k.removeprefix("notice:"), [k]) for k in generated]], key=lambda r: -len(r[1]))
-    lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    # one literal, not thousands of expressions that every rule of the optimiser would walk
+    lookup = F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in known.items())), F.lit(";"), F.lit("="))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     parts = F.filter(F.split(text, SPLIT), lambda x: F.trim(x) != "")
     found_in = F.regexp_extract_all(marked(text), F.lit(pattern_of([s for _, s in pairs], named)), F.lit(1))
