@@ -43,7 +43,8 @@ def with_previous(log: DataFrame, seq: str = "seq", value: str = "entry_hash", b
     b = log.agg(F.min(seq).alias("lo"), F.max(seq).alias("hi"), F.count("*").alias("n")).first()
     buckets = buckets or max(64, -(-b["n"] // RANGE_ROWS))
     lo, width = b["lo"] or 0, max(1, -(-((b["hi"] or 0) - (b["lo"] or 0) + 1) // buckets))
-    x = log.withColumn("_b", F.floor((F.col(seq) - lo) / width).cast("int"))
+    # the number of tasks is given, as adaptive execution would join ranges that are small, but long to hash
+    x = log.withColumn("_b", F.floor((F.col(seq) - lo) / width).cast("int")).repartition(min(buckets, int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_b")
     w = Window.partitionBy("_b").orderBy(seq)
     x = x.withColumn("_in", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
     last = log.withColumn("_b", F.floor((F.col(seq) - lo) / width).cast("int")).groupBy("_b").agg(F.max_by(value, seq).alias("_tail"))
@@ -65,24 +66,56 @@ def verify(log: DataFrame, start: int | None = None) -> DataFrame:
     return r.select(F.col("b").isNull().alias("ok"), F.col("n").alias("checked"), F.col("b.seq").alias("first_broken_seq"), F.concat(F.col("b.why"), F.lit(" at seq "), F.col("b.seq").cast("string")).alias("detail"))
 
 
+def _parts(actor: str, action: str, target_type: str | None, target_id: str | None, meta: dict) -> tuple[str, str]:
+    """What stands before and behind the previous hash in the canonical text of an entry."""
+    text = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), default=str)
+    head, tail = text({"actor": actor, "action": action, "meta": meta}), text({"target_type": target_type, "target_id": target_id})
+    return f'{head[:-1]},"prev":', f",{tail[1:]}"
+
+
 def rehash(log: DataFrame) -> DataFrame:
-    """The log with its chain computed anew in order of seq. Each hash needs the one before, so this repair is one ordered task, streaming its rows."""
+    """The log with its chain computed anew in order of seq, stored. Each hash needs the one before, so ranges of at most about RANGE_ROWS entries are chained one
+    after another, each by one task that gets the hash before it; the entries' texts are made by all tasks beforehand."""
+    store, none = Store(log.sparkSession, "chain"), lambda v: v if isinstance(v, str) else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prev = ""
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                meta = json.loads(r.meta) if isinstance(r.meta, str) else {}
-                none = lambda v: v if isinstance(v, str) else None
-                h = entry_hash(canonical(r.actor, r.action, none(r.target_type), none(r.target_id), meta, prev))
-                rows.append((prev or None, h))
-                prev = h
-            b = b.copy()
-            b["prev_hash"], b["entry_hash"] = [x[0] for x in rows], [x[1] for x in rows]
+            made = [_parts(r.actor, r.action, none(r.target_type), none(r.target_id), json.loads(r.meta) if none(r.meta) else {}) for r in b.itertuples(index=False)]
+            b["_head"], b["_tail"] = [x[0] for x in made], [x[1] for x in made]
             yield b
 
-    return log.repartition(1).sortWithinPartitions("seq").mapInPandas(run, log.schema)
+    def chain(before: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            prev = before
+            for b in batches:
+                links = []
+                for head, tail in zip(b["_head"], b["_tail"], strict=True):
+                    h = entry_hash(f'{head}"{prev}"{tail}')
+                    links.append((prev or None, h))
+                    prev = h
+                b["prev_hash"], b["entry_hash"] = [x[0] for x in links], [x[1] for x in links]
+                yield b.drop(columns=["_head", "_tail"])
+
+        return run
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields)
+    tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as a small file is one task, however much work its rows are
+    rows = log.repartition(tasks).mapInPandas(texts, f"{fields}, _head string, _tail string")
+    size = log.count()
+    cuts = log.approxQuantile("seq", [i / n for i in range(1, n)], 0.1 / n) if (n := -(-size // RANGE_ROWS)) > 1 else []
+    cuts = sorted({int(c) for c in cuts})
+    at = F.lit(0)
+    for c in cuts:
+        at = at + (F.col("seq") > c).cast("int")
+    rows = store.write(rows.withColumn("_range", at).repartition(len(cuts) + 1, "_range"), "texts", by="_range")
+    out, prev = None, ""
+    for i in range(len(cuts) + 1):
+        part = rows.where(F.col("_range") == i).drop("_range").coalesce(1).sortWithinPartitions("seq")
+        done = store.write(part.mapInPandas(chain(prev), log.schema), "range")
+        tip = done.agg(F.max_by("entry_hash", "seq")).first()[0]
+        prev = tip if tip is not None else prev
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 SCHEMA = "seq long, actor string, action string, target_type string, target_id string, meta string, prev_hash string, entry_hash string"

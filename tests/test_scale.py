@@ -36,3 +36,20 @@ def test_extraction_compiles(spark):
         assert rows.groupBy("field_key").count().count() == 9
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_chain_in_ranges(spark, monkeypatch):
+    """One task held and chained the whole log, once a reader of it."""
+    from docmill.operators import audit
+
+    rows = [(i * 3, f"u{i}", "aé", None if i % 2 else "t", None, '{"b": 1, "a": "\\u0000"}' if i % 3 else None, None, None) for i in range(50)]
+    log = spark.createDataFrame(rows, audit.SCHEMA).repartition(5)
+    monkeypatch.setattr(audit, "RANGE_ROWS", 7)
+    done = audit.rehash(log)
+    assert done.rdd.getNumPartitions() > 1 and "MapInPandas" not in plan(done)
+    prev = None
+    for r, (seq, actor, action, kind, target, meta, _, _) in zip(done.orderBy("seq").collect(), rows, strict=True):
+        body = audit.canonical(actor, action, kind, target, audit.json.loads(meta) if meta else {}, prev or "")
+        assert (r.seq, r.prev_hash, r.entry_hash) == (seq, prev, audit.entry_hash(body))
+        prev = r.entry_hash
+    assert audit.verify(done).first().ok
