@@ -19,30 +19,31 @@ def contained_names(texts: DataFrame, names: DataFrame, id_col: str, text_col: s
     """(id, name_id): which names each text holds, in any case; a name of several spellings or a text of repeated ids gives each pair once.
 
     A text is read once a shard of names; shards and blocks of texts follow the counted characters, one shard as a rule. Null and empty names are in
-    nothing. Each task builds the automaton of its shard, so no names come to the driver; matches of a text are told apart before they leave it.
+    nothing. Texts meet distinct names, whose ids are joined to what was found, so a task holds no pair of copies. Each task builds the automaton of its shard, so no names come to the driver; matches of a text are told apart before they leave it.
     """
     t = texts.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text")).where("text is not null")
     n = names.select(F.col(name_id).alias("name_id"), F.lower(F.col(name_col)).alias("name")).where("name <> ''").distinct()
+    words = n.select("name").distinct()
     chars = lambda df, c: df.agg(F.sum(F.length(c))).first()[0] or 0
-    shards, blocks = max(1, -(-chars(n, "name") // SHARD_CHARS)), max(1, -(-chars(t, "text") // BLOCK_CHARS), texts.sparkSession.sparkContext.defaultParallelism)
+    shards, blocks = max(1, -(-chars(words, "name") // SHARD_CHARS)), max(1, -(-chars(t, "text") // BLOCK_CHARS), texts.sparkSession.sparkContext.defaultParallelism)
     every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     left = t.select("id", "text", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("a"), every(shards).alias("b"))
-    right = n.select("name_id", "name", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("b"), every(blocks).alias("a"))
-    types = {c: df.schema[c].dataType.simpleString() for df, c in ((t, "id"), (n, "name_id"))}
+    right = words.select("name", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("b"), every(blocks).alias("a"))
+    kind = t.schema["id"].dataType.simpleString()
 
     def find(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(x) and len(y):
-            words = ahocorasick.Automaton()
-            for name, ids in y.groupby("name")["name_id"].agg(list).items():
-                words.add_word(name, ids)
-            words.make_automaton()
+            known = ahocorasick.Automaton()
+            for name in y["name"]:
+                known.add_word(name, name)
+            known.make_automaton()
             for i, text in zip(x["id"], x["text"], strict=True):
-                out.extend((i, k) for k in {k for _, ids in words.iter(text) for k in ids})
-        return pd.DataFrame(out, columns=["id", "name_id"])
+                out.extend((i, name) for name in {name for _, name in known.iter(text)})
+        return pd.DataFrame(out, columns=["id", "name"])
 
-    got = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(find, f"id {types['id']}, name_id {types['name_id']}")
-    return got.distinct().select(F.col("id").alias(id_col), F.col("name_id").alias(name_id))
+    got = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(find, f"id {kind}, name string").distinct()
+    return got.join(n, "name").select(F.col("id").alias(id_col), F.col("name_id").alias(name_id)).distinct()
 
 
 def matches(texts: Iterator[str], names: list[str]) -> Iterator[set[str]]:
