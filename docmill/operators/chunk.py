@@ -98,6 +98,8 @@ def health(factory: Callable[[], Callable[[list[str]], np.ndarray]], dim: int |
     return {"ok": not wrong, "dim": v.shape[1], "error": f"dimension {v.shape[1]}, not {dim}" if wrong else None}
 
 
+#: Texts that a model is given at once.
+EMBEDDED = 256
 #: Vectors that a worker keeps, those used last.
 CACHED = 4096
 
@@ -110,7 +112,8 @@ class LastUsed:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         new = list(dict.fromkeys(t for t in texts if t not in self.held))
-        fresh = dict(zip(new, self.model(new), strict=True)) if new else {}
+        # copies: a row of the model's answer would keep the whole answer in memory
+        fresh = {t: np.array(v) for t, v in zip(new, self.model(new), strict=True)} if new else {}
         self.asked += len(new)
         out = []
         for t in texts:
@@ -135,7 +138,8 @@ def embed(chunks: DataFrame, embedder: Callable[[], Callable[[list[str]], np.nda
         model = LastUsed(embedder(), cached)
         for b in batches:
             try:
-                yield pd.Series([v.astype("float32") for v in model([t or "" for t in b])])
+                made = (model([t or "" for t in b.iloc[s : s + EMBEDDED]]) for s in range(0, len(b), EMBEDDED))
+                yield pd.Series([v.astype("float32") for part in made for v in part], dtype=object)
             except Exception:
                 if on_failure != "null":
                     raise
