@@ -36,6 +36,8 @@ class _Words(dict):
         out = self.old.get(word)
         if out is None:
             out = np.array(self.encode(self.before + word), "<u4").tobytes()
+        if len(word) > 64:  # long runs seldom recur, and would make the bounded number of words large
+            return out
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -69,7 +71,7 @@ class Ids:
 
     PROBE = "It's 12 tests,\n\n  \u00e9t\u00e9 \u00df \u4e2d\u6587 <|endoftext|> a_b\t'll\u3000x  \n don't!! \U0001f600"
 
-    def __init__(self, path: str, pattern: str, most: int = 250_000):
+    def __init__(self, path: str, pattern: str, most: int = 60_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -53,3 +53,42 @@ def test_chain_in_ranges(spark, monkeypatch):
         assert (r.seq, r.prev_hash, r.entry_hash) == (seq, prev, audit.entry_hash(body))
         prev = r.entry_hash
     assert audit.verify(done).first().ok
+
+
+def test_probes_are_bounded():
+    """All probes of a batch of queries, a vector a list, were held at once."""
+    import pandas as pd
+
+    from docmill.operators import vector_index
+
+    got = list(vector_index._sliced(iter([pd.DataFrame({"q": range(100)}), pd.DataFrame({"q": []})]), 32))
+    assert [len(x) for x in got] == [32, 32, 32, 4] and [q for x in got for q in x["q"]] == list(range(100))
+
+
+def test_remembered_vectors_are_rows_of_their_own():
+    """One remembered row kept the vectors of its whole batch in memory."""
+    from docmill.operators import chunk
+
+    model = chunk.LastUsed(chunk.hashing_embedder(8), 4)
+    model([f"t{i}" for i in range(100)])
+    assert all(v.base is None for v in model.held.values())
+
+
+def test_names_of_copies(spark):
+    """A task held every pair of a text and a copy's name."""
+    from docmill.operators import matching
+
+    docs = spark.createDataFrame([(i, "Same Words" if i % 2 else f"other {i}") for i in range(20)], "id long, text string")
+    got = matching.contained_names(docs, docs.select(docs.id.alias("n"), docs.text.alias("name")), "id", "text", "n", "name")
+    pairs = {(r.id, r.n) for r in got.collect()}
+    want = {(i, j) for i in range(20) for j in range(20) if (("Same Words" if j % 2 else f"other {j}").lower() in ("Same Words" if i % 2 else f"other {i}").lower())}
+    assert pairs == want and "name" in plan(got).split("Join")[0]
+
+
+def test_words_stay_bounded():
+    """The remembered words of a worker took most of its memory, long runs among them."""
+    from docmill.llm.packing import _Words
+
+    words = _Words(lambda w: [len(w)], "", 3)
+    assert [len(words["x" * n]) for n in (1, 2, 3, 4, 65)] == [4] * 5
+    assert len(words) + len(words.old) <= 6 and "x" * 65 not in words and "x" * 65 not in words.old
