@@ -165,8 +165,13 @@ def nearest_for_all(queries: DataFrame, vectors: DataFrame, k: int, qid: str, id
     fine = F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     q = queries.select(F.col(qid).cast("long").alias("q"), F.col(q_vec).cast("array<double>").alias("v")).where("q is not null").where(F.coalesce(fine, F.lit(False))).withColumn("d", F.size("v"))
     base = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")).where(F.coalesce(fine, F.lit(False))).withColumn("d", F.size("v"))
-    n, m = q.count(), base.count()
-    qb, vb = max(1, -(-n // block)), max(1, -(-m // (8 * block)))
+    # a long vector counts as several rows of 256 components, so that a block's memory does not grow with the dimension
+    rows_of = lambda t: t.agg(F.sum(F.greatest(F.lit(1.0), F.col("d") / 256))).first()[0] or 0
+    n = rows_of(q)
+    m = rows_of(base) if n else 0
+    if not n or not m:  # nothing to compare: the other side need not move
+        q, base = q.limit(0), base.limit(0)
+    qb, vb = max(1, int(-(-n // block))), max(1, int(-(-m // (8 * block))))
     every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     # the smaller number of copies: queries go to all blocks of vectors, vectors to all blocks of queries
     left = q.select("d", "q", "v", F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("a"), every(vb).alias("b"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as T
 from docmill.functions import values as V
 from docmill.operators import relational
+from docmill.sources.store import Store
 
 # Words of names that identify nothing.
 GENERIC = [
@@ -39,7 +45,8 @@ def fact_evidence(matched: DataFrame, entities: DataFrame, relations: DataFrame,
     value = F.coalesce(a["quantity"], a["value"])
     label = F.coalesce(a["category"], a["metric"], "fact_name")
     unit = F.replace(F.coalesce(a["unit"], F.lit("")), F.lit("_"), F.lit(" "))
-    j = matched.join(ends, matched["id"] == ends["at"]).join(fact, "other").join(f, "field_id", "left").join(d, "doc", "left")
+    # never broadcast: all three grow with the documents, and stored tables are judged by their compressed size
+    j = matched.join(ends, matched["id"] == ends["at"]).join(fact.hint("merge"), "other").join(f.hint("merge"), "field_id", "left").join(d.hint("merge"), "doc", "left")
     text = F.trim(F.concat("name", F.lit(": "), label, F.lit(" = "), F.coalesce(value, F.lit("None")), F.lit(" "), unit))
     rows = j.select("question_id", F.lit("fact").alias("kind"), text.alias("text"), F.round(F.coalesce("conf", F.lit(0.6)) * 0.98, 3).alias("score"), F.col("doc").alias("document_id"), "filename", "page_no", "field_id", F.col("name").alias("entity"))
     w = Window.partitionBy("question_id", "entity", "text").orderBy(F.desc("score"), F.col("field_id"))
@@ -79,16 +86,38 @@ def with_markers(answer: Column, confidence: Column, n_sources: Column) -> tuple
     return F.when(bare & (n_sources > 0), F.concat(text, extra)).otherwise(text), F.when(bare, F.round(confidence * 0.85, 3)).otherwise(confidence)
 
 
+def _direction() -> Callable:
+    """SHA-256 of a vector scaled by its greatest component, so that multiples of a vector are equal; null for one that is null, empty, zero or not finite."""
+
+    def digest(v: np.ndarray | None) -> bytes | None:
+        x = np.asarray([] if v is None else v, float)
+        top = np.abs(x).max(initial=0.0)
+        return hashlib.sha256((x / top + 0.0).tobytes()).digest() if 0 < top < np.inf else None
+
+    @F.pandas_udf("binary")
+    def run(vectors: pd.Series) -> pd.Series:
+        return pd.Series([digest(v) for v in vectors], dtype=object)
+
+    return run
+
+
 def cached(questions: DataFrame, pairs: DataFrame, threshold: float = CACHE_HIT, owner: str | None = None) -> DataFrame:
     """(question_id, qa_id, similarity): the nearest verified answer, if it is near enough.
 
-    Both sides are blocks of vectors: only the best answer of a block goes on. questions: question_id, embedding.
+    A vector of the same direction is the nearest that there can be: these meet by a hash, and only the questions that have none are compared with all
+    answers, in blocks of vectors of which only the best answer goes on. questions: question_id, embedding.
     """
     from docmill.operators.chunk import nearest_for_all
 
     verified = pairs.where((F.col("status") == "verified") & V.scope(F.col("owner"), owner)).select("qa_id", "embedding")
-    near = nearest_for_all(questions, verified, 1, "question_id", "qa_id")
-    return near.where(F.col("score") >= threshold).select("question_id", "qa_id", F.col("score").alias("similarity"))
+    store = Store(pairs.sparkSession, "cached")
+    digests = lambda rows, key: store.write(rows.select(F.col(key).cast("long").alias(key), _direction()(F.col("embedding")).alias("h")), "digests").dropna()
+    least = digests(verified, "qa_id").groupBy("h").agg(F.min("qa_id").alias("qa_id"))
+    equal = digests(questions, "question_id").join(least.hint("merge"), "h").groupBy("question_id").agg(F.min("qa_id").alias("qa_id"))
+    equal = store.write(equal.select("question_id", "qa_id", F.lit(1.0).alias("similarity")).where(F.col("similarity") >= threshold), "equal")
+    rest = questions.join(equal.select("question_id"), "question_id", "left_anti")
+    near = nearest_for_all(rest, verified, 1, "question_id", "qa_id").where(F.col("score") >= threshold)
+    return equal.unionByName(near.select("question_id", "qa_id", F.col("score").alias("similarity")))
 
 
 def judge(pairs: DataFrame, decisions: DataFrame) -> DataFrame:

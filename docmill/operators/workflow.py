@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docmill.functions import text as T
 from docmill.functions import values as V
 from docmill.operators import chunk, extract, graph, relational, retrieval
+from docmill.sources.store import Store
 
 
 def build_knowledge(docs: DataFrame, fields: DataFrame, pages: DataFrame | None = None, embedder: Callable = chunk.hashing_embedder) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -30,9 +31,10 @@ def ask(questions: DataFrame, entities: DataFrame, relations: DataFrame, fields:
     questions: question_id long, question; chunks: chunk_id long, document_id, page_no, text, embedding; pairs: qa_id long, status, owner, answer, confidence, embedding
     and, if kept, sources, which a cached answer hands on. A decline is flagged no more than the policy says; a cached answer is not flagged.
     """
-    q = chunk.embed(questions.withColumn("question_norm", T.normalize_question(F.col("question"))), embedder, "question_norm")
+    # stored, so that a question is embedded once
+    q = Store(questions.sparkSession, "questions").write(chunk.embed(questions.withColumn("question_norm", T.normalize_question(F.col("question"))), embedder, "question_norm"), "questions")
     known = pairs if "sources" in pairs.columns else pairs.withColumn("sources", F.lit(None).cast(f"array<{SOURCE}>"))
-    hit = retrieval.cached(q, known if use_cache else known.limit(0), owner=owner).join(known.select("qa_id", "answer", "confidence", "sources"), "qa_id")
+    hit = retrieval.cached(q, known if use_cache else known.limit(0), owner=owner).join(known.select("qa_id", "answer", "confidence", "sources").hint("merge"), "qa_id")
     done = hit.select("question_id", F.lit("cache").alias("mode"), "answer", F.lit("answered").alias("status"), "confidence", "qa_id", "sources", F.lit(False).alias("flagged"), "similarity")
     rest = q.join(done.select("question_id"), "question_id", "left_anti")
     scoped = docs.where(V.scope(F.col("subsidiary_id"), owner)).select("document_id", "filename")
@@ -43,7 +45,8 @@ def ask(questions: DataFrame, entities: DataFrame, relations: DataFrame, fields:
     a = retrieval.compose(facts.unionByName(passages), rest)
     fresh = a.select("question_id", F.lit("rag").alias("mode"), "answer", "status", "confidence", F.lit(None).cast("long").alias("qa_id"), F.col("sources").cast(f"array<{SOURCE}>").alias("sources"), "flagged", F.lit(None).cast("double").alias("similarity"))
     both = done.withColumn("sources", F.col("sources").cast(f"array<{SOURCE}>")).unionByName(fresh)
-    return both.join(q.select("question_id", "question", "question_norm", "embedding"), "question_id").select("question_id", "mode", "answer", "status", "confidence", "qa_id", "question", "question_norm", "embedding", "sources", "flagged", "similarity")
+    # never broadcast: vectors are far larger than the files that they are stored in
+    return both.join(q.select("question_id", "question", "question_norm", "embedding").hint("merge"), "question_id").select("question_id", "mode", "answer", "status", "confidence", "qa_id", "question", "question_norm", "embedding", "sources", "flagged", "similarity")
 
 
 def bump_hits(pairs: DataFrame, answers: DataFrame) -> DataFrame:

@@ -92,3 +92,26 @@ def test_words_stay_bounded():
     words = _Words(lambda w: [len(w)], "", 3)
     assert [len(words["x" * n]) for n in (1, 2, 3, 4, 65)] == [4] * 5
     assert len(words) + len(words.old) <= 6 and "x" * 65 not in words and "x" * 65 not in words.old
+
+
+def test_equal_answers_meet_by_hash(spark, monkeypatch):
+    """Every question was compared with every stored answer, and long vectors made blocks of gigabytes."""
+    from docmill.operators import chunk, retrieval
+
+    pairs = spark.createDataFrame([(9, "verified", "s1", [1.0, 0.0]), (4, "verified", None, [3.0, -0.0]), (2, "answered", None, [1.0, 0.0]), (5, "verified", None, [0.0, 0.0]), (6, "verified", None, [1.0, 1.0])], "qa_id long, status string, owner string, embedding array<float>")
+    q = spark.createDataFrame([(1, [2.0, 0.0]), (2, [1.0, 1.1]), (3, [0.0, 0.0]), (4, [0.0, 1.0]), (5, None)], "question_id long, embedding array<float>")
+    asked, nearest = [], chunk.nearest_for_all
+    monkeypatch.setattr(chunk, "nearest_for_all", lambda a, *x: asked.extend(r.question_id for r in a.collect()) or nearest(a, *x))
+    got = {(r.question_id, r.qa_id, r.similarity) for r in retrieval.cached(q, pairs).collect()}
+    assert got == {(1, 4, 1.0), (2, 6, 0.9989)} and sorted(asked) == [2, 3, 4, 5]
+
+
+def test_blocks_are_bounded_by_components(spark):
+    """A block held as many rows however long their vectors were."""
+    from docmill.operators import chunk
+
+    rows = spark.range(40).selectExpr("id", "transform(sequence(1, 1024), i -> double(pmod(i * i + i * (id + 3), 11) + 1)) AS embedding")
+    near = chunk.nearest_for_all(rows.withColumnRenamed("id", "q"), rows, 1, "q", "id", block=8)
+    assert [(r.q, r.score) for r in near.orderBy("q").collect()] == [(i, 1.0) for i in range(40)]
+    blocks = plan(near)
+    assert "sequence(0, 19" in blocks or "[0,1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16,17,18,19]" in blocks
