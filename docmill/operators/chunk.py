@@ -10,12 +10,18 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from docmill.functions import text as T
 from docmill.functions import values as V
 
 TARGET, OVERLAP = 600, 90
+#: Bytes of texts that a worker chunks at once.
+CHUNKED = 1 << 20
 
 
 _ENDS = re.compile(r"(?<=[.!?])\s+|\n{2,}")
@@ -45,11 +51,16 @@ def chunk_text(text: str, target: int = TARGET, overlap: int = OVERLAP) -> list[
 def chunk_pages(pages: DataFrame, doc_col: str = "document_id", text_col: str = "text", page_col: str | None = "page_no", target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """(document, page, chunk_index, text): chunks numbered through a document's pages."""
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([chunk_text(t or "", target, overlap) for t in texts])
-
-    base = pages.select(doc_col, *([page_col] if page_col else []), split(F.col(text_col)).alias("_c"))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # a few rows at a time: a batch is bounded in rows, not in the length of its texts
+            for s, e in T.runs(pc.fill_null(pc.binary_length(b.column("_t")), 0).to_pylist(), CHUNKED):
+                part = b.slice(s, e - s)
+                made = pa.array([chunk_text(t or "", target, overlap) for t in part.column("_t").to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=[*part.schema.names[:-1], "_c"])
+
+    keys = pages.select(doc_col, *([page_col] if page_col else []))
+    base = pages.select(*keys.columns, F.col(text_col).cast("string").alias("_t")).mapInArrow(split, StructType([*keys.schema, StructField("_c", ArrayType(StringType()))]))
     if not page_col:
         return base.select(doc_col, F.posexplode("_c").alias("chunk_index", "text"))
     w = Window.partitionBy(doc_col).orderBy(page_col).rowsBetween(Window.unboundedPreceding, -1)

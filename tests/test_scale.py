@@ -113,5 +113,25 @@ def test_blocks_are_bounded_by_components(spark):
     rows = spark.range(40).selectExpr("id", "transform(sequence(1, 1024), i -> double(pmod(i * i + i * (id + 3), 11) + 1)) AS embedding")
     near = chunk.nearest_for_all(rows.withColumnRenamed("id", "q"), rows, 1, "q", "id", block=8)
     assert [(r.q, r.score) for r in near.orderBy("q").collect()] == [(i, 1.0) for i in range(40)]
-    blocks = plan(near)
-    assert "sequence(0, 19" in blocks or "[0,1,2,3,4,5,6,7,8,9,10,11,12,13,14,15,16,17,18,19]" in blocks
+    assert "sequence(0, 19" in near._jdf.queryExecution().analyzed().toString()
+
+
+def test_runs_of_rows():
+    """Workers chunked and counted a whole batch of texts at once, however long these were."""
+    from docmill.functions import text as T
+
+    assert list(T.runs([1, 2, 3, 9, 0, 1], 4)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(T.runs([], 4)) == [] and list(T.runs([0, 0], 4)) == [(0, 2)]
+
+
+def test_chunks_and_terms_of_runs(spark, monkeypatch):
+    """Rows of a later run keep their keys, pages and counts; runs of one row give what one run gives."""
+    from docmill.operators import chunk, topics
+
+    docs = spark.createDataFrame([(i, i % 3, None if i == 5 else f"seam {'coal ' * i}grade. " * (i + 1)) for i in range(20)], "document_id long, page_no int, text string").coalesce(1)
+    made = lambda: (sorted(chunk.chunk_pages(docs, target=40, overlap=9).collect()), sorted(chunk.chunk_pages(docs, page_col=None, target=40, overlap=9).collect()), sorted(topics.terms_of(docs, "document_id").collect()))
+    whole = made()
+    monkeypatch.setattr(chunk, "CHUNKED", 100)
+    monkeypatch.setattr(topics, "COUNTED", 7)
+    assert made() == whole and sum(r.tf for r in whole[2] if r.id == 3 and r.term == "seam") == 4
+    assert len(list(topics._counted("long", True)[0](iter([__import__("pyarrow").RecordBatch.from_pydict({"id": [1, 2], "w": [["coal"] * 5, ["seam"] * 6]})])))) == 2
