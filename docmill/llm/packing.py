@@ -7,6 +7,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -30,12 +31,13 @@ class _Words(dict):
 
     def __init__(self, encode: Callable[[str], list[int]], before: str, most: int):
         super().__init__()
-        self.encode, self.before, self.most, self.old = encode, before, most, {}
+        self.encode, self.before, self.most, self.old, self.made = encode, before, most, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         out = self.old.get(word)
         if out is None:
-            out = np.array(self.encode(self.before + word), "<u4").tobytes()
+            out = array("I", self.encode(self.before + word)).tobytes()
+            self.made += 1
         if len(word) > 64:  # long runs seldom recur, and would make the bounded number of words large
             return out
         if len(self) >= self.most:
@@ -63,12 +65,15 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
 
 
 class Ids:
-    """Whole texts to ids of a tokenizer file, each distinct word encoded once while it stays in a bounded cache.
+    """Whole texts to ids of a tokenizer file, each distinct word encoded once while it stays in a bounded cache; where words seldom recur, texts are
+    encoded as they are for a while, which costs less than words that are not remembered.
 
     A byte-level BPE whose ids are its merge ranks is run by the faster of the two installed libraries, from the same
     file, after a probe against the tokenizers library; any other file, or a failed probe, by tokenizers itself, whole texts.
     """
 
+    #: Words after which it is seen whether they recur, texts then encoded as they are, and the share of new words (one in so many) from which on.
+    SEEN, AS_THEY_ARE, NEW = 100_000, 2_000, 6
     PROBE = "It's 12 tests,\n\n  \u00e9t\u00e9 \u00df \u4e2d\u6587 <|endoftext|> a_b\t'll\u3000x  \n don't!! \U0001f600"
 
     def __init__(self, path: str, pattern: str, most: int = 60_000):
@@ -77,18 +82,27 @@ class Ids:
 
         self.slow = Tokenizer.from_file(path)
         self.slow.encode_special_tokens = True
-        self.first = self.rest = None
+        self.first = self.rest = self.whole = None
+        self.left = self.seen = 0
         if ranks := byte_ranks(path):
             import tiktoken
 
             core = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
             if core.encode_ordinary(self.PROBE) == self.slow.encode(self.PROBE, add_special_tokens=False).ids:
+                self.whole = lambda text: core.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
                 self.first, self.rest = _Words(core.encode_ordinary, "", most), _Words(core.encode_ordinary, " ", most)
 
     def encode(self, text: str) -> bytes:
         if self.first is None:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.left:
+            self.left -= 1
+            return self.whole(text)
         first, rest, out = self.first, self.rest, []
+        self.seen += text.count(" ") + 1
+        if self.seen > self.SEEN:
+            self.left = self.AS_THEY_ARE if self.NEW * (first.made + rest.made) > self.seen else 0
+            self.seen = first.made = rest.made = 0
         if _ODD.search(text):
             return b"".join([rest[w[1:]] if w[0] == " " and len(w) > 1 and w[1] != " " else first[w] for w in _CHUNK.findall(text)])
         for i, line in enumerate(text.split("\n")):

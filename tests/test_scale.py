@@ -135,3 +135,18 @@ def test_chunks_and_terms_of_runs(spark, monkeypatch):
     monkeypatch.setattr(topics, "COUNTED", 7)
     assert made() == whole and sum(r.tf for r in whole[2] if r.id == 3 and r.term == "seam") == 4
     assert len(list(topics._counted("long", True)[0](iter([__import__("pyarrow").RecordBatch.from_pydict({"id": [1, 2], "w": [["coal"] * 5, ["seam"] * 6]})])))) == 2
+
+
+def test_texts_of_new_words(monkeypatch):
+    """Words that do not recur were each encoded alone; as whole texts they give the same ids."""
+    from docmill.llm import packing, queries
+
+    ids, plain = packing.Ids(*queries.tokenizer_path()), packing.Ids(*queries.tokenizer_path())
+    monkeypatch.setattr(ids, "SEEN", 50, raising=False)
+    monkeypatch.setattr(ids, "AS_THEY_ARE", 30, raising=False)
+    texts = [packing.Ids.PROBE, "", " ", "\n\n a\t\tb ", "x" * 300, "<|endoftext|>"] + [" ".join(f"w{i * j}é{j}" for j in range(20)) for i in range(60)] + [packing.Ids.PROBE + " 　 tail  "] * 10
+    whole, asked = ids.whole, []
+    ids.whole = lambda t: asked.append(t) or whole(t)
+    for t in texts:
+        assert ids.encode(t) == plain.encode(t) == packing.np.array(plain.slow.encode(t, add_special_tokens=False).ids, "<u4").tobytes() == whole(t)
+    assert 0 < len(asked) < len(texts)
