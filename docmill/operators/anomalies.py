@@ -73,14 +73,16 @@ def revisions_and_contradictions(f: DataFrame) -> DataFrame:
     """One finding an anchor and kind: figures that differ under several dates are revisions, under one date contradictions."""
     day = F.coalesce("as_on", F.lit(""))
     g = f.groupBy("anchor", "anchor_name", "category").agg(
-        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.count_distinct("as_on").alias("dates"),
+        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
+        # two dates or more, without a distinct count, which would aggregate and shuffle everything once more by date
+        F.coalesce(F.min("as_on") < F.max("as_on"), F.lit(False)).alias("rev"),
         F.min(F.struct(day, "value", "node")).alias("first"), F.max(F.struct(day, "value", "node")).alias("last"),
         F.collect_set("document_id").alias("docs"), _evidence(f).alias("evidence"),
     )
     g = g.where((F.col("n") > 1) & V.differs(F.col("low"), F.col("high")))
     when = lambda s: F.coalesce(F.nullif(s["col1"], F.lit("")), F.lit("n/d"))
     span = F.concat(V.format_quantity(F.col("first.value")), F.lit(" ("), when(F.col("first")), F.lit(") -> "), V.format_quantity(F.col("last.value")), F.lit(" ("), when(F.col("last")), F.lit(")"))
-    g = g.withColumn("line", F.concat(F.replace("category", F.lit("_"), F.lit(" ")), F.lit(" "), span)).withColumn("rev", F.col("dates") > 1)
+    g = g.withColumn("line", F.concat(F.replace("category", F.lit("_"), F.lit(" ")), F.lit(" "), span))
     a = g.groupBy("anchor", "anchor_name", "rev").agg(F.array_sort(F.collect_list("line")).alias("lines"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs"), _collapsed(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))), f).alias("evidence"))
     n = F.size("lines")
     fields = F.concat(F.lit("("), n.cast("string"), F.when(n == 1, " field)").otherwise(" fields)"))
