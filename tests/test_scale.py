@@ -161,3 +161,26 @@ def test_revisions_are_aggregated_once(spark):
     found = anomalies.revisions_and_contradictions(f)
     assert {(r.anchor, r.kind) for r in found.collect()} == {("a", "revision"), ("b", "contradiction"), ("c", "contradiction")}
     assert "distinct" not in plan(found).lower().replace("array_distinct", "")
+
+
+def test_edges_of_one_document_are_not_shuffled(spark):
+    """Every edge was shuffled with two hashes of 64 characters, once to be merged and twice for the keys of its ends."""
+    from docmill.plans import queries
+
+    edges = queries()["graph_relations"](spark, SF)
+    assert "Join" not in plan(edges)
+    assert "sha2" not in edges._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1]
+
+
+def test_lone_sightings_merge_like_others(spark, monkeypatch):
+    """A document told in two rows, one whose block is its hole, and one without an id give the graph that merging every sighting gives."""
+    docs = spark.createDataFrame([("a", 2, "s1"), ("a", 1, "s1"), ("b", 3, "s1"), ("c", 4, None), (None, 5, None)], "document_id string, created_at int, subsidiary_id string")
+    docs = docs.withColumns({"doc_type": F.lit("t"), "doc_date": F.lit("2020-01-02"), "filename": F.concat("document_id", F.lit(".pdf"))})
+    said = [("block_name", "North 1", None), ("borehole_id", "North 1", None), ("mine_name", "Pit 1", None), ("principal_seam", "R-I", None), ("average_grade", "g7", None), ("proved_reserve", "5", 5.0), ("finding", "roof", None)]
+    fields = spark.createDataFrame([(f"{d}:{k}", d, k, t, v, None, None, 0.8, 1, "verified") for d in "abc" for k, t, v in said], "field_id string, document_id string, field_key string, value_text string, value double, unit string, iso string, confidence double, page_no int, status string")
+    shown = lambda pair: [sorted(str(r.asDict()) for r in t.collect()) for t in pair]
+    nodes, edges = graph.sightings(docs, fields)
+    assert nodes.where("alone").count() == 6 and edges.where("alone").select("document_id").distinct().count() == 2
+    whole = shown((graph.merge_nodes(nodes.drop("alone")), graph.merge_edges(edges.drop("alone"))))
+    assert shown(graph.build_graph(docs, fields)) == whole == shown((graph.merge_nodes((ev := graph.evidence(docs, fields))[0]), graph.merge_edges(ev[1])))
+    assert len(whole[1]) == len({(r["src"], r["dst"], r["predicate"], r["valid_from"]) for r in graph.build_graph(docs, fields)[1].collect()})
