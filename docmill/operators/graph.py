@@ -259,6 +259,8 @@ def neighbours(edges: DataFrame, vertices: DataFrame | None, of: DataFrame, pred
     if as_of is not None:
         e = e.where(V.valid_at(F.col("valid_from"), F.col("valid_to"), F.lit(as_of)))
     at = of.select(F.col("id").alias("at"))
+    # many vertices are still few beside the edges, so they are hashed: a merge join would sort all edges in a fixed number of tasks
+    at = F.broadcast(at) if at.count() <= BROADCAST_KEYS else at.hint("shuffle_hash")
     parts = []
     if direction in ("both", "out"):
         parts.append(e.join(at, e["src"] == at["at"]).withColumn("other", F.col("dst")).withColumn("direction", F.lit("out")))

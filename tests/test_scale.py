@@ -184,3 +184,21 @@ def test_lone_sightings_merge_like_others(spark, monkeypatch):
     whole = shown((graph.merge_nodes(nodes.drop("alone")), graph.merge_edges(edges.drop("alone"))))
     assert shown(graph.build_graph(docs, fields)) == whole == shown((graph.merge_nodes((ev := graph.evidence(docs, fields))[0]), graph.merge_edges(ev[1])))
     assert len(whole[1]) == len({(r["src"], r["dst"], r["predicate"], r["valid_from"]) for r in graph.build_graph(docs, fields)[1].collect()})
+
+
+def test_neighbours_sort_no_edges(spark, monkeypatch):
+    """All edges were sorted at both ends, so that a task's memory grew with them."""
+    from docmill.plans import queries
+
+    shown = []
+    for most in (graph.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(graph, "BROADCAST_KEYS", most)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            near = queries()["neighbors"](spark, SF)
+            shown.append(sorted(near.collect()))
+            p = near._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "Sort" not in p and ("ShuffledHashJoin" in p) == (most == 0)
+    assert shown[0] == shown[1] and shown[0]
