@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from docmill.operators import extract, graph
+from docmill.operators import topics as topics_module
 from docmill.plans import domain
 
 SF = "/root/testdata/sf0.001"
@@ -202,3 +203,28 @@ def test_neighbours_sort_no_edges(spark, monkeypatch):
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert "Sort" not in p and ("ShuffledHashJoin" in p) == (most == 0)
     assert shown[0] == shown[1] and shown[0]
+
+
+def test_topics_keep_the_newest_tables_only(spark, monkeypatch):
+    """Each round of NMF left both its tables, terms as texts, and its joins dealt all entries anew."""
+    import os
+
+    from docmill.operators import topics
+
+    stores, joined = [], []
+    monkeypatch.setattr(topics, "Store", lambda *a: stores.append(topics_store(*a)) or stores[-1])
+    monkeypatch.setattr(topics, "_times", lambda entries, table, on, *a: joined.append(dealt_by(entries, on)) or times(entries, table, on, *a))
+    docs = spark.createDataFrame([(i, f"mine seam coal{'abcde'[i % 5]} report {'roof bolt' if i % 2 else 'water pump'}") for i in range(20)], "id int, text string")
+    members, terms = topics.fit_topics(docs, "id", n_topics=2)
+    assert members.count() >= 20 and len(terms) == 2 and all(isinstance(t, str) for ts in terms for t, _ in ts)
+    left = sorted(x.split("-")[0] for x in os.listdir(stores[0].path.removeprefix("file:")))
+    assert left == ["df", "h", "w", "x"]
+    assert len(joined) > 6 and all(joined)
+
+
+topics_store, times = topics_module.Store, topics_module._times
+
+
+def dealt_by(entries, on):
+    """Whether the entries are dealt by the key on which they are joined."""
+    return f"RepartitionByExpression [{on}#" in entries._jdf.queryExecution().analyzed().toString()
