@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -71,14 +71,18 @@ def chunk_pages(pages: DataFrame, doc_col: str = "document_id", text_col: str =
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def _terms(text: str | None) -> list[str]:
+    words = _WORD.findall((text or "").lower())
+    return [*words, *map(" ".join, zip(words, words[1:], strict=False))]
+
+
 def hashing_embedder(dim: int = 384) -> Callable[[list[str]], np.ndarray]:
     """A deterministic stand-in for an embedding model: signed hashes (MD5) of words and word pairs, scaled to length 1."""
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
-            words = _WORD.findall((t or "").lower())
-            for w in [*words, *map(" ".join, zip(words, words[1:], strict=False))]:
+            for w in _terms(t):
                 h = hashlib.md5(w.encode(), usedforsecurity=False).digest()
                 out[i, int.from_bytes(h[:4], "big") % dim] += 1 if h[4] >= 128 else -1
         return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
@@ -90,6 +94,22 @@ def hashing_embedder(dim: int = 384) -> Callable[[list[str]], np.ndarray]:
 EMBEDDERS: dict[str, Callable[..., Callable[[list[str]], np.ndarray]]] = {"hashing": hashing_embedder}
 
 
+def word_cosine(a: str | None, b: str | None) -> float:
+    """What hashing_embedder() estimates: the cosine of the counts of two texts' words and word pairs, without the collisions of their hashes."""
+    x, y = Counter(_terms(a)), Counter(_terms(b))
+    norm = sum(n * n for n in x.values()) * sum(n * n for n in y.values())
+    return sum(n * y[w] for w, n in x.items()) / norm**0.5 if norm else 0.0
+
+
+#: Embedders whose vectors are sketches, and the cosine of two texts that these estimate.
+EXACT: dict[Callable, Callable[[str | None, str | None], float]] = {hashing_embedder: word_cosine}
+
+
+def exact_of(factory: Callable) -> Callable[[str | None, str | None], float] | None:
+    """The cosine that an embedder's vectors estimate, if they are sketches."""
+    return EXACT.get(getattr(factory, "func", factory))
+
+
 def embedder_of(name: str, **options) -> Callable[[], Callable[[list[str]], np.ndarray]]:
     """A factory of the named embedder, as embed() takes it."""
     if name not in EMBEDDERS:
@@ -166,16 +186,20 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str, vec_col:
     return rows.withColumn("score", V.cosine(F.col(vec_col), q)).orderBy(F.desc_nulls_last("score"), id_col).limit(k).withColumn("score", F.round("score", 4))
 
 
-def nearest_for_all(queries: DataFrame, vectors: DataFrame, k: int, qid: str, id_col: str, vec_col: str = "embedding", q_vec: str = "embedding", block: int = 4096) -> DataFrame:
+def nearest_for_all(queries: DataFrame, vectors: DataFrame, k: int, qid: str, id_col: str, vec_col: str = "embedding", q_vec: str = "embedding", block: int = 4096, texts: str | None = None, exact: Callable[[str | None, str | None], float] | None = None, floor: float = 0.0) -> DataFrame:
     """The k nearest rows for each query vector, ties by id: queries and vectors are dealt to blocks, every block of queries meets every block of
     vectors in one task, and only the best k rows of a query and task go on. Nothing but counts comes to the driver.
 
     This compares a stated set of queries with all rows; scores are rounded after ranking. Vectors are compared with those of their own length; null or
     empty ones, and those with null or non-finite components, are near nothing.
+
+    With `exact`, vectors are sketches of `texts` (a column of both sides): rows of a cosine of `floor` or more are scored by exact() of the two texts,
+    should that be lower. Rows without a text keep the vectors' cosine.
     """
+    told = F.col(texts) if texts and exact else F.lit(None).cast("string")
     fine = F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    q = queries.select(F.col(qid).cast("long").alias("q"), F.col(q_vec).cast("array<double>").alias("v")).where("q is not null").where(F.coalesce(fine, F.lit(False))).withColumn("d", F.size("v"))
-    base = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")).where(F.coalesce(fine, F.lit(False))).withColumn("d", F.size("v"))
+    q = queries.select(F.col(qid).cast("long").alias("q"), F.col(q_vec).cast("array<double>").alias("v"), told.alias("t")).where("q is not null").where(F.coalesce(fine, F.lit(False))).withColumn("d", F.size("v"))
+    base = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v"), told.alias("t")).where(F.coalesce(fine, F.lit(False))).withColumn("d", F.size("v"))
     # a long vector counts as several rows of 256 components, so that a block's memory does not grow with the dimension
     rows_of = lambda t: t.agg(F.sum(F.greatest(F.lit(1.0), F.col("d") / 256))).first()[0] or 0
     n = rows_of(q)
@@ -185,8 +209,8 @@ def nearest_for_all(queries: DataFrame, vectors: DataFrame, k: int, qid: str, id
     qb, vb = max(1, int(-(-n // block))), max(1, int(-(-m // (8 * block))))
     every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     # the smaller number of copies: queries go to all blocks of vectors, vectors to all blocks of queries
-    left = q.select("d", "q", "v", F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("a"), every(vb).alias("b"))
-    right = base.select("d", "i", F.col("v").alias("w"), every(qb).alias("a"), F.pmod(F.xxhash64("i"), F.lit(vb)).cast("int").alias("b"))
+    left = q.select("d", "q", "v", "t", F.pmod(F.xxhash64("q"), F.lit(qb)).cast("int").alias("a"), every(vb).alias("b"))
+    right = base.select("d", "i", F.col("v").alias("w"), "t", every(qb).alias("a"), F.pmod(F.xxhash64("i"), F.lit(vb)).cast("int").alias("b"))
 
     def unit(rows: pd.Series) -> np.ndarray:
         x = np.stack([np.asarray(v, float) for v in rows])
@@ -200,6 +224,11 @@ def nearest_for_all(queries: DataFrame, vectors: DataFrame, k: int, qid: str, id
         for s in range(0, len(x), 256):
             part = x.iloc[s : s + 256]
             cos = unit(part["v"]) @ at.T
+            if exact:
+                for r, t in enumerate(part["t"]):
+                    for j in np.flatnonzero(cos[r] >= floor - 1e-4):
+                        if t is not None and y["t"].iat[j] is not None:
+                            cos[r, j] = min(cos[r, j], exact(t, y["t"].iat[j]))
             low = np.partition(cos, -min(k, cos.shape[1]), axis=1)[:, -min(k, cos.shape[1])]
             for r, (name, c, least) in enumerate(zip(part["q"], cos, low, strict=True)):
                 some = np.flatnonzero(c >= least)

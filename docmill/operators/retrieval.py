@@ -101,22 +101,31 @@ def _direction() -> Callable:
     return run
 
 
-def cached(questions: DataFrame, pairs: DataFrame, threshold: float = CACHE_HIT, owner: str | None = None) -> DataFrame:
+def cached(questions: DataFrame, pairs: DataFrame, threshold: float = CACHE_HIT, owner: str | None = None, exact: Callable[[str | None, str | None], float] | None = None) -> DataFrame:
     """(question_id, qa_id, similarity): the nearest verified answer, if it is near enough.
 
-    A vector of the same direction is the nearest that there can be: these meet by a hash, and only the questions that have none are compared with all
-    answers, in blocks of vectors of which only the best answer goes on. questions: question_id, embedding.
+    A vector of the same direction is the nearest that there can be, first that of the same question (question_norm, if both sides have it): these
+    meet by a hash, and only the questions that have none are compared with all answers, in blocks of vectors of which only the best answer goes on.
+    With `exact` (chunk.exact_of()) vectors are sketches, in which different questions can fall together; these count as near as their words are.
+    questions: question_id, embedding.
     """
     from docmill.operators.chunk import nearest_for_all
 
-    verified = pairs.where((F.col("status") == "verified") & V.scope(F.col("owner"), owner)).select("qa_id", "embedding")
+    told = all("question_norm" in t.columns for t in (questions, pairs))
+    norm = F.col("question_norm") if told else F.lit(None).cast("string")
+    verified = pairs.where((F.col("status") == "verified") & V.scope(F.col("owner"), owner)).select("qa_id", "embedding", norm.alias("question_norm"))
     store = Store(pairs.sparkSession, "cached")
-    digests = lambda rows, key: store.write(rows.select(F.col(key).cast("long").alias(key), _direction()(F.col("embedding")).alias("h")), "digests").dropna()
-    least = digests(verified, "qa_id").groupBy("h").agg(F.min("qa_id").alias("qa_id"))
-    equal = digests(questions, "question_id").join(least.hint("merge"), "h").groupBy("question_id").agg(F.min("qa_id").alias("qa_id"))
+    digests = lambda rows, key: store.write(rows.select(F.col(key).cast("long").alias(key), norm.alias("norm"), _direction()(F.col("embedding")).alias("h")), "digests").dropna(subset=[key, "h"])
+    known, asked = digests(verified, "qa_id"), digests(questions, "question_id")
+    least = lambda *by: known.groupBy(*by).agg(F.min("qa_id").alias("qa_id")).hint("merge")
+    first = lambda rows: rows.groupBy("question_id").agg(F.min("qa_id").alias("qa_id"))
+    equal = first(asked.join(least("h", "norm"), ["h", "norm"]))
+    if not (told and exact):
+        equal = store.write(equal, "same")
+        equal = equal.unionByName(first(asked.join(equal.select("question_id"), "question_id", "left_anti").join(least("h"), "h")))
     equal = store.write(equal.select("question_id", "qa_id", F.lit(1.0).alias("similarity")).where(F.col("similarity") >= threshold), "equal")
     rest = questions.join(equal.select("question_id"), "question_id", "left_anti")
-    near = nearest_for_all(rest, verified, 1, "question_id", "qa_id").where(F.col("score") >= threshold)
+    near = nearest_for_all(rest, verified, 1, "question_id", "qa_id", **({"texts": "question_norm", "exact": exact, "floor": threshold} if told and exact else {})).where(F.col("score") >= threshold)
     return equal.unionByName(near.select("question_id", "qa_id", F.col("score").alias("similarity")))
 
 

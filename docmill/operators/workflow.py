@@ -34,7 +34,7 @@ def ask(questions: DataFrame, entities: DataFrame, relations: DataFrame, fields:
     # stored, so that a question is embedded once
     q = Store(questions.sparkSession, "questions").write(chunk.embed(questions.withColumn("question_norm", T.normalize_question(F.col("question"))), embedder, "question_norm"), "questions")
     known = pairs if "sources" in pairs.columns else pairs.withColumn("sources", F.lit(None).cast(f"array<{SOURCE}>"))
-    hit = retrieval.cached(q, known if use_cache else known.limit(0), owner=owner).join(known.select("qa_id", "answer", "confidence", "sources").hint("merge"), "qa_id")
+    hit = retrieval.cached(q, known if use_cache else known.limit(0), owner=owner, exact=chunk.exact_of(embedder)).join(known.select("qa_id", "answer", "confidence", "sources").hint("merge"), "qa_id")
     done = hit.select("question_id", F.lit("cache").alias("mode"), "answer", F.lit("answered").alias("status"), "confidence", "qa_id", "sources", F.lit(False).alias("flagged"), "similarity")
     rest = q.join(done.select("question_id"), "question_id", "left_anti")
     scoped = docs.where(V.scope(F.col("subsidiary_id"), owner)).select("document_id", "filename")

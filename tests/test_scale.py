@@ -228,3 +228,22 @@ topics_store, times = topics_module.Store, topics_module._times
 def dealt_by(entries, on):
     """Whether the entries are dealt by the key on which they are joined."""
     return f"RepartitionByExpression [{on}#" in entries._jdf.queryExecution().analyzed().toString()
+
+
+def test_questions_that_fall_together_are_told_apart(spark):
+    """Different questions whose hashed vectors are equal, or nearly so, were answered by one another's answers."""
+    from docmill.operators import chunk, workflow
+
+    make = chunk.embedder_of("hashing", dim=8)
+    said = ["what has north1", *[f"what has north{i}" for i in range(2, 4000) if make()([f"what has north{i}"]).tolist() == make()(["what has north1"]).tolist()][:2]]
+    assert len(said) == 3
+    none = lambda s: spark.createDataFrame([], s)
+    pairs = chunk.embed(spark.createDataFrame([(7, "verified", None, "a", 0.9, said[1], 0), (9, "verified", None, "b", 0.9, said[0], 0)], "qa_id long, status string, owner string, answer string, confidence double, question_norm string, hit_count long"), make, "question_norm")
+    q = spark.createDataFrame([(1, said[0].upper()), (2, said[1] + "?"), (3, said[2])], "question_id long, question string")
+    tables = [none(s) for s in ("id string, kind string, key string, name string, owner string, attrs map<string,string>, field_id string, document_id string", "src string, dst string, predicate string", "field_id string, confidence double, page_no int, document_id string", "document_id string, filename string, subsidiary_id string", "chunk_id long, document_id string, page_no int, text string, embedding array<float>")]
+    got = workflow.ask(q, *tables, pairs, embedder=make)
+    assert {(r.question_id, r["mode"], r.qa_id) for r in got.collect()} == {(1, "cache", 9), (2, "cache", 7), (3, "rag", None)}
+    longer = " ".join(f"word{i}" for i in range(30))
+    q = spark.createDataFrame([(1, longer + " more")], "question_id long, question string")
+    known = chunk.embed(pairs.drop("embedding").withColumn("question_norm", F.lit(longer)), chunk.embedder_of("hashing", dim=2048), "question_norm")
+    assert [(r["mode"], r.qa_id) for r in workflow.ask(q, *tables, known, embedder=chunk.embedder_of("hashing", dim=2048)).collect()] == [("cache", 7)]
