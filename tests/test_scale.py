@@ -247,3 +247,24 @@ def test_questions_that_fall_together_are_told_apart(spark):
     q = spark.createDataFrame([(1, longer + " more")], "question_id long, question string")
     known = chunk.embed(pairs.drop("embedding").withColumn("question_norm", F.lit(longer)), chunk.embedder_of("hashing", dim=2048), "question_norm")
     assert [(r["mode"], r.qa_id) for r in workflow.ask(q, *tables, known, embedder=chunk.embedder_of("hashing", dim=2048)).collect()] == [("cache", 7)]
+
+
+def test_each_side_of_the_graph_follows_alone(spark):
+    """Both sides were stored and followed for either, with hashes of 256 bits as text; relations told by their ends follow like those told by ids."""
+    docs = spark.createDataFrame([("a", 1, "s1"), ("b", 2, None), ("c", 3, "s1")], "document_id string, created_at int, subsidiary_id string")
+    docs = docs.withColumns({"doc_type": F.lit("t"), "doc_date": F.lit("2020-01-02"), "filename": F.concat("document_id", F.lit(".pdf"))})
+    said = [("block_name", "North 1", None), ("mine_name", "Pit 1", None), ("principal_seam", "R-I", None), ("average_grade", "g7", None), ("proved_reserve", "5", 5.0)]
+    fields = spark.createDataFrame([(f"{d}:{k}", d, k, t, v, None, None, 0.8, 1, "verified") for d in "abc" for k, t, v in said], "field_id string, document_id string, field_key string, value_text string, value double, unit string, iso string, confidence double, page_no int, status string")
+    changed = spark.createDataFrame([("a",), ("c",)], "document_id string")
+    now = fields.where("document_id <> 'c'").withColumn("value_text", F.when((F.col("document_id") == "a") & (F.col("field_key") == "mine_name"), "Pit 2").otherwise(F.col("value_text")))
+    shown = lambda t: sorted(str(r.asDict()) for r in t.collect())
+    ev, (nodes, edges) = graph.evidence(docs, fields), graph.sightings(docs, fields)
+    e, r = graph.build_graph(docs.where("document_id <> 'c'"), now, ends=True)
+    assert {len(x.id) for t in (e, r) for x in t.collect()} == {32}
+    (e2, none), (_, nothing) = graph.follow((graph.merge_nodes(ev[0]), None), (ev[0], None), changed, docs.where("document_id <> 'c'"), now)
+    assert shown(e2) == shown(e) and none is None and nothing is None
+    told = graph.merge_edges(edges, ends=True).drop("id", "src", "dst")
+    (_, r2), _ = graph.follow((None, told), (None, edges), changed, docs.where("document_id <> 'c'"), now)
+    assert shown(r2) == shown(r.drop("id", "src", "dst"))
+    (_, r3), _ = graph.follow((graph.merge_nodes(ev[0]), graph.merge_edges(ev[1])), ev, changed, docs.where("document_id <> 'c'"), now)
+    assert shown(r3) == shown(r.drop("src_node", "dst_node"))
