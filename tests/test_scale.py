@@ -268,3 +268,24 @@ def test_each_side_of_the_graph_follows_alone(spark):
     assert shown(r2) == shown(r.drop("id", "src", "dst"))
     (_, r3), _ = graph.follow((graph.merge_nodes(ev[0]), graph.merge_edges(ev[1])), ev, changed, docs.where("document_id <> 'c'"), now)
     assert shown(r3) == shown(r.drop("src_node", "dst_node"))
+
+
+def test_reports_store_no_more_than_they_read(spark, monkeypatch):
+    """The reports of all blocks stored the whole graph, each edge with three hashes, and shuffled the edges of all things."""
+    from docmill.operators import reports
+    from docmill.plans import indexes
+
+    made = {}
+
+    class Kept(topics_store):
+        def write(self, df, name="t", by=None):
+            made[name] = super().write(df, name, by)
+            return made[name]
+
+    monkeypatch.setattr(indexes, "Store", Kept)
+    monkeypatch.setattr(reports, "Store", Kept)
+    assert indexes.every_report(spark, SF).count() > 0
+    assert made["relations"].columns == ["src", "dst", "predicate"] and {"entities", "fields", "documents", "figures"} <= set(made)
+    kind = made["entities"].select("id", "kind")
+    ends = made["relations"].join(kind.toDF("src", "s"), "src").join(kind.toDF("dst", "t"), "dst").select("s", "t").distinct().collect()
+    assert {(r.s, r.t) for r in ends} == {("block", t) for t in ("report", "mine", "seam", "reserve")} | {("mine", "subsidiary"), ("seam", "mineral")}
