@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters of names that one automaton holds (some 100 bytes each in a worker).
 SHARD_CHARS = 4_000_000
 #: Characters of texts that one task matches.
 BLOCK_CHARS = 64_000_000
+#: Parts in which the pairs of a name are made.
+SPREAD = 16
 
 
 def contained_names(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_id: str, name_col: str) -> DataFrame:
@@ -43,7 +45,14 @@ def contained_names(texts: DataFrame, names: DataFrame, id_col: str, text_col: s
         return pd.DataFrame(out, columns=["id", "name"])
 
     got = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(find, f"id {kind}, name string").distinct()
-    return got.join(n, "name").select(F.col("id").alias(id_col), F.col("name_id").alias(name_id)).distinct()
+    # a name that many copies share meets many texts, so its pairs are made in SPREAD parts, in as many tasks as a shuffle has
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = got.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).repartition(tasks, "name", "s")
+    spelt = n.withColumn("n", F.count("*").over(Window.partitionBy("name_id"))).withColumn("s", every(SPREAD)).repartition(tasks, "name", "s")
+    pairs = parts.join(spelt.hint("shuffle_hash"), ["name", "s"])
+    of = lambda held: pairs.where(held).select(F.col("id").alias(id_col), F.col("name_id").alias(name_id))
+    # a pair comes once, but for names of several spellings
+    return of("n = 1").union(of("n > 1").distinct())
 
 
 def matches(texts: Iterator[str], names: list[str]) -> Iterator[set[str]]:

@@ -289,3 +289,14 @@ def test_reports_store_no_more_than_they_read(spark, monkeypatch):
     kind = made["entities"].select("id", "kind")
     ends = made["relations"].join(kind.toDF("src", "s"), "src").join(kind.toDF("dst", "t"), "dst").select("s", "t").distinct().collect()
     assert {(r.s, r.t) for r in ends} == {("block", t) for t in ("report", "mine", "seam", "reserve")} | {("mine", "subsidiary"), ("seam", "mineral")}
+
+
+def test_pairs_of_names_are_not_merged_anew(spark):
+    """All pairs of texts and copies' names were shuffled once more to be made distinct, though only names of several spellings can repeat one."""
+    from docmill.operators import matching
+
+    texts = spark.createDataFrame([(1, "Coal and seam"), (1, "coal SEAM"), (2, "seam"), (3, None)], "id long, text string")
+    names = spark.createDataFrame([(7, "coal"), (7, "Seam"), (8, "seam"), (8, "SEAM"), (9, "SEAM"), (None, "coal"), (9, "")], "n long, name string")
+    got = matching.contained_names(texts, names, "id", "text", "n", "name")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 7), (2, 7), (1, 8), (2, 8), (1, 9), (2, 9), (1, None)], key=str)
+    assert plan(got).startswith("Union") and ", s#" in plan(got)
