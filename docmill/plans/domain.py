@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docmill.operators import anomalies, classify, extract, graph, metrics, reports, retrieval, workflow
 from docmill.plans.registry import Registry, dealt, read
+from docmill.sources.store import Store
 
 R = Registry()
 query, QUERIES, SQL = R.query, R.queries, R.sql
@@ -464,6 +465,8 @@ def extra_fields(spark, d):
 def extraction_quality(spark, d):
     """Totals and rates of the rules' fields, overall and by type."""
     f = extract.extract_fields(reserve_pages(spark, d), this_year=THIS_YEAR).where("extractor like 'rule:%'")
+    # stored, so that fields are extracted once for both tables
+    f = Store(spark, "quality").write(f.select("document_id", "confidence", "status", "source_kind"), "fields")
     by = metrics.quality_by_type(f, documents(spark, d))
     q = metrics.extraction_quality(f, documents(spark, d))
     return by.join(F.broadcast(q.withColumn("doc_type", F.lit("geological_reserve_status")).drop("mean_confidence")), "doc_type").select("doc_type", "n", F.round("mean_confidence", 6).alias("mean_confidence"), F.col("total_fields").alias("total"), F.round("auto_accept_rate", 6).alias("accepted"), F.round("ocr_ratio", 6).alias("from_ocr"))
