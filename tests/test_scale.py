@@ -1,5 +1,7 @@
 """Steps whose work or memory once grew faster than their input."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from docmill.operators import extract, graph
@@ -300,3 +302,20 @@ def test_pairs_of_names_are_not_merged_anew(spark):
     got = matching.contained_names(texts, names, "id", "text", "n", "name")
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 7), (2, 7), (1, 8), (2, 8), (1, 9), (2, 9), (1, None)], key=str)
     assert plan(got).startswith("Union") and ", s#" in plan(got)
+
+
+def test_fields_are_gathered_by_one_value(spark, monkeypatch):
+    """A document's fields were pivoted by an aggregate a key, each handed every field."""
+    kept = []
+    monkeypatch.setattr(graph, "Store", type("Seen", (topics_store,), {"write": lambda self, df, *a: kept.append(plan(df)) or topics_store.write(self, df, *a)}))
+    graph.sightings(domain.documents(spark, SF), domain.accepted_fields(spark, SF), domain.UNITS)
+    made = [line for line in kept[0].splitlines() if re.search(r"Aggregate \[document_id#\d+\],", line)]
+    assert len(made) == 1 and "collect_list" in made[0] and "first(" not in made[0]
+
+
+def test_quality_extracts_once(spark, monkeypatch):
+    """Fields were extracted once for the rates by type and once for the totals."""
+    calls = []
+    monkeypatch.setattr(domain, "Store", type("Seen", (topics_store,), {"write": lambda self, df, *a: calls.append(df.columns) or topics_store.write(self, df, *a)}))
+    q = domain.extraction_quality(spark, SF)
+    assert calls == [["document_id", "confidence", "status", "source_kind"]] and "regexp" not in plan(q).lower()
